@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_sentencepiece
+from .mixing import ORACLE as MIXING
+from .mixing import op7_mixing
 from .quality import op1_quality
 from .simhash import op6_simhash
+from .wordpiece import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op6_simhash)
+    for f in (op1_quality, op3_sentencepiece, op5_token_counts, op6_simhash, op7_mixing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": MIXING}
