@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_sentencepiece
+from .linededup import op8_line_dedup
 from .mixing import ORACLE as MIXING
 from .mixing import op7_mixing
 from .quality import op1_quality
@@ -15,6 +16,6 @@ from .wordpiece import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op3_sentencepiece, op5_token_counts, op6_simhash, op7_mixing)
+    for f in (op1_quality, op3_sentencepiece, op5_token_counts, op6_simhash, op7_mixing, op8_line_dedup)
 }
 ORACLES: dict[str, str] = {"op7_mixing": MIXING}
