@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_sentencepiece
+from .licences import ORACLE as LICENCES
+from .licences import op4_licences
 from .linededup import op8_line_dedup
 from .mixing import ORACLE as MIXING
 from .mixing import op7_mixing
 from .quality import op1_quality
+from .secrets import op10_secrets
 from .simhash import op6_simhash
 from .wordpiece import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op3_sentencepiece, op5_token_counts, op6_simhash, op7_mixing, op8_line_dedup)
+    for f in (op1_quality, op3_sentencepiece, op4_licences, op5_token_counts, op6_simhash, op7_mixing, op8_line_dedup, op10_secrets)
 }
-ORACLES: dict[str, str] = {"op7_mixing": MIXING}
+ORACLES: dict[str, str] = {"op4_licences": LICENCES, "op7_mixing": MIXING}
