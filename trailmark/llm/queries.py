@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op9_nearest
+from .backoff import ORACLE as BACKOFF
+from .backoff import op2_backoff
 from .bpe import op3_sentencepiece
 from .licences import ORACLE as LICENCES
 from .licences import op4_licences
@@ -19,6 +22,6 @@ from .wordpiece import op5_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op3_sentencepiece, op4_licences, op5_token_counts, op6_simhash, op7_mixing, op8_line_dedup, op10_secrets)
+    for f in (op1_quality, op2_backoff, op3_sentencepiece, op4_licences, op5_token_counts, op6_simhash, op7_mixing, op8_line_dedup, op9_nearest, op10_secrets)
 }
-ORACLES: dict[str, str] = {"op4_licences": LICENCES, "op7_mixing": MIXING}
+ORACLES: dict[str, str] = {"op2_backoff": BACKOFF, "op4_licences": LICENCES, "op7_mixing": MIXING}
