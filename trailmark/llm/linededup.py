@@ -143,6 +143,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     ranged = matched.select("who", F.arrow_udf(_ranges, "array<struct<start:int,end:int>>")("hashes", "theirs", "pairs").alias("r"))
     cuts = written(ranged.groupBy("who").agg(F.flatten(F.collect_list("r")).alias("ranges")), "cuts")
     cuts = cuts.select(F.col("who.id").alias("_cut_id"), F.col("who.tag").alias("_cut_tag"), F.col("ranges").alias("_cut_ranges"))
+    # The cuts grow with the corpus: a merge join at every size, never a broadcast.
+    cuts = cuts.hint("merge")
     tagged = docs.withColumn("_cut_own", tag)
     joined = tagged.join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_cut_own") == F.col("_cut_tag")), "left")
     kind = "struct<text:string,n_lines:bigint,n_deleted:bigint,deleted_words:bigint>"
