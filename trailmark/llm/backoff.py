@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,30 @@ from .common import text_bytes, written
 ORDER = 3
 LEAST = 2
 ALPHA = 0.4
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 2_000_000
 PART_ENTRIES = 4_000_000
 CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes binary, words binary"
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by byte plane, compressed: high bytes are mostly zero and take no room."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def packed_sorted(numbers: np.ndarray) -> bytes:
+    return packed(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
 def _chunked(limit: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -43,7 +63,7 @@ def _chunked(limit: int):
         def done() -> pa.RecordBatch:
             hashes = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
             columns = [pa.array([at], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-            columns += [pa.array([hashes.tobytes()], pa.binary()), pa.array([np.array(words, np.int32).tobytes()], pa.binary())]
+            columns += [pa.array([hashes.tobytes()], pa.binary()), pa.array([packed(np.array(words, np.int64))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "hashes", "words"])
 
         for batch in batches:
@@ -72,7 +92,7 @@ class Grams:
 
     def __init__(self, hashes: bytes, words: bytes, sizes: list[int], order: int):
         self.sizes = np.array(sizes, np.int64)
-        word = np.frombuffer(hashes, np.uint64)[np.frombuffer(words, np.int32)]
+        word = np.frombuffer(hashes, np.uint64)[unpacked(words)]
         first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.before = np.arange(len(word)) - first  # words before this one in its document
         self.distinct: list[np.ndarray] = []
@@ -107,7 +127,7 @@ def _asked(order: int, parts: int):
                     cuts = grams.cuts(n, parts)
                     for p in np.nonzero(np.diff(cuts))[0].tolist():
                         a, b = cuts[p], cuts[p + 1]
-                        values = ([p], [n], [row["chunk"]], [grams.distinct[n - 1][a:b].tobytes()], [grams.count[n - 1][a:b].astype(np.uint32).tobytes()])
+                        values = ([p], [n], [row["chunk"]], [packed_sorted(grams.distinct[n - 1][a:b])], [packed(grams.count[n - 1][a:b])])
                         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, kind)], schema=kind)
 
     return over
@@ -115,12 +135,12 @@ def _asked(order: int, parts: int):
 
 def _answered(asked: pa.Table) -> pa.Table:
     """Adds up one partition's count table and gives each chunk the counts of its n-grams."""
-    grams = [np.frombuffer(x.as_py(), np.uint64) for x in asked["grams"]]
-    counts = [np.frombuffer(x.as_py(), np.uint32) for x in asked["counts"]]
+    grams = [unpacked_sorted(x.as_py()) for x in asked["grams"]]
+    counts = [unpacked(x.as_py()) for x in asked["counts"]]
     table, place = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(place.reshape(-1), np.concatenate(counts), len(table)).astype(np.uint64)[place.reshape(-1)]
     ends = np.cumsum([len(g) for g in grams])
-    out = [x.tobytes() for x in np.split(total, ends[:-1])]
+    out = [packed(x) for x in np.split(total, ends[:-1])]
     return asked.select(["part", "size", "chunk"]).append_column("totals", pa.array(out, pa.binary()))
 
 
@@ -129,13 +149,13 @@ def _scored(order: int, least: int, alpha: float, total: int):
         row = {c: chunks[c][0].as_py() for c in ("ids", "sizes", "hashes", "words")}
         grams = Grams(row["hashes"], row["words"], row["sizes"], order)
         sorted_ = answers.sort_by([("size", "ascending"), ("part", "ascending")])
-        known: list[list[bytes]] = [[] for _ in range(order)]
+        known: list[list[np.ndarray]] = [[] for _ in range(order)]
         for n, x in zip(sorted_["size"].to_pylist(), sorted_["totals"]):
-            known[n - 1].append(x.as_py())
+            known[n - 1].append(unpacked(x.as_py()))
         count = []
         for n in range(order):
-            own = np.frombuffer(b"".join(known[n]), np.uint64).astype(np.float64)
-            count.append(np.where(grams.place[n] >= 0, own[grams.place[n]] if len(own) else 0, 0))
+            own = np.concatenate([*known[n], [0]]).astype(np.float64)  # place -1: no such n-gram here
+            count.append(own[grams.place[n]])
         score = np.log(np.maximum(count[0], 1) / max(total, 1))
         for n in range(1, order):
             context = np.concatenate([[1.0], count[n - 1][:-1]]) if len(score) else score
