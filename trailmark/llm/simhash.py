@@ -12,6 +12,11 @@ entry are linked exactly and in proportion to their number instead: two are with
 2 bits just if some word of 64 bits is within 1 bit of both, so each is dealt to
 the 65 words of its own ball, and all that meet at one word (65 at most) link to the
 smallest of them.
+
+Texts that share 80 % of their five-word shingles often differ in ten bits or more,
+where no segment index is selective. ``near_duplicates(similarity=0.8)`` finds these by
+further fingerprints, each of a small sample of the shingles that equal texts draw
+alike, and verifies the whole shingle sets of what meets.
 """
 
 from __future__ import annotations
@@ -31,6 +36,9 @@ CROWDED = 256
 HALF = 0xFFFFFFFF
 #: Hashes whose bits are counted at once.
 BLOCK = 65536
+#: Samples of three shingles a text. Two texts with similarity 0.8 share none of them
+#: once in about 100,000 times.
+VIEWS = 16
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -45,9 +53,8 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(ends))
 
 
-def fingerprint(text: bytes, size: int) -> int:
+def fingerprint(hashes: np.ndarray) -> int:
     """Majority bits of the shingles' hashes, as a signed 64-bit number."""
-    hashes = shingle_hashes(text, size)
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -57,13 +64,40 @@ def fingerprint(text: bytes, size: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, *, size: int = 3, text_col: str = "text", out: str = "fp") -> DataFrame:
-    """Adds each text's fingerprint as a long; zero where there are no words or no text."""
+def views(hashes: np.ndarray) -> list[int]:
+    """``VIEWS`` fingerprints, each of the three distinct shingles that one ordering puts first."""
+    own = np.unique(hashes)
+    if not len(own):
+        return []
+    out = []
+    for v in range(VIEWS):
+        salt = np.uint64(xxh64_intdigest(b"view", v) | 1)
+        order = own * salt
+        order ^= order >> np.uint64(29)
+        first = own[np.argpartition(order, 2)[:3]] if len(own) > 3 else own
+        a, b, c = first[0], first[-1], first[len(first) // 2]
+        out.append(int(((a & b) | (a & c) | (b & c)).view(np.int64)))
+    return out
+
+
+def fingerprints(docs: DataFrame, *, size: int = 3, text_col: str = "text", out: str = "fp", sampled: bool = False) -> DataFrame:
+    """Adds each text's fingerprint as a long; zero where there are no words or no text.
+
+    ``sampled`` also adds ``views``, the fingerprints of the text's samples.
+    """
 
     def over(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x if x is not None else b"", size) for x in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(shingle_hashes(x or b"", size)) for x in texts.to_pylist()], pa.int64())
+
+    def both(texts: pa.Array) -> pa.Array:
+        hashes = [shingle_hashes(x or b"", size) for x in texts.to_pylist()]
+        columns = [pa.array(map(fingerprint, hashes), pa.int64()), pa.array(map(views, hashes), pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=[out, "views"])
 
-    return docs.withColumn(out, F.arrow_udf(over, "bigint")(text_bytes(text_col)))
+    if not sampled:
+        return docs.withColumn(out, F.arrow_udf(over, "bigint")(text_bytes(text_col)))
+    found = F.arrow_udf(both, f"struct<{out}:bigint,views:array<bigint>>")
+    return docs.withColumn("_both", found(text_bytes(text_col))).select("*", "_both.*").drop("_both")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -99,23 +133,89 @@ def links(fps: DataFrame, *, crowded: int = CROWDED) -> DataFrame:
     return found.unionByName(met)
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+def _similarity(size: int):
+    def of(text: bytes | None) -> np.ndarray:
+        return np.unique(shingle_hashes(text or b"", size))
+
+    def over(one: pa.Array, other: pa.Array) -> pa.Array:
+        out, held, own = [], None, np.zeros(0, np.uint64)
+        for a, b in zip(one.to_pylist(), other.to_pylist()):
+            if b != held:  # rows come by representative: its set is made once
+                held, own = b, of(b)
+            theirs = of(a)
+            both = len(np.intersect1d(theirs, own, assume_unique=True))
+            out.append(both / max(1, len(theirs) + len(own) - both))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(over, "double")
+
+
+def similar_links(docs: DataFrame, each: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Pairs ``(u, v)`` of fingerprints whose texts share ``similarity`` of their shingles or more.
+
+    ``each(fp, least, views)`` has a row per fingerprint; ``docs(_id, _text)`` the texts,
+    of which that of the least id stands for the fingerprint. All texts that meet in a
+    sample are compared with the one of them that meets most others over all samples,
+    the likeliest original, and with the one of the least id: pairs stay in proportion
+    to the texts however many meet.
+    """
+    met = each.select("fp", "least", F.posexplode("views").alias("view", "key"))
+    groups = met.groupBy("view", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(met.join(groups, ["view", "key"]), "met")
+    weight = met.groupBy("fp", "least").agg(F.sum("n").alias("weight"))
+    weighed = met.join(weight, ["fp", "least"])
+    first = F.min(F.struct(-F.col("weight"), "least", "fp"))["fp"]
+    heads = weighed.groupBy("view", "key").agg(first.alias("central"), F.min(F.struct("least", "fp"))["fp"].alias("oldest"))
+    pairs = met.join(heads, ["view", "key"]).select(F.col("fp").alias("u"), F.explode(F.array("central", "oldest")).alias("v"))
+    pairs = written(pairs.where("u != v").distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(each.select("fp", "least"), "fp")
+    texts = written(docs.join(named, docs["_id"] == named["least"]).select("fp", "_text").dropDuplicates(["fp"]), "texts")
+    one, other = (texts.select(F.col("fp").alias(x), F.col("_text").alias(f"text_{x}")) for x in "uv")
+    joined = pairs.join(one, "u").join(other, "v").sortWithinPartitions("v")
+    return joined.where(_similarity(size)("text_u", "text_v") >= similarity).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """``(id, fingerprint, component_id)`` for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links, the row's own
-    included. Rows without a text or without words have fingerprint zero and link
-    like any other. A null id takes part in links but names no component unless
-    all ids of the component are null. Repeated rows stay; other columns are left out.
+    included. Fingerprints within 2 bits link; with ``similarity``, texts that share so
+    much of their shingles link too. Rows without a text or without words have
+    fingerprint zero and link like any other. A null id takes part in links by
+    fingerprint but names no component unless all ids of the component are null.
+    Repeated rows stay; other columns are left out.
     """
-    own = written(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), size=size, text_col="_text").select("_id", "fp"), "fingerprints")
-    each = written(own.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
-    root = components(links(each.select("fp"), crowded=crowded))
+    read = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
+    own = written(fingerprints(read, size=size, text_col="_text", sampled=similarity is not None).drop("_text"), "fingerprints")
+    least = F.min("_id").alias("least")
+    if similarity is None:
+        each = written(own.groupBy("fp").agg(least), "distinct")
+        found = links(each.select("fp"), crowded=crowded)
+    else:
+        each = written(own.groupBy("fp").agg(least, F.min_by("views", "_id").alias("views")), "distinct")
+        found = links(each.select("fp"), crowded=crowded).unionByName(similar_links(read, each.where("least is not null"), size=size, similarity=similarity))
+    root = components(found)
     placed = each.join(root, each["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near duplicates the document of the least id stays.
+
+    Groups are of five-word shingles and similarity 0.8. Of rows that repeat an id one
+    stays; rows without an id stay unless they link to a document that has one.
+    """
+    found = near_duplicates(docs, size=5, similarity=0.8)
+    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 2 bits)."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
