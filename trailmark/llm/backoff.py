@@ -13,6 +13,7 @@ usual; with every n-gram of the corpus in it, nothing would ever back off.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import shared_folder, text_bytes
 
 ORDER = 3
 LEAST = 2
@@ -52,6 +53,16 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
+def hash_bits(entries: int) -> int:
+    """Bits of an n-gram's hash, for hardly any two in a corpus of this size to share one.
+
+    Sorted hashes take as many bits each as exceed the logarithm of their number, so a
+    hash wider than the corpus needs is paid for in every shuffle. With all 64 bits, from
+    10^11 words on, at 10^13 n-grams one in a million shares another's.
+    """
+    return min(64, max(52, entries.bit_length() + 26))
+
+
 def _chunked(limit: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -62,8 +73,13 @@ def _chunked(limit: int):
 
         def done() -> pa.RecordBatch:
             hashes = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            # The most frequent words get the smallest numbers, whose high bytes are zero.
+            place = np.array(words, np.int64)
+            often = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
+            number = np.empty(len(known), np.int64)
+            number[often] = np.arange(len(known))
             columns = [pa.array([at], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-            columns += [pa.array([hashes.tobytes()], pa.binary()), pa.array([packed(np.array(words, np.int64))], pa.binary())]
+            columns += [pa.array([hashes[often].tobytes()], pa.binary()), pa.array([packed(number[place])], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "hashes", "words"])
 
         for batch in batches:
@@ -90,7 +106,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Grams:
     """The n-grams of a chunk: for each order the distinct hashes and, by position, their places."""
 
-    def __init__(self, hashes: bytes, words: bytes, sizes: list[int], order: int):
+    def __init__(self, hashes: bytes, words: bytes, sizes: list[int], order: int, bits: int = 64):
+        self.bits = bits
         self.sizes = np.array(sizes, np.int64)
         word = np.frombuffer(hashes, np.uint64)[unpacked(words)]
         first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -104,7 +121,7 @@ class Grams:
                 gram = _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :])
             # The n-gram that ends at position p begins at p - n + 1.
             inside = np.nonzero(self.before[n - 1 :] >= n - 1)[0]
-            own, place, count = np.unique(gram[inside], return_inverse=True, return_counts=True)
+            own, place, count = np.unique(gram[inside] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
             at = np.full(len(word), -1, np.int64)
             at[inside + n - 1] = place.reshape(-1)
             self.distinct.append(own), self.place.append(at), self.count.append(count)
@@ -112,17 +129,17 @@ class Grams:
     def cuts(self, n: int, parts: int) -> np.ndarray:
         """Where each hash partition begins among the distinct n-grams."""
         own = self.distinct[n - 1]
-        return np.searchsorted((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        return np.searchsorted((own >> np.uint64(self.bits - 32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
-def _asked(order: int, parts: int):
+def _asked(order: int, parts: int, bits: int):
     kind = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 row = {c: batch.column(c)[k].as_py() for c in ("chunk", "sizes", "hashes", "words")}
-                grams = Grams(row["hashes"], row["words"], row["sizes"], order)
+                grams = Grams(row["hashes"], row["words"], row["sizes"], order, bits)
                 for n in range(1, order + 1):
                     cuts = grams.cuts(n, parts)
                     for p in np.nonzero(np.diff(cuts))[0].tolist():
@@ -144,10 +161,10 @@ def _answered(asked: pa.Table) -> pa.Table:
     return asked.select(["part", "size", "chunk"]).append_column("totals", pa.array(out, pa.binary()))
 
 
-def _scored(order: int, least: int, alpha: float, total: int):
+def _scored(order: int, least: int, alpha: float, total: int, bits: int):
     def over(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: chunks[c][0].as_py() for c in ("ids", "sizes", "hashes", "words")}
-        grams = Grams(row["hashes"], row["words"], row["sizes"], order)
+        grams = Grams(row["hashes"], row["words"], row["sizes"], order, bits)
         sorted_ = answers.sort_by([("size", "ascending"), ("part", "ascending")])
         known: list[list[np.ndarray]] = [[] for _ in range(order)]
         for n, x in zip(sorted_["size"].to_pylist(), sorted_["totals"]):
@@ -175,6 +192,15 @@ def _scored(order: int, least: int, alpha: float, total: int):
     return over
 
 
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """Writes chunks in buckets by number in the shared folder: their later grouping needs no shuffle."""
+    spark = chunks.sparkSession
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``(id, n_words, log_score, mean_score)`` for each row of ``docs``.
 
@@ -182,15 +208,16 @@ def score(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, alpha: flo
     order, up to ``order``, that has at least ``least`` occurrences in the corpus, times
     ``alpha`` for each order given up; the last resort is its share of all words. Counts
     are over all rows, the document included. A null text counts as empty: no words, log
-    score 0, mean null. N-grams are told apart by 64-bit hashes.
+    score 0, mean null. N-grams are told apart by hashes of ``hash_bits``.
     """
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
-    chunks = written(read.mapInArrow(_chunked(chunk_words), CHUNKS), "chunks")
+    chunks = _bucketed(read.mapInArrow(_chunked(chunk_words), CHUNKS))
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ENTRIES))
-    asked = chunks.mapInArrow(_asked(order, parts), "part int, size int, chunk bigint, grams binary, counts binary")
+    bits = hash_bits(total * order)
+    asked = chunks.mapInArrow(_asked(order, parts, bits), "part int, size int, chunk bigint, grams binary, counts binary")
     answers = asked.groupBy("part", "size").applyInArrow(_answered, "part int, size int, chunk bigint, totals binary")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(order, least, alpha, total), "id bigint, n_words bigint, log_score double")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(order, least, alpha, total, bits), "id bigint, n_words bigint, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_score"))
 
 
