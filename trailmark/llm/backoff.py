@@ -185,7 +185,7 @@ def _scored(order: int, least: int, alpha: float, total: int, bits: int):
             {
                 "id": pa.array(row["ids"], pa.int64()),
                 "n_words": pa.array(grams.sizes, pa.int64()),
-                "log_score": pa.array(np.bincount(doc, score, len(grams.sizes))),
+                "log_score": pa.array(np.bincount(doc, score, len(grams.sizes)), pa.float64()),
             }
         )
 
