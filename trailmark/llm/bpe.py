@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -58,7 +59,11 @@ class Codec:
         chars = "".join(p for p in self.id if len(p) == 1)
         self.outside = re.compile(f"[^{re.escape(chars)}]")
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[list[int], str, str]] = {}
+        # A byte below 128 is a character by itself; only the others must be put together.
+        plain = {i: chr(b) for i, b in self.byte.items() if b < 128} | dict.fromkeys(self.silent, "") | {self.unknown: UNKNOWN}
+        self.spelling = [plain.get(i, p) for i, p in enumerate(self.piece)]
+        self.joined = {i for i, b in self.byte.items() if b >= 128}
 
     def merged(self, text: str) -> list[str]:
         """Merges by score, leftmost first, of a text no longer than two pieces."""
@@ -112,13 +117,32 @@ class Codec:
             at = m.end()
         return out + self.stretch(text[at:]) if at < len(text) else out
 
+    def stretches(self, text: str) -> Iterator[tuple[list[int], str, str]]:
+        """For each stretch of a text its ids, their names in one string, and what they spell."""
+        known = self.known
+        for part in STRETCH.findall((START + text.replace(" ", START)) if text else ""):
+            found = known.get(part)
+            if found is None:
+                own = self.ids(part)
+                found = (own, " ".join(map(str, own)), self.spell(own))
+                if len(part) <= SHORT:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[part] = found
+            yield found
+
     def encode(self, text: str) -> list[int]:
         """All ids of a text, the end id last."""
-        marked = (START + text.replace(" ", START)) if text else ""
-        return [i for part in STRETCH.findall(marked) for i in self.ids(part)] + [self.end]
+        out: list[int] = []
+        for own, _, _ in self.stretches(text):
+            out += own
+        return [*out, self.end]
 
     def spell(self, ids: list[int]) -> str:
         """The characters of ids, space marks as spaces; a byte that spells none is U+FFFD."""
+        spelling = self.spelling
+        if self.joined.isdisjoint(ids):
+            return "".join([spelling[i] for i in ids])
         out, raw = [], bytearray()
 
         def flush() -> None:
@@ -133,10 +157,9 @@ class Codec:
         for i in ids:
             if i in self.byte:
                 raw.append(self.byte[i])
-                continue
-            flush()
-            if i not in self.silent:
-                out.append(self.piece[i] if i != self.unknown else UNKNOWN)
+            else:
+                flush()
+                out.append(spelling[i])
         flush()
         return "".join(out)
 
@@ -147,19 +170,10 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
         n, names, spelled = 1, [], []
-        known = self.known
-        for part in STRETCH.findall((START + text.replace(" ", START)) if text else ""):
-            found = known.get(part)
-            if found is None:
-                own = self.ids(part)
-                found = (len(own), " ".join(map(str, own)), self.spell(own))
-                if len(part) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = found
-            n += found[0]
-            names.append(found[1])
-            spelled.append(found[2])
+        for own, name, read in self.stretches(text):
+            n += len(own)
+            names.append(name)
+            spelled.append(read)
         names.append(str(self.end))
         decoded = "".join(spelled).removeprefix(START).replace(START, " ")
         return n, hashlib.sha256(" ".join(names).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
