@@ -75,9 +75,10 @@ def frame_deficit(messages: DataFrame) -> DataFrame:
 def idle(messages: DataFrame, *, epsilon: float) -> DataFrame:
     """Time-weighted share of a stream on which the value hardly moves."""
     still = F.coalesce(F.col("speed") < epsilon, F.lit(False))
-    positive = F.when(F.col("dt_s") > 0, F.col("dt_s")).otherwise(F.lit(0.0))
-    sums = speed(steps(messages)).where("prev_ns is not null").groupBy(*STREAM).agg(F.sum(F.when(still, positive).otherwise(F.lit(0.0))).alias("idle_total_s"), F.sum(positive).alias("total_s"))
-    return sums.select(*STREAM, "idle_total_s", F.coalesce(F.try_divide("idle_total_s", "total_s"), F.lit(0.0)).alias("idle_fraction"))
+    positive = F.greatest(F.lit(0), F.col("log_time_ns") - F.col("prev_ns"))
+    # Integers until the end: sums don't depend on their order.
+    sums = speed(steps(messages)).where("prev_ns is not null").groupBy(*STREAM).agg(F.sum(F.when(still, positive).otherwise(0)).alias("still_ns"), F.sum(positive).alias("total_ns"))
+    return sums.select(*STREAM, (F.col("still_ns") / F.lit(1e9)).alias("idle_total_s"), F.coalesce(F.try_divide(F.col("still_ns").cast("double"), F.col("total_ns").cast("double")), F.lit(0.0)).alias("idle_fraction"))
 
 
 def idle_runs(messages: DataFrame, *, epsilon: float, least_s: float = 1.0) -> DataFrame:

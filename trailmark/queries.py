@@ -213,10 +213,10 @@ def gap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.gaps(messages(spark, sf_dir))
 
 
-@register(GAPS + "SELECT label, round(sum((end_ns - start_ns) / 1e9::DOUBLE), 4) AS gap_s, count(*) AS n FROM gaps WHERE label LIKE 'gap:%' GROUP BY label")
+@register(GAPS + "SELECT label, round(sum(end_ns - start_ns)::DOUBLE / 1e9::DOUBLE, 6) AS gap_s, count(*) AS n FROM gaps WHERE label LIKE 'gap:%' GROUP BY label")
 def gap_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checks.gaps(messages(spark, sf_dir)).where(F.col("label").startswith("gap:"))
-    return found.groupBy("label").agg(F.round(F.sum((F.col("end_ns") - F.col("start_ns")) / F.lit(1e9)), 4).alias("gap_s"), F.count("*").alias("n"))
+    return found.groupBy("label").agg(F.round(F.sum(F.col("end_ns") - F.col("start_ns")) / F.lit(1e9), 6).alias("gap_s"), F.count("*").alias("n"))
 
 
 @register(
@@ -260,11 +260,11 @@ def frame_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     STEPS
-    + f""", i AS (SELECT episode_id, topic, sum(CASE WHEN speed < {EPSILON} AND dt_s > 0 THEN dt_s ELSE 0.0::DOUBLE END) AS a, sum(CASE WHEN dt_s > 0 THEN dt_s ELSE 0.0::DOUBLE END) AS b FROM sp GROUP BY 1, 2)
-SELECT episode_id, topic, round(a, 4) AS idle_total_s, round(coalesce(a / nullif(b, 0), 0.0::DOUBLE), 6) AS idle_fraction FROM i"""
+    + f""", i AS (SELECT episode_id, topic, sum(CASE WHEN speed < {EPSILON} THEN greatest(0, log_time_ns - prev_ns) ELSE 0 END) AS a, sum(greatest(0, log_time_ns - prev_ns)) AS b FROM sp GROUP BY 1, 2)
+SELECT episode_id, topic, round(a::DOUBLE / 1e9::DOUBLE, 7) AS idle_total_s, round(coalesce(a::DOUBLE / nullif(b, 0)::DOUBLE, 0.0::DOUBLE), 6) AS idle_fraction FROM i"""
 )
 def idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.idle(messages(spark, sf_dir), epsilon=EPSILON).select("episode_id", "topic", F.round("idle_total_s", 4).alias("idle_total_s"), r6("idle_fraction"))
+    return checks.idle(messages(spark, sf_dir), epsilon=EPSILON).select("episode_id", "topic", F.round("idle_total_s", 7).alias("idle_total_s"), r6("idle_fraction"))
 
 
 @register(islands_sql(f"speed < {EPSILON}", "idle", HOUR))
@@ -598,9 +598,9 @@ def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     STEPS
-    + """SELECT episode_id, topic, count(*) AS message_count, round(max(dt_s), 6) AS max_gap_s, round(coalesce(sum(dt_s), 0.0::DOUBLE), 4) AS span_s FROM d GROUP BY 1, 2"""
+    + """SELECT episode_id, topic, count(*) AS message_count, round(max(dt_s), 6) AS max_gap_s, round(coalesce(sum(log_time_ns - prev_ns), 0)::DOUBLE / 1e9::DOUBLE, 6) AS span_s FROM d GROUP BY 1, 2"""
 )
 def streaming_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, largest gap and span of each stream, kept as state over a stream of files."""
     found = online.stream_gaps(spark, f"{sf_dir}/events.parquet")
-    return found.select("episode_id", "topic", "message_count", r6("max_gap_s"), F.round("span_s", 4).alias("span_s"))
+    return found.select("episode_id", "topic", "message_count", r6("max_gap_s"), r6("span_s"))

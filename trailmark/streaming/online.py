@@ -23,18 +23,18 @@ class GapState(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stream", "last bigint, n bigint, gap double, span double")
+        self.state = handle.getValueState("stream", "last bigint, n bigint, gap double, span bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, n, gap, span = self.state.get() if self.state.exists() else (None, 0, None, 0.0)
+        last, n, gap, span = self.state.get() if self.state.exists() else (None, 0, None, 0)
         times = sorted(t for part in rows for t in part["log_time_ns"].tolist())
         for t in times:
             if last is not None:
-                dt = max(0, t - last) / 1e9
-                gap, span = (dt if gap is None else max(gap, dt)), span + dt
+                step = max(0, t - last)
+                gap, span = (step / 1e9 if gap is None else max(gap, step / 1e9)), span + step
             last, n = t if last is None else max(last, t), n + 1
         self.state.update((last, n, gap, span))
-        yield pd.DataFrame({"episode_id": [key[0]], "topic": [key[1]], "message_count": [n], "max_gap_s": [gap], "span_s": [span]})
+        yield pd.DataFrame({"episode_id": [key[0]], "topic": [key[1]], "message_count": [n], "max_gap_s": [gap], "span_s": [span / 1e9]})
 
     def close(self) -> None:
         pass
