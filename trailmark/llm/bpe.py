@@ -15,17 +15,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .wordpiece import START, default_model
 
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 PAIRS = 2_000_000
 SHORT = 48
 #: How an unknown id reads.
@@ -59,7 +61,8 @@ class Codec:
         chars = "".join(p for p in self.id if len(p) == 1)
         self.outside = re.compile(f"[^{re.escape(chars)}]")
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.number = list(map(str, range(size)))
         # A byte below 128 is a character by itself; only the others must be put together.
         plain = {i: chr(b) for i, b in self.byte.items() if b < 128} | dict.fromkeys(self.silent, "") | {self.unknown: UNKNOWN}
         self.spelling = [plain.get(i, p) for i, p in enumerate(self.piece)]
@@ -117,26 +120,21 @@ class Codec:
             at = m.end()
         return out + self.stretch(text[at:]) if at < len(text) else out
 
-    def stretches(self, text: str) -> Iterator[tuple[list[int], str, str]]:
-        """For each stretch of a text its ids, their names in one string, and what they spell."""
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text, the end id last."""
+        out: list[int] = []
         known = self.known
         for part in STRETCH.findall((START + text.replace(" ", START)) if text else ""):
-            found = known.get(part)
-            if found is None:
+            own = known.get(part)
+            if own is None:
                 own = self.ids(part)
-                found = (own, " ".join(map(str, own)), self.spell(own))
                 if len(part) <= SHORT:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[part] = found
-            yield found
-
-    def encode(self, text: str) -> list[int]:
-        """All ids of a text, the end id last."""
-        out: list[int] = []
-        for own, _, _ in self.stretches(text):
+                    known[part] = own
             out += own
-        return [*out, self.end]
+        out.append(self.end)
+        return out
 
     def spell(self, ids: list[int]) -> str:
         """The characters of ids, space marks as spaces; a byte that spells none is U+FFFD."""
@@ -169,14 +167,9 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
-        n, names, spelled = 1, [], []
-        for own, name, read in self.stretches(text):
-            n += len(own)
-            names.append(name)
-            spelled.append(read)
-        names.append(str(self.end))
-        decoded = "".join(spelled).removeprefix(START).replace(START, " ")
-        return n, hashlib.sha256(" ".join(names).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        ids = self.encode(text)
+        names = " ".join([self.number[i] for i in ids])
+        return len(ids), hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -184,12 +177,21 @@ def codec(model: str) -> Codec:
     return Codec(model)
 
 
+def _lists(rows: Iterable[list[int]]) -> pa.Array:
+    """Lists of ids as Arrow, four bytes an id from the start."""
+    values, ends = array("i"), [0]
+    for row in rows:
+        values.extend(row)
+        ends.append(len(values))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32) if len(values) else [], pa.int32()))
+
+
 def encode(docs: DataFrame, *, model: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
     """Adds each whole text's ids, the end id last; a null text is encoded as empty."""
     path = model or default_model()
 
     def over(texts: pa.Array) -> pa.Array:
-        return pa.array([codec(path).encode(x or "") for x in texts.to_pylist()], pa.list_(pa.int32()))
+        return _lists(codec(path).encode(x.as_py() or "") for x in texts)
 
     return docs.withColumn(out, F.arrow_udf(over, "array<int>")(text_col))
 
@@ -199,18 +201,38 @@ def decode(docs: DataFrame, *, model: str | None = None, ids_col: str = "ids", o
     path = model or default_model()
 
     def over(ids: pa.Array) -> pa.Array:
-        return pa.array([codec(path).decode([i for i in x or [] if i is not None]) for x in ids.to_pylist()], pa.string())
+        return pa.array((codec(path).decode([i for i in x.as_py() or [] if i is not None]) for x in ids), pa.string())
 
     return docs.withColumn(out, F.arrow_udf(over, "string")(ids_col))
 
 
+def round_trip(docs: DataFrame, *, model: str | None = None, text_col: str = "text") -> DataFrame:
+    """Adds ``ids`` and ``decoded``, the text of those ids, in one pass over the texts."""
+    path = model or default_model()
+
+    def over(texts: pa.Array) -> pa.Array:
+        own, decoded = codec(path), []
+
+        def rows() -> Iterator[list[int]]:
+            for x in texts:
+                ids = own.encode(x.as_py() or "")
+                decoded.append(own.decode(ids))
+                yield ids
+
+        ids = _lists(rows())
+        return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    both = F.arrow_udf(over, "struct<ids:array<int>,decoded:string>")
+    return docs.withColumn("_both", both(text_col)).select("*", "_both.*").drop("_both")
+
+
 def digests(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``."""
     path = model or default_model()
 
     def over(texts: pa.Array) -> pa.Array:
         own = codec(path)
-        found = [own.digest(x or "") for x in texts.to_pylist()]
+        found = [own.digest(x.as_py() or "") for x in texts]
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
         return pa.StructArray.from_arrays(columns, names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -225,4 +247,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document's ids and the text that they decode to."""
-    return decode(encode(docs)).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    coded = round_trip(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
