@@ -84,3 +84,22 @@ def fps_estimate(messages: DataFrame, keys=STREAM) -> DataFrame:
 def gop_frames(fps: Column, seconds: float) -> Column:
     """Frames in a group of pictures of ``seconds``, at least one; halves to even."""
     return F.greatest(F.lit(1), F.bround(fps * F.lit(seconds), 0).cast("int"))
+
+
+def looks_like_rotation(name: str, width: int) -> bool:
+    """Whether four numbers are likely a quaternion, which must not be interpolated."""
+    return width == 4 and any(hint in name.lower() for hint in ("quat", "orient", "rotation"))
+
+
+def vector_to_grid(messages: DataFrame, field: str, width: int, rate_hz: float, *, policy: str = "interpolate", keys=STREAM) -> DataFrame:
+    """``(keys..., grid_ns, <field>_0, <field>_1, ...)``: a vector field on the grid.
+
+    The vectors' components go through ``to_grid`` as streams of their own and come
+    back as columns.
+    """
+    if policy == "interpolate" and looks_like_rotation(field, width):
+        raise ValueError(f"{field!r} looks like a rotation: take the nearest message instead of interpolating")
+    parts = messages.select(*keys, "log_time_ns", "seq", F.posexplode(field).alias("component", "value")).where(F.col("component") < width)
+    placed = to_grid(parts, rate_hz, policy=policy, keys=(*keys, "component"))
+    columns = placed.groupBy(*keys, "grid_ns").pivot("component", list(range(width))).agg(F.max("value"))
+    return columns.select(*keys, "grid_ns", *[F.col(f"`{k}`").alias(f"{field}_{k}") for k in range(width)])
