@@ -138,7 +138,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     firsts = prints.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f")
     later = prints.join(firsts, "key").where("not (f.who <=> who and f.at = at)")
     pairs = later.groupBy("who", F.col("f.who").alias("other")).agg(F.collect_set(F.struct("at", F.col("f.at").alias("first"))).alias("pairs"))
-    single = lines.select("who", "hashes").dropDuplicates(["who"])
+    # Written, so that both sides of the next join are plain shuffles: where one document
+    # is the first to have what very many repeat, Spark then splits its rows.
+    single = written(lines.select("who", "hashes").dropDuplicates(["who"]), "single")
     matched = pairs.join(single.select(F.col("who").alias("other"), F.col("hashes").alias("theirs")), "other").join(single, "who")
     ranged = matched.select("who", F.arrow_udf(_ranges, "array<struct<start:int,end:int>>")("hashes", "theirs", "pairs").alias("r"))
     cuts = written(ranged.groupBy("who").agg(F.flatten(F.collect_list("r")).alias("ranges")), "cuts")
