@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import shared_folder, text_bytes
+from .common import shared_folder, short_batches, text_bytes
 
 ORDER = 3
 LEAST = 2
@@ -210,7 +210,7 @@ def score(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, alpha: flo
     are over all rows, the document included. A null text counts as empty: no words, log
     score 0, mean null. N-grams are told apart by hashes of ``hash_bits``.
     """
-    read = docs.select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
+    read = short_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
     chunks = _bucketed(read.mapInArrow(_chunked(chunk_words), CHUNKS))
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ENTRIES))

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import short_batches
 from .wordpiece import START, default_model
 
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PAIRS = 2_000_000
 SHORT = 48
 #: How an unknown id reads.
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, *, model: str | None = None, text_col: str = "text",
     def over(texts: pa.Array) -> pa.Array:
         return _lists(codec(path).encode(x.as_py() or "") for x in texts)
 
-    return docs.withColumn(out, F.arrow_udf(over, "array<int>")(text_col))
+    return short_batches(docs).withColumn(out, F.arrow_udf(over, "array<int>")(text_col))
 
 
 def decode(docs: DataFrame, *, model: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -203,7 +204,7 @@ def decode(docs: DataFrame, *, model: str | None = None, ids_col: str = "ids", o
     def over(ids: pa.Array) -> pa.Array:
         return pa.array((codec(path).decode([i for i in x.as_py() or [] if i is not None]) for x in ids), pa.string())
 
-    return docs.withColumn(out, F.arrow_udf(over, "string")(ids_col))
+    return short_batches(docs).withColumn(out, F.arrow_udf(over, "string")(ids_col))
 
 
 def round_trip(docs: DataFrame, *, model: str | None = None, text_col: str = "text") -> DataFrame:
@@ -223,7 +224,7 @@ def round_trip(docs: DataFrame, *, model: str | None = None, text_col: str = "te
         return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=["ids", "decoded"])
 
     both = F.arrow_udf(over, "struct<ids:array<int>,decoded:string>")
-    return docs.withColumn("_both", both(text_col)).select("*", "_both.*").drop("_both")
+    return short_batches(docs).withColumn("_both", both(text_col)).select("*", "_both.*").drop("_both")
 
 
 def digests(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +238,7 @@ def digests(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id"
         return pa.StructArray.from_arrays(columns, names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     found = F.arrow_udf(over, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    return docs.select(F.col(id_col), found(F.col(text_col)).alias("_d")).select(id_col, "_d.*")
+    return short_batches(docs).select(F.col(id_col), found(F.col(text_col)).alias("_d")).select(id_col, "_d.*")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

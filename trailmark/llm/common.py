@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,18 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with Arrow batches of at most ``BATCH_ROWS`` rows in its session from now on.
+
+    The default of 10,000 rows is meant for numbers. With whole texts it holds tens of
+    megabytes several times over, in the JVM and in each Python worker.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import short_batches, text_bytes, written
 
 GRAM = 2
 WINDOW = 2
@@ -132,7 +132,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # Nulls of the id last: the smallest struct is then the first occurrence.
     who = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), tag.alias("tag"))
-    read = docs.select(who.alias("who"), text_bytes(text_col).alias("_text")).where("_text is not null")
+    read = short_batches(docs).select(who.alias("who"), text_bytes(text_col).alias("_text")).where("_text is not null")
     lines = written(read.select("who", _lines(long, gram, window)("_text").alias("l")).select("who", "l.*").where("size(prints) > 0"), "lines")
     prints = lines.select("who", F.inline("prints"))
     firsts = prints.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f")

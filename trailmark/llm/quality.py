@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .common import text_bytes
+from .common import short_batches, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, id_
         .limit(max_train)
     )
     # At most max_train rows of two numbers: the broadcast has a fixed bound.
-    sample = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    sample = short_batches(docs).select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(F.broadcast(picked), "_id")
     rows = sample.select("_id", "_y", F.arrow_udf(_features, "array<double>")("_text").alias("_x")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_train).collect()
     if not rows:
         return None
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Forest | None, *, keep_at: float = KEEP_AT, te
     A null text counts as empty (no words: it fails the base). Without a model
     every document that passes the base is kept and its score is null.
     """
-    return docs.withColumn(out, _scored(model, keep_at)(text_bytes(text_col)))
+    return short_batches(docs).withColumn(out, _scored(model, keep_at)(text_bytes(text_col)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

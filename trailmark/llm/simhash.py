@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import short_batches, text_bytes, written
 from .graph import components
 
 SEED = 42
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame, *, size: int = 3, text_col: str = "text", out:
         columns = [pa.array(map(fingerprint, hashes), pa.int64()), pa.array(map(views, hashes), pa.list_(pa.int64()))]
         return pa.StructArray.from_arrays(columns, names=[out, "views"])
 
+    docs = short_batches(docs)
     if not sampled:
         return docs.withColumn(out, F.arrow_udf(over, "bigint")(text_bytes(text_col)))
     found = F.arrow_udf(both, f"struct<{out}:bigint,views:array<bigint>>")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import short_batches, text_bytes
 
 START = "▁"
 #: Words whose counts a task remembers at once.
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, *, model: str | None = None, id_col: str = "do
         return pa.StructArray.from_arrays(columns, names=["n_words", "n_tokens", "n_unknown"])
 
     counted = F.arrow_udf(over, "struct<n_words:bigint,n_tokens:bigint,n_unknown:bigint>")
-    return docs.select(F.col(id_col), counted(text_bytes(text_col)).alias("_n")).select(id_col, "_n.*")
+    return short_batches(docs).select(F.col(id_col), counted(text_bytes(text_col)).alias("_n")).select(id_col, "_n.*")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
