@@ -227,6 +227,26 @@ def test_similar_documents(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == partition(near, ids)
 
 
+def test_near_pairs_inside_a_family(spark):
+    """Members of a family are 0.71 similar; in it are pairs of 0.82 that neither head resembles."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(150):
+        at = rng.randrange(0, 250)
+        one = base[:at] + own(46) + base[at + 46 :]
+        other = one[: at + 10] + own(25) + one[at + 35 :]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    shingles = {i: {tuple(t.split()[p : p + 5]) for p in range(296)} for i, t in rows}
+    near = [(a, b) for a in shingles for b in range(a) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(near) >= 150
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) & (1 << 64) - 1 for i, t in rows}
+    near += [(a, b) for a in prints for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=5, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == partition(near, sorted(shingles))
+
+
 def levels(sizes, weights, share, most):
     """Targets by giving out what is left again and again."""
     target, left, live = dict.fromkeys(sizes, 0.0), share * sum(sizes.values()), {s for s in sizes if sizes[s]}

@@ -16,7 +16,8 @@ smallest of them.
 Texts that share 80 % of their five-word shingles often differ in ten bits or more,
 where no segment index is selective. ``near_duplicates(similarity=0.8)`` finds these by
 further fingerprints, each of a small sample of the shingles that equal texts draw
-alike, and verifies the whole shingle sets of what meets.
+alike, and verifies the whole shingle sets of what meets: all with a few heads, and
+those that these leave in different components through a prefix join, which is exact.
 """
 
 from __future__ import annotations
@@ -151,14 +152,59 @@ def _similarity(size: int):
     return F.arrow_udf(over, "double")
 
 
-def similar_links(docs: DataFrame, each: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """Pairs ``(u, v)`` of fingerprints whose texts share ``similarity`` of their shingles or more.
+def _shingles(size: int):
+    def over(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(x or b"", size)).view(np.int64) for x in texts.to_pylist()]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return F.arrow_udf(over, "array<bigint>")
+
+
+def crossing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(u, v)`` of different ``comp`` that hold all those of ``similarity`` or more.
+
+    ``sets(fp, comp, tokens)`` are compared by their prefixes: with the tokens in one
+    order, the rarest first, two sets that are so similar have their first common token
+    among the first few of both, and enough tokens behind it. No such pair is left out.
+    In each token's list, the component with most members isn't paired with itself.
+    """
+    slack = 1e-6
+    sized = sets.select("fp", "comp", F.size("tokens").alias("size"))
+    tokens = sets.select("fp", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    order = tokens.join(shared, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+    # Tokens that no other set has come first, so they only count in the places.
+    lone = F.col("size") - F.size("order")
+    least = lambda part: (F.col("size") - F.ceil(F.col("size") * part - slack) + 1).cast("int")
+    prefix = F.slice("order", 1, F.greatest(F.lit(0), least(similarity) - lone))
+    posts = order.join(sized, "fp").select("fp", "comp", "size", lone.alias("lone"), F.posexplode(prefix).alias("pos", "o"))
+    posts = written(posts.select("fp", "comp", "size", (F.col("lone") + F.col("pos")).alias("at"), "o.token"), "posts")
+    members = posts.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    most = members.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    posts = written(posts.join(most, "token").withColumn("minor", F.col("comp") != F.col("most")).drop("most", "kinds"), "crossing")
+    # The smaller set of a pair has the token in a shorter prefix still.
+    small = posts.where(F.col("at") < least(2 * similarity / (1 + similarity))).alias("y")
+    large = posts.alias("x")
+    meet = (
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.comp") != F.col("y.comp"))
+        & (F.struct("x.size", "x.fp") > F.struct("y.size", "y.fp"))
+        & (F.col("y.size") >= F.col("x.size") * similarity - slack)
+        & (F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - slack)
+    )
+    found = small.where("minor").join(large, meet).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+    return found.unionByName(small.where("not minor").join(large.where("minor"), meet).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))).distinct()
+
+
+def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """``(node, root)`` over the links ``found(u, v)`` and those of texts that share ``similarity`` of their shingles.
 
     ``each(fp, least, views)`` has a row per fingerprint; ``docs(_id, _text)`` the texts,
     of which that of the least id stands for the fingerprint. All texts that meet in a
-    sample are compared with the one of them that meets most others over all samples,
-    the likeliest original, and with the one of the least id: pairs stay in proportion
-    to the texts however many meet.
+    sample are first compared with the one of them that meets most others over all
+    samples, the likeliest original, and with the one of the least id. Where texts that
+    met are in different components after that, ``crossing_pairs`` finds what else is
+    similar: pairs inside a component can't change it, so none of them is needed.
     """
     met = each.select("fp", "least", F.posexplode("views").alias("view", "key"))
     groups = met.groupBy("view", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -172,8 +218,20 @@ def similar_links(docs: DataFrame, each: DataFrame, *, size: int, similarity: fl
     named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(each.select("fp", "least"), "fp")
     texts = written(docs.join(named, docs["_id"] == named["least"]).select("fp", "_text").dropDuplicates(["fp"]), "texts")
     one, other = (texts.select(F.col("fp").alias(x), F.col("_text").alias(f"text_{x}")) for x in "uv")
-    joined = pairs.join(one, "u").join(other, "v").sortWithinPartitions("v")
-    return joined.where(_similarity(size)("text_u", "text_v") >= similarity).select("u", "v")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(one, "u").join(other, "v").sortWithinPartitions("v")
+        return joined.where(_similarity(size)("text_u", "text_v") >= similarity).select("u", "v")
+
+    root = components(found.unionByName(similar(pairs)))
+    placed = met.join(root, met["fp"] == root["node"], "left").select("fp", "view", "key", F.coalesce("root", "fp").alias("comp"))
+    mixed = placed.groupBy("view", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    apart = written(placed.join(mixed, ["view", "key"], "left_semi").select("fp", "comp").distinct(), "apart")
+    if apart.isEmpty():
+        return root
+    sets = written(texts.join(apart, "fp").select("fp", "comp", _shingles(size)("_text").alias("tokens")), "sets")
+    further = similar(crossing_pairs(sets, similarity))
+    return components(further.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
@@ -191,11 +249,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None
     least = F.min("_id").alias("least")
     if similarity is None:
         each = written(own.groupBy("fp").agg(least), "distinct")
-        found = links(each.select("fp"), crowded=crowded)
+        root = components(links(each.select("fp"), crowded=crowded))
     else:
         each = written(own.groupBy("fp").agg(least, F.min_by("views", "_id").alias("views")), "distinct")
-        found = links(each.select("fp"), crowded=crowded).unionByName(similar_links(read, each.where("least is not null"), size=size, similarity=similarity))
-    root = components(found)
+        found = links(each.select("fp"), crowded=crowded)
+        root = similar_components(read, each.where("least is not null"), found, size=size, similarity=similarity)
     placed = each.join(root, each["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
