@@ -85,6 +85,16 @@ def test_simhash(odd, none):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 5, 6, 8, 11]
 
 
+def test_simhash_decides_per_row(spark):
+    text = lambda k: " ".join(f"w{k}_{j}" for j in range(100))
+    near = text(1).replace("w1_50 ", "other ")
+    alone = text(6).replace("w6_50 ", "other ")
+    rows = [(1, text(1)), (None, text(1)), (None, near), (None, text(2)), (3, text(3)), (3, text(4)), (2, text(4)), (5, text(5)), (5, text(5)), (None, text(6)), (None, alone)]
+    got = simhash.stage(spark, spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got if r["text"] not in (text(6), alone)) == sorted([(1, text(1)), (0, text(2)), (3, text(3)), (2, text(4)), (5, text(5))])
+    assert len([r for r in got if r["text"] in (text(6), alone)]) == 1
+
+
 def test_mixing(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == len(TEXTS) and all(r["taken"] <= 2 * r["size"] for r in got)

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
@@ -199,10 +199,10 @@ def crossing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, size: int, similarity: float) -> DataFrame:
     """``(node, root)`` over the links ``found(u, v)`` and those of texts that share ``similarity`` of their shingles.
 
-    ``each(fp, least, views)`` has a row per fingerprint; ``docs(_id, _text)`` the texts,
-    of which that of the least id stands for the fingerprint. All texts that meet in a
+    ``each(fp, least, views)`` has a row per fingerprint; ``docs(_who, _text)`` the texts,
+    of which that of the least row stands for the fingerprint. All texts that meet in a
     sample are first compared with the one of them that meets most others over all
-    samples, the likeliest original, and with the one of the least id. Where texts that
+    samples, the likeliest original, and with the least row. Where texts that
     met are in different components after that, ``crossing_pairs`` finds what else is
     similar: pairs inside a component can't change it, so none of them is needed.
     """
@@ -216,7 +216,7 @@ def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, si
     pairs = met.join(heads, ["view", "key"]).select(F.col("fp").alias("u"), F.explode(F.array("central", "oldest")).alias("v"))
     pairs = written(pairs.where("u != v").distinct(), "pairs")
     named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(each.select("fp", "least"), "fp")
-    texts = written(docs.join(named, docs["_id"] == named["least"]).select("fp", "_text").dropDuplicates(["fp"]), "texts")
+    texts = written(docs.join(named, _same(docs["_who"], named["least"])).select("fp", "_text").dropDuplicates(["fp"]), "texts")
     one, other = (texts.select(F.col("fp").alias(x), F.col("_text").alias(f"text_{x}")) for x in "uv")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -234,45 +234,64 @@ def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, si
     return components(further.unionByName(root.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """``(id, fingerprint, component_id)`` for each row of ``docs``.
+def _who(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text. Nulls of the id come last."""
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), tag.alias("tag"))
 
-    ``component_id`` is the smallest id reachable over links, the row's own
-    included. Fingerprints within 2 bits link; with ``similarity``, texts that share so
-    much of their shingles link too. Rows without a text or without words have
-    fingerprint zero and link like any other. A null id takes part in links by
-    fingerprint but names no component unless all ids of the component are null.
-    Repeated rows stay; other columns are left out.
-    """
-    read = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
+
+def _same(one: Column, other: Column) -> Column:
+    return (one["tag"] == other["tag"]) & one["id"].eqNullSafe(other["id"])
+
+
+def grouped(docs: DataFrame, *, size: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+    """``(who, fp, first)`` for each row of ``docs``: itself, its fingerprint and the least row of its component."""
+    read = docs.select(_who(id_col, text_col).alias("_who"), text_bytes(text_col).alias("_text"))
     own = written(fingerprints(read, size=size, text_col="_text", sampled=similarity is not None).drop("_text"), "fingerprints")
-    least = F.min("_id").alias("least")
+    least = F.min("_who").alias("least")
     if similarity is None:
         each = written(own.groupBy("fp").agg(least), "distinct")
         root = components(links(each.select("fp"), crowded=crowded))
     else:
-        each = written(own.groupBy("fp").agg(least, F.min_by("views", "_id").alias("views")), "distinct")
+        each = written(own.groupBy("fp").agg(least, F.min_by("views", "_who").alias("views")), "distinct")
         found = links(each.select("fp"), crowded=crowded)
-        root = similar_components(read, each.where("least is not null"), found, size=size, similarity=similarity)
+        root = similar_components(read, each, found, size=size, similarity=similarity)
     placed = each.join(root, each["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.groupBy("root").agg(F.min("least").alias("first"))
+    by_fp = placed.join(named, "root").select("fp", "first")
+    return own.join(by_fp, "fp").select(F.col("_who").alias("who"), "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
+    """``(id, fingerprint, component_id)`` for each row of ``docs``.
+
+    ``component_id`` is the smallest id reachable over links, the row's own
+    included. Fingerprints within 2 bits link; with ``similarity``, texts that share so
+    much of their shingles link too. Rows without a text or without words have
+    fingerprint zero and link like any other. Rows with a null id take part in links
+    but name no component unless all ids of the component are null.
+    Repeated rows stay; other columns are left out.
+    """
+    found = grouped(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col, crowded=crowded)
+    return found.select(F.col("who.id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document of the least id stays.
+    """Pipeline stage: of each group of near duplicates one row stays.
 
-    Groups are of five-word shingles and similarity 0.8. Of rows that repeat an id one
-    stays; rows without an id stay unless they link to a document that has one.
+    Groups are of five-word shingles and similarity 0.8. The row that stays has the
+    least id, and of several rows with that id (or without any, where no row of the
+    group has one) the least hash of its text. Rows that share an id but are no near
+    duplicates are different documents; of rows with the same id and text one stays.
     """
-    found = near_duplicates(docs, size=5, similarity=0.8)
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    found = grouped(docs, size=5, similarity=0.8)
+    gone = found.where(~_same(F.col("who"), F.col("first"))).select("who").distinct()
+    gone = gone.select(F.col("who.id").alias("_gone_id"), F.col("who.tag").alias("_gone_tag"))
+    tagged = docs.withColumn("_tag", _who("doc_id", "text")["tag"])
+    left = tagged.join(gone, (F.col("_tag") == F.col("_gone_tag")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    if not found.groupBy("who").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_tag"])
+    return left.drop("_tag")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
