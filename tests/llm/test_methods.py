@@ -303,6 +303,24 @@ def test_line_dedup(docs, texts):
         assert got[i]["n_deleted"] == len(lines) - len(left)
 
 
+def test_whole_passages_go(spark):
+    """Passages of 51 words in two lines, and runs whose grams other documents have first."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    some = lambda: [line(6) for _ in range(rng.randrange(4))]
+    rows, gone = [], {}
+    for k in range(40):
+        n = rng.randrange(4, 48)
+        two, three = [line(n), line(51 - n)], [line(20) for _ in range(3)]
+        parts = [some() + two[:1] + some() + two + [line(5)], some() + three[1:] + some() + three[:2] + [line(5)], some() + three + [line(5)]]
+        rows += [(5 * k + j, "\n".join(p)) for j, p in enumerate(parts)]
+        at, to = [line(5), *some()], [line(5), *some()]
+        rows += [(5 * k + 3, "\n".join(at + two + to)), (5 * k + 4, "\n".join(to[:1] + three + at[:1]))]
+        gone |= {5 * k + 3: two, 5 * k + 4: three}
+    for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert not set(gone.get(r["doc_id"], ())) & set(r["lines"]["text"].split("\n"))
+
+
 def test_winnowing_guarantee():
     rng = random.Random(4)
     for _ in range(200):

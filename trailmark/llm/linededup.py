@@ -2,22 +2,24 @@
 
 A document is the sequence of its lines that have a word. Hashes of every
 ``GRAM`` lines in a row go through windows of ``WINDOW``, whose minima (the rightmost
-of equal ones) are the document's fingerprints; a line of ``LONG`` words or more is a
-fingerprint by itself. Two runs of ``GRAM + WINDOW - 1`` equal lines always share a
-fingerprint. Each later occurrence of a fingerprint is joined to its first one, by
-document id and position; from there the match is extended both ways, and the later
-run is deleted.
-
-So every line inside a repeated run of three lines goes, and a repeated line of 50
-words; the two lines at a run's ends go wherever the first occurrence goes on as far.
-Lone short lines stay: they are as often "Yes." as boilerplate.
+of equal ones) are the document's fingerprints; so is each gram whose lines have
+``LONG`` words or more in all, and a line of ``LONG`` words or more by itself. Two runs
+of ``GRAM + WINDOW - 1`` equal lines always share a fingerprint. Each later occurrence
+of a fingerprint is joined to its first one, by document id and position; from there the
+match is extended both ways, and the later run is deleted. The grams that cross the ends
+of a deleted run are looked up among all grams, as a run can go on in another document
+than the one that has its fingerprint first.
+
+So every line of a repeated run of three lines goes, of two lines of 50 words in all,
+and a repeated line of 50 words. Lone short lines stay: they are as often "Yes." as
+boilerplate.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -33,22 +35,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def line_hashes(text: bytes, long: int = LONG) -> tuple[list[int], list[int]]:
-    """Hash of each line with a word, and the places of the long ones among them."""
-    hashes, places = [], []
-    for line in text.split(b"\n"):
-        if line := line.strip():
-            if len(line) >= 2 * long - 1 and len(line.split()) >= long:
-                places.append(len(hashes))
-            hashes.append(_signed(xxh64_intdigest(line, SEED)))
-    return hashes, places
+def line_hashes(text: bytes, long: int = LONG, gram: int = GRAM) -> tuple[list[int], list[int], list[int]]:
+    """Hash of each line with a word, and the places of the long ones and of the long grams among them."""
+    lines = [x for line in text.split(b"\n") if (x := line.strip())]
+    hashes = [_signed(xxh64_intdigest(x, SEED)) for x in lines]
+    # n words take 2n - 1 bytes at least, so few lines are split.
+    places = [k for k, x in enumerate(lines) if len(x) >= 2 * long - 1 and len(x.split()) >= long]
+    sizes = [len(x) for x in lines]
+    wide = [k for k in range(len(lines) - gram + 1) if sum(sizes[k : k + gram]) >= 2 * long - gram and sum(len(x.split()) for x in lines[k : k + gram]) >= long]
+    return hashes, places, wide
 
 
-def winnow(hashes: list[int], places: list[int], gram: int = GRAM, window: int = WINDOW) -> list[tuple[int, int]]:
-    """``(key, position)`` of each fingerprint, in order of position."""
+def winnow(hashes: list[int], places: list[int], gram: int = GRAM, window: int = WINDOW, wide: list[int] | None = None) -> list[tuple[int, int]]:
+    """``(key, position)`` of each fingerprint, in order of position.
+
+    ``places`` of lines and ``wide`` places of grams are fingerprints in any case.
+    """
     raw = np.array(hashes, np.int64).astype(">i8").tobytes()
     grams = [_signed(xxh64_intdigest(raw[8 * k : 8 * (k + gram)], SEED)) for k in range(len(hashes) - gram + 1)]
     found = {(_signed(xxh64_intdigest(raw[8 * k : 8 * k + 8], SEED + 1)), k) for k in places}
+    found.update((grams[k], k) for k in wide or ())
     width = min(window, len(grams))
     for at in range(len(grams) - width + 1 if grams else 0):
         part = grams[at : at + width]
@@ -84,9 +90,9 @@ def _lines(long: int, gram: int, window: int):
     def over(texts: pa.Array) -> pa.Array:
         hashes, prints = [], []
         for text in texts.to_pylist():
-            own, places = line_hashes(text or b"", long)
+            own, places, wide = line_hashes(text or b"", long, gram)
             hashes.append(own)
-            prints.append([{"key": k, "at": p} for k, p in winnow(own, places, gram, window)])
+            prints.append([{"key": k, "at": p} for k, p in winnow(own, places, gram, window, wide)])
         kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, kind)], names=["hashes", "prints"])
 
@@ -101,6 +107,33 @@ def _ranges(own: pa.Array, other: pa.Array, pairs: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
+def _crossing(single: DataFrame, ranged: DataFrame, gram: int) -> DataFrame:
+    """``(who, r)``: grams over an end of a range in ``ranged(who, ends)`` that came earlier anywhere."""
+    ends = ranged.select("who", F.inline("ends")).distinct()
+    every = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda k: k + gram <= F.size("hashes"))
+    grams = single.where("size(hashes) > 0").select("who", "hashes", F.explode(every).alias("at")).select("who", "at", _gram(F.col("at"), gram).alias("key"))
+    # First by key, which tasks do before they deal: common grams then don't meet in one task.
+    firsts = grams.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f"))
+    later = ends.join(firsts, "key").where("not (f.who <=> who and f.at = at)")
+    return later.groupBy("who").agg(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + gram).alias("end"))).alias("r"))
+
+
+def _gram(at: Column, gram: int) -> Column:
+    return F.xxhash64(F.slice("hashes", at + 1, gram))
+
+
+def _ends(gram: int, window: int) -> Column:
+    """``(at, key)`` of the grams over the ends of the ranges ``r``.
+
+    Of a run of ``gram + window - 1`` lines, at most ``window - 1`` grams at either end
+    have no fingerprint.
+    """
+    steps = F.array(*[F.lit(k) for k in range(1, window)]).cast("array<int>")
+    around = F.transform("r", lambda r: F.concat(F.transform(steps, lambda k: r["start"] - k), F.transform(steps, lambda k: r["end"] - gram + k)))
+    inside = F.filter(F.array_distinct(F.flatten(around)), lambda at: (at >= 0) & (at + gram <= F.size("hashes")))
+    return F.transform(inside, lambda at: F.struct(at.alias("at"), _gram(at, gram).alias("key")))
+
+
 def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     """Text without the lines in the ranges, number of lines, deleted lines, deleted words."""
     rows = []
@@ -142,7 +175,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     # is the first to have what very many repeat, Spark then splits its rows.
     single = written(lines.select("who", "hashes").dropDuplicates(["who"]), "single")
     matched = pairs.join(single.select(F.col("who").alias("other"), F.col("hashes").alias("theirs")), "other").join(single, "who")
-    ranged = matched.select("who", F.arrow_udf(_ranges, "array<struct<start:int,end:int>>")("hashes", "theirs", "pairs").alias("r"))
+    ranged = matched.select("who", "hashes", F.arrow_udf(_ranges, "array<struct<start:int,end:int>>")("hashes", "theirs", "pairs").alias("r"))
+    ranged = written(ranged.select("who", "r", _ends(gram, window).alias("ends")), "ranged")
+    ranged = ranged.select("who", "r").unionByName(_crossing(single, ranged, gram))
     cuts = written(ranged.groupBy("who").agg(F.flatten(F.collect_list("r")).alias("ranges")), "cuts")
     cuts = cuts.select(F.col("who.id").alias("_cut_id"), F.col("who.tag").alias("_cut_tag"), F.col("ranges").alias("_cut_ranges"))
     # The cuts grow with the corpus: a merge join at every size, never a broadcast.
