@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -127,11 +129,62 @@ def test_licences(spark):
         (1, "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit),
         (2, mit.upper().replace("LICENSE", "licence").replace('"', "'").replace(" ", "  ")),
         (3, mit + " And more."),
-        (4, "Some words.\n  released under the MIT Licence!\nMore words."),
+        (4, "Some words.\n  released under the MIT Licence!\nMore words.\nLicensed under the Apache License, version 2.0\n"),
         (5, "# " + licences.TEXTS["ISC"].replace("\n", "\n# ").replace("and/or", "and or")),
+        (6, "The above copyright notice is a line\nCopyright notices are words.\n"),
     ]
     got = {r["doc_id"]: (r["licence"], r["notices"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: ("MIT", []), 2: ("MIT", []), 3: (None, []), 4: (None, ["MIT-notice"]), 5: ("ISC", [])}
+    assert got == {1: ("MIT", []), 2: ("MIT", []), 3: (None, []), 4: (None, ["Apache-2.0-notice", "MIT-notice"]), 5: ("ISC", []), 6: (None, [])}
+
+
+TITLES = {
+    "MIT": ("MIT License", "The MIT License (MIT)", "# MIT License\n============="),
+    "ISC": ("ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "Unlicense": ("The Unlicense",),
+}
+RIGHTS = (
+    "Copyright (c) 2020 Some One", "Copyright 2001-2020, The Company, Inc.\nAll rights reserved.", "Copyright (C) Some One <a@b.c>. All rights reserved.",
+    "© 2020 Some One", "(c) 1999 X", "Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright Some One and contributors", "",
+)
+
+
+def test_whole_licences_however_laid_out(spark):
+    """Re-wrapped at 45 to 104 columns, titled or not, with three kinds of list marks and eight notices."""
+    rows, want = [], {}
+    for name, titles in TITLES.items():
+        for width in range(45, 105):
+            body = "\n\n".join(textwrap.fill(x, width) for x in licences.TEXTS[name].split("\n"))
+            body = re.sub(r"(?m)^(\d)\. ", (r"\1. ", r" * ", r"(\1) ")[width % 3], body)
+            for title in ("", titles[width % len(titles)]):
+                want[len(rows)] = name
+                rows.append((len(rows), "\n\n".join(x for x in (title, RIGHTS[len(rows) % len(RIGHTS)], body) if x)))
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
+def test_licences_of_a_table(spark):
+    docs = spark.createDataFrame([(1, "Own Terms\n\nDo as you like, 7 times."), (2, "own terms do as you like 7 times"), (3, "x\nwithout\n")], "doc_id bigint, text string")
+    texts = spark.createDataFrame([("Own", "Own terms. Do as you like, 7 times!"), ("W", "Without"), ("Empty", "...")], "licence string, text string")
+    for few in (licences.SMALL, 0):
+        licences.SMALL, kept = few, licences.SMALL
+        got = {r["doc_id"]: (r["licence"], r["notices"]) for r in licences.scan(docs, texts=texts).collect()}
+        licences.SMALL = kept
+        assert got == {1: ("Own", []), 2: ("Own", ["Own"]), 3: (None, ["W"])}
+
+
+def test_long_licences(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, open(f"{folder}/{k}", encoding="utf-8").read()) for k in names if os.path.exists(f"{folder}/{k}")]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == {k: names[k] for k, _ in rows}
 
 
 def greedy(pieces, word):
