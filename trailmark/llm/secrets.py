@@ -1,9 +1,9 @@
 """Operator 10, secret scans, in DataFrame functions only.
 
-Three patterns give the base spans. The method adds tokens that look random: two
+Three patterns give the base spans. The method adds stretches that look random: two
 character Markov models, of random strings and of ordinary identifiers, are counted
-from labelled samples, and a token is a secret if the mean log-likelihood ratio of
-its character pairs is above a threshold.
+from labelled samples, and a token, or a piece of it between / _ -, is a secret if the
+mean log-likelihood ratio of its character pairs is above a threshold.
 """
 
 from __future__ import annotations
@@ -21,34 +21,18 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: What the models judge: tokens with a digit among letters, in 16 or more characters.
+#: What is looked at: tokens of 16 or more characters, and their pieces between / _ - of 16 or more.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-THRESHOLD = 0.35
+PIECE = r"[A-Za-z0-9+]{16,}={0,2}"
+JOINED = r"[A-Za-z0-9+]{4,}"
+#: Ordinary whatever their characters: identifiers of the UUID form.
+UUID = r"^[^A-Za-z0-9]*([0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}[^A-Za-z0-9]*)+$"
+THRESHOLD = 0.4
 SMOOTH = 0.5
+#: Most labelled samples of each kind that ``labelled_samples`` makes.
 SAMPLES = 4000
 BLOCK = 256
 
-# Words that identifiers are commonly made of.
-WORDS = (
-    "account action active address admin agent alert alias amount append application argument array asset author balance base batch "
-    "binary block body boolean branch buffer build button cache calendar callback cancel category channel character check child class "
-    "client cluster code collection color column command comment commit compare component condition config connection constant container "
-    "content context control convert cookie copy count create current customer data database date default delete delta description detail "
-    "device directory document domain driver editor element email enable encode engine entity entry environment error event example "
-    "exception execute export extension factory feature field file filter final first folder format frame function gateway global graph "
-    "group handler hash header height helper history host identifier image import index info initial input insert instance integer "
-    "interface internal item iterator join journal label language last layer layout length level library limit line link list listener "
-    "load local lock login logger manager map mask matrix member memory merge message metadata method metric model module monitor name "
-    "network node number object offset operator option order output owner package page panel parameter parent parse partition path "
-    "pattern payload pending permission person pixel plugin point policy pool port position prefix price private process product profile "
-    "project property protocol provider proxy public query queue random range rate reader record region register release remote remove "
-    "render replace report request resource response result return role root route rule schedule schema scope screen script search "
-    "section select sequence server service session setting shape signal size snapshot socket sort source space stage start state static "
-    "status storage store stream string style subject submit summary switch symbol sync system table target task template test text "
-    "thread time timeout title toggle total trace track transaction transfer transform tree trigger type unique unit update upload user "
-    "valid value variable vector version view visible volume wait warning widget width window worker wrapper writer zone"
-).split()
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
@@ -110,27 +94,40 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(spark: SparkSession, rows: int = SAMPLES) -> DataFrame:
-    """``(text, random)``: ``rows`` random strings in four alphabets and ``rows`` identifiers in five styles."""
+    """``(text, random)``: up to ``rows`` random strings and some thousand ordinary identifiers.
+
+    The random ones are written in seven alphabets. The ordinary ones were chosen by people:
+    the names of the session's settings and functions with the words of their
+    descriptions, as they are and in the styles of code (camel case, slugs, paths, constants), and dates,
+    times, versions and numbered names.
+    """
     n = spark.range(rows)
-    digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
-    coded = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
-    of = lambda *styles: F.element_at(F.array(*styles), (F.col("id") % len(styles) + 1).cast("int"))
-    random = n.select(of(digest, coded, F.upper(F.regexp_replace(coded, "[+/]", "")), F.translate(coded, "+/", "-_")).alias("text"), F.lit(True).alias("random"))
-    words = F.array(*map(F.lit, WORDS))
-    word = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
-    a, b, c = word(1), word(2), word(3)
-    number = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2030)).cast("string")
-    plain = n.select(
-        of(
-            F.concat_ws("_", a, b, c),
-            F.concat(a, F.initcap(b), F.initcap(c)),
-            F.concat_ws("-", a, b, c, number),
-            F.upper(F.concat_ws("_", a, b, c)),
-            F.concat_ws("/", a, b, F.concat_ws("_", c, number)),
-        ).alias("text"),
-        F.lit(False).alias("random"),
+    bits = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512)
+    coded = F.regexp_replace(F.base64(F.unhex(bits)), "=", "")
+    of = lambda k, *styles: F.element_at(F.array(*styles), (F.pmod(k, F.lit(len(styles))) + 1).cast("int"))
+    plain62 = F.regexp_replace(coded, "[+/]", "")
+    letters = F.regexp_replace(coded, "[^A-Za-z]", "")
+    kinds = (F.substring(bits, 1, 64), F.substring(coded, 1, 43), F.translate(F.substring(coded, 1, 43), "+/", "-_"), F.substring(plain62, 1, 40), F.upper(F.substring(plain62, 1, 40)), F.lower(F.substring(plain62, 1, 40)), F.substring(letters, 1, 40), F.lower(F.substring(letters, 1, 40)))
+    random = n.select(of(F.col("id"), *kinds).alias("text"), F.lit(True).alias("random"))
+    settings = spark.sql("SET -v").select(F.col("key").alias("name"), F.coalesce("meaning", F.lit("")).alias("prose"))
+    functions = spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("name"), F.lit("").alias("prose"))
+    known = settings.unionByName(functions)
+    words = known.select(F.explode(F.split(F.concat_ws(" ", "name", "prose"), "[^A-Za-z]+")).alias("text")).where("length(text) between 2 and 16").distinct()
+    # Three words that stand together in a description, written in the styles of code.
+    near = known.select(F.filter(F.split(F.lower("prose"), "[^a-z]+"), lambda w: F.length(w) > 2).alias("w"))
+    three = near.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2), F.lit(3)), lambda k: F.slice("w", k, 3))).alias("k", "t")).where("size(t) = 3")
+    number = F.pmod(F.xxhash64("t", "k"), F.lit(10_000)).cast("string")
+    camel = F.concat(F.col("t")[0], F.initcap(F.col("t")[1]), F.initcap(F.col("t")[2]))
+    styles = (camel, F.concat(camel, F.substring(number, 1, 2)), F.array_join("t", "_"), F.concat_ws("-", F.array_join("t", "-"), number), F.upper(F.array_join("t", "_")), F.concat_ws("/", F.array_join("t", "/"), number), F.array_join("t", ""), F.concat(F.initcap(camel), F.lit("V"), F.substring(number, 1, 1)))
+    written_ = three.select(of(F.xxhash64("k", "t"), *styles).alias("text")).distinct()
+    moment = F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(2_000_000_000)))
+    form = lambda f: F.date_format(moment, f)
+    some = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100_000)).cast("string")
+    dated = spark.range(rows // 8).select(
+        of(F.col("id"), form("yyyy-MM-dd'T'HH-mm-ss"), form("yyyyMMddHHmmss"), form("yyyy/MM/dd/HH"), F.concat(F.lit("part-"), F.lpad(some, 5, "0")), F.concat(F.lit("v"), some, F.lit("-"), form("yyyyMMdd")), F.concat(form("yyyy-MM-dd"), F.lit("-run"), some)).alias("text")
     )
-    return random.unionByName(plain)
+    dotless = known.select(F.explode(F.split("name", "[.]")).alias("text")).distinct()
+    return random.unionByName(words.union(written_).union(dotless).union(dated).withColumn("random", F.lit(False)))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -167,20 +164,37 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def markov_spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
-    """Tokens with letters and digits that the models call random.
+    """Stretches that the models call random.
 
-    Tokens that are a base span as a whole (hex runs, access keys) aren't repeated.
+    A token is judged as a whole if each of its pieces of four or more characters
+    between / _ - looks random, there are small letters, capitals and digits in it, and it isn't
+    a UUID; else each piece of 16 or more characters is judged by itself, so that the
+    words of a path don't hide a key in it. What is a base span as a whole (hex runs,
+    access keys) isn't repeated.
     """
-    mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]") & ~s["found"].rlike(r"^([0-9a-f]{24,}|AKIA[A-Z0-9]{16,})$")
-    tokens = F.filter(spans(text, TOKEN, "markov"), mixed)
-    return F.filter(tokens, lambda s: ratio(s["found"], model) > threshold)
+    # Letters of one case look least unlike words: for these the ratio has to be twice the threshold.
+    random = lambda x: ratio(x, model) > F.when(x.rlike("^([a-z]+|[A-Z]+)$"), 2 * threshold).otherwise(threshold)
+    base = lambda x: x.rlike(r"^([0-9a-f]{24,}|AKIA[A-Z0-9]{16,})$")
+    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]")
+
+    def judged(s: Column) -> Column:
+        x = s["found"]
+        whole = mixed(x) & x.rlike("[/_-]") & ~x.rlike(UUID) & F.forall(F.regexp_extract_all(x, F.lit(JOINED), F.lit(0)), random) & random(x)
+        moved = lambda p: F.struct((s["start"] + p["start"]).alias("start"), p["rank"].alias("rank"), (s["start"] + p["end"]).alias("end"), p["kind"].alias("kind"), p["found"].alias("found"), p["part"].alias("part"))
+        pieces = F.filter(spans(x, PIECE, "markov"), lambda p: random(p["found"]))
+        return F.when(whole, F.array(s)).otherwise(F.transform(pieces, moved))
+
+    found = F.flatten(F.transform(spans(text, TOKEN, "markov"), judged))
+    return F.filter(found, lambda s: ~base(s["found"]))
 
 
 def scan(docs: DataFrame, model: list[float], *, threshold: float = THRESHOLD, text_col: str = "text", out: str = "secrets") -> DataFrame:
     """Adds a struct of two arrays, ``base`` and ``added``, of (start, rank, end, kind, found, part).
 
     Spans are in code points, end exclusive, in order of start, then kind. A null text
-    counts as empty: no spans. Repeated rows get equal results.
+    counts as empty: no spans. Texts are scanned whole, however long; repeated rows get
+    equal results, ties can't arise (spans of one kind don't overlap), an empty table
+    gives an empty result. A column named ``out`` is replaced; all others stay as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumn(out, F.struct(F.array_sort(base_spans(text)).alias("base"), F.array_sort(markov_spans(text, model, threshold)).alias("added")))
