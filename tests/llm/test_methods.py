@@ -9,9 +9,11 @@ import random
 import re
 import string
 import textwrap
+import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -377,6 +379,61 @@ def test_whole_passages_go(spark):
         assert not set(gone.get(r["doc_id"], ())) & set(r["lines"]["text"].split("\n"))
 
 
+def brute_runs(docs, least=3):
+    """For each document the places that are in a run of ``least`` lines that came earlier, in it or before it."""
+    seen, out = set(), []
+    for lines in docs:
+        runs = [tuple(lines[p : p + least]) for p in range(len(lines) - least + 1)]
+        gone = set()
+        for p, run in enumerate(runs):
+            if run in seen:
+                gone.update(range(p, p + least))
+            seen.add(run)
+        out.append(gone)
+    return out
+
+
+def test_repeated_runs_go_whole(spark):
+    """Random corpora of few lines: all of every repeated run goes, and what goes was in a repeated pair at least."""
+    rng = random.Random(12)
+    for kinds in (6, 40):
+        parts = [[f"line {rng.randrange(kinds)} of {k}" for _ in range(rng.randrange(1, 8))] for k in range(12)]
+        docs = [[x for _ in range(rng.randrange(1, 5)) for x in rng.choice(parts)[rng.randrange(3) :][: rng.randrange(1, 9)]] for _ in range(150)]
+        docs += [["P", "X", "Y", "Z"], ["O", "P", "X", "Y", "Z", "Q", "R"], ["N", "O", "P", "X", "Y", "Z", "Q", "R", "S"], ["same"] * 9]
+        rows = [(k, "\n".join(f"{x}\t" for x in d)) for k, d in enumerate(docs)]
+        got = {r["doc_id"]: r["lines"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        must, may = brute_runs(docs), brute_runs(docs, 2)
+        for k, d in enumerate(docs):
+            left = collections.Counter(x.strip() for x in got[k]["text"].split("\n") if x.strip())
+            gone = collections.Counter(d) - left
+            assert not collections.Counter(d[p] for p in must[k]) - gone
+            assert not gone - collections.Counter(d[p] for p in may[k])
+
+
+def test_many_equal_lines():
+    began = time.time()
+    n = 100_000
+    assert linededup.extend([7] * n, [7] * n, [(p, 0) for p in range(1, n)]) == [(1, n)]
+    cut = linededup._cut(pa.array([b"x\n" * n]), pa.array([[{"start": p, "end": n} for p in range(1, 3000)]])).to_pylist()
+    assert cut[0]["n_deleted"] == n - 1 and time.time() - began < 30
+
+
+def test_extending_as_by_walking():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) - 1 for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        pairs = [(p, q) for p in range(len(a)) for q in range(len(b)) if a[p] == b[q] and rng.random() < 0.1]
+        want = set()
+        for p, q in pairs:
+            s, t = p, q
+            while s and t and a[s - 1] == b[t - 1]:
+                s, t = s - 1, t - 1
+            while s < len(a) and t < len(b) and a[s] == b[t]:
+                want.add(s)
+                s, t = s + 1, t + 1
+        assert {x for s, e in linededup.extend(a, b, pairs) for x in range(s, e)} == want
+
+
 def test_winnowing_guarantee():
     rng = random.Random(4)
     for _ in range(200):

@@ -63,26 +63,56 @@ def winnow(hashes: list[int], places: list[int], gram: int = GRAM, window: int =
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rolled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the sum of the hashes before it, each times a power of ``BASE``; and those powers."""
+    powers = np.ones(len(hashes) + 1, np.uint64)
+    np.multiply.accumulate(np.full(len(hashes), BASE), out=powers[1:])
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.add.accumulate(hashes.view(np.uint64) * powers[:-1], out=sums[1:])
+    return sums, powers
+
+
 def extend(own: list[int], other: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges ``[start, end)`` of ``own`` that repeat ``other`` around each pair of places.
+    """Ranges ``[start, end)`` of ``own`` that repeat ``other`` around each pair of places, put together.
 
     Both may be one document: the place in ``other`` comes first in each pair, so
-    the first line of a run that repeats itself is never in a range.
+    the first line of a run that repeats itself is never in a range. All pairs are
+    extended at once by halving, on sums that tell runs of hashes apart: a text of many equal
+    lines has a diagonal for each of them, and walking along each would take their square.
     """
+    if not pairs:
+        return []
+    a, b = np.array(own, np.int64), np.array(other, np.int64)
+    (one, powers), (two, more) = _rolled(a), _rolled(b)
+    powers = powers if len(powers) >= len(more) else more
+    p, q = np.array(sorted(set(pairs)), np.int64).T
+
+    def equal(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether ``n`` lines from ``i`` of own and from ``j`` of other are the same."""
+        x, y = one[i + n] - one[i], two[j + n] - two[j]
+        return x * powers[np.maximum(j - i, 0)] == y * powers[np.maximum(i - j, 0)]
+
+    def longest(most: np.ndarray, same) -> np.ndarray:
+        low, high = np.zeros_like(most), most
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            good = same(middle)
+            low, high = np.where(good, middle, low), np.where(good, high, middle - 1)
+        return low
+
+    before = longest(np.minimum(p, q), lambda n: equal(p - n, q - n, n))
+    behind = longest(np.minimum(len(a) - p, len(b) - q), lambda n: equal(p, q, n))
     ranges: list[tuple[int, int]] = []
-    reached: dict[int, int] = {}
-    for p, q in sorted(pairs):
-        if reached.get(p - q, -1) > p:
+    for start, end in sorted(set(zip((p - before).tolist(), (p + behind).tolist()))):
+        if start == end:
             continue
-        a, b = p, q
-        while a > 0 and b > 0 and own[a - 1] == other[b - 1]:
-            a, b = a - 1, b - 1
-        end, stop = p, q
-        while end < len(own) and stop < len(other) and own[end] == other[stop]:
-            end, stop = end + 1, stop + 1
-        reached[p - q] = end
-        if end > a:
-            ranges.append((a, end))
+        if ranges and start < ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
+        else:
+            ranges.append((start, end))
     return ranges
 
 
@@ -109,11 +139,14 @@ def _ranges(own: pa.Array, other: pa.Array, pairs: pa.Array) -> pa.Array:
 
 def _crossing(single: DataFrame, ranged: DataFrame, gram: int) -> DataFrame:
     """``(who, r)``: grams over an end of a range in ``ranged(who, ends)`` that came earlier anywhere."""
-    ends = ranged.select("who", F.inline("ends")).distinct()
+    ends = ranged.select("who", F.inline("ends"))
     every = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda k: k + gram <= F.size("hashes"))
     grams = single.where("size(hashes) > 0").select("who", "hashes", F.explode(every).alias("at")).select("who", "at", _gram(F.col("at"), gram).alias("key"))
-    # First by key, which tasks do before they deal: common grams then don't meet in one task.
-    firsts = grams.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f"))
+    # First by key, which tasks do before they deal: common grams then don't meet in one task. Written,
+    # so that the next join is one of plain sides, and Spark can split the rows of a common end.
+    asked = ends.select(F.col("key").alias("asked")).distinct()
+    firsts = grams.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f")).join(asked, F.col("key") == F.col("asked")).select("key", "f")
+    firsts = written(firsts, "end_firsts").hint("merge")
     later = ends.join(firsts, "key").where("not (f.who <=> who and f.at = at)")
     return later.groupBy("who").agg(F.collect_set(F.struct(F.col("at").alias("start"), (F.col("at") + gram).alias("end"))).alias("r"))
 
@@ -140,9 +173,12 @@ def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
     for text, cut in zip(texts.to_pylist(), ranges.to_pylist()):
         lines = (text or b"").split(b"\n")
         worded = [bool(x.strip()) for x in lines]
-        drop: set[int] = set()
+        # Places where ranges begin and end, summed up: in any, however they overlap.
+        steps = np.zeros(sum(worded) + 1, np.int64)
         for r in cut or []:
-            drop.update(range(r["start"], r["end"]))
+            steps[r["start"]] += 1
+            steps[r["end"]] -= 1
+        drop = set(np.nonzero(np.cumsum(steps) > 0)[0].tolist())
         kept, at, words = [], 0, 0
         for line, some in zip(lines, worded):
             if some and at in drop:
@@ -160,7 +196,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
 
     "Earlier" is by id (nulls last), then by the text's hash, then by position. Rows
     with the same id and text are one document: none of them loses a line to another.
-    A null text stays null and an empty one empty, with no lines.
+    A null text stays null and an empty one empty, with no lines; a text of any number of
+    lines is read whole, equal lines in a row are a run that repeats itself. An empty table gives an
+    empty result. A column named ``out`` is replaced; all others stay as they are.
     """
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # Nulls of the id last: the smallest struct is then the first occurrence.
@@ -169,6 +207,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     lines = written(read.select("who", _lines(long, gram, window)("_text").alias("l")).select("who", "l.*").where("size(prints) > 0"), "lines")
     prints = lines.select("who", F.inline("prints"))
     firsts = prints.groupBy("key").agg(F.min(F.struct("who", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", "f")
+    # Written for the same reason as below: very many documents may share a fingerprint.
+    firsts = written(firsts, "firsts").hint("merge")
     later = prints.join(firsts, "key").where("not (f.who <=> who and f.at = at)")
     pairs = later.groupBy("who", F.col("f.who").alias("other")).agg(F.collect_set(F.struct("at", F.col("f.at").alias("first"))).alias("pairs"))
     # Written, so that both sides of the next join are plain shuffles: where one document
