@@ -1,4 +1,8 @@
-"""Connected components of an edge list, by alternating large-star and small-star steps."""
+"""Connected components of an edge list, by alternating large-star and small-star steps.
+
+The least neighbours are written before they are joined back: with plain sides Spark can
+split the rows of a hub, which it can't behind an aggregate.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +15,14 @@ from .common import written
 def _large(edges: DataFrame) -> DataFrame:
     """Links each node's larger neighbours to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+    least = written(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 

@@ -171,7 +171,7 @@ def crossing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     slack = 1e-6
     sized = sets.select("fp", "comp", F.size("tokens").alias("size"))
     tokens = sets.select("fp", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     order = tokens.join(shared, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
     # Tokens that no other set has come first, so they only count in the places.
     lone = F.col("size") - F.size("order")
@@ -180,7 +180,7 @@ def crossing_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     posts = order.join(sized, "fp").select("fp", "comp", "size", lone.alias("lone"), F.posexplode(prefix).alias("pos", "o"))
     posts = written(posts.select("fp", "comp", "size", (F.col("lone") + F.col("pos")).alias("at"), "o.token"), "posts")
     members = posts.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    most = members.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    most = written(members.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("most"), F.count("*").alias("kinds")).where("kinds > 1"), "most")
     posts = written(posts.join(most, "token").withColumn("minor", F.col("comp") != F.col("most")).drop("most", "kinds"), "crossing")
     # The smaller set of a pair has the token in a shorter prefix still.
     small = posts.where(F.col("at") < least(2 * similarity / (1 + similarity))).alias("y")
@@ -207,12 +207,14 @@ def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, si
     similar: pairs inside a component can't change it, so none of them is needed.
     """
     met = each.select("fp", "least", F.posexplode("views").alias("view", "key"))
-    groups = met.groupBy("view", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # Aggregates are written before they are joined back, here and below: behind an aggregate
+    # Spark can't split what is hot (a crowded sample, the root of a large component, fingerprint zero).
+    groups = written(met.groupBy("view", "key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     met = written(met.join(groups, ["view", "key"]), "met")
-    weight = met.groupBy("fp", "least").agg(F.sum("n").alias("weight"))
+    weight = met.groupBy("fp", "least").agg(F.sum("n").alias("weight"))  # as many rows a key as there are views
     weighed = met.join(weight, ["fp", "least"])
     first = F.min(F.struct(-F.col("weight"), "least", "fp"))["fp"]
-    heads = weighed.groupBy("view", "key").agg(first.alias("central"), F.min(F.struct("least", "fp"))["fp"].alias("oldest"))
+    heads = written(weighed.groupBy("view", "key").agg(first.alias("central"), F.min(F.struct("least", "fp"))["fp"].alias("oldest")), "heads")
     pairs = met.join(heads, ["view", "key"]).select(F.col("fp").alias("u"), F.explode(F.array("central", "oldest")).alias("v"))
     pairs = written(pairs.where("u != v").distinct(), "pairs")
     named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(each.select("fp", "least"), "fp")
@@ -225,7 +227,7 @@ def similar_components(docs: DataFrame, each: DataFrame, found: DataFrame, *, si
 
     root = components(found.unionByName(similar(pairs)))
     placed = met.join(root, met["fp"] == root["node"], "left").select("fp", "view", "key", F.coalesce("root", "fp").alias("comp"))
-    mixed = placed.groupBy("view", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    mixed = written(placed.groupBy("view", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high"), "mixed")
     apart = written(placed.join(mixed, ["view", "key"], "left_semi").select("fp", "comp").distinct(), "apart")
     if apart.isEmpty():
         return root
@@ -257,8 +259,8 @@ def grouped(docs: DataFrame, *, size: int = 3, similarity: float | None = None,
         found = links(each.select("fp"), crowded=crowded)
         root = similar_components(read, each, found, size=size, similarity=similarity)
     placed = each.join(root, each["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("first"))
-    by_fp = placed.join(named, "root").select("fp", "first")
+    named = written(placed.groupBy("root").agg(F.min("least").alias("first")), "named")
+    by_fp = written(placed.join(named, "root").select("fp", "first"), "by_fp")
     return own.join(by_fp, "fp").select(F.col("_who").alias("who"), "fp", "first")
 
 
@@ -270,7 +272,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, similarity: float | None
     much of their shingles link too. Rows without a text or without words have
     fingerprint zero and link like any other. Rows with a null id take part in links
     but name no component unless all ids of the component are null.
-    Repeated rows stay; other columns are left out.
+    Texts of any length are read whole; equal texts tie, and the least id stands for them.
+    Repeated rows stay; an empty table gives an empty result. Only the id and the text are
+    read, so other columns may have any names; they are left out.
     """
     found = grouped(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col, crowded=crowded)
     return found.select(F.col("who.id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
