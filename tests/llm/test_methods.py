@@ -464,6 +464,7 @@ def test_nearest(spark, shard_rows):
     for r in ann.search(graphs, shards, vectors.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     wide, hits = v.astype(np.float64), 0
+    assert shards == (1 if shard_rows > 1500 else 4)
     for q in range(0, 1500, 20):
         score = wide @ wide[q]
         order = [k for k in np.lexsort((np.arange(1500), -np.round(score, 9))) if k != q][:20]
@@ -474,6 +475,37 @@ def test_nearest(spark, shard_rows):
     assert hits / (75 * 20) > 0.95
 
 
+def test_nearest_query(spark):
+    """Recall, ranks and scores of the query's own rows over the whole table."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").where("embedding is not null").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, v = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)
+    got = collections.defaultdict(list)
+    for r in ann.op9_nearest(spark, sf).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    asked, hits = [k for k, i in enumerate(ids) if i % 20 == 0 and v[k].any()], 0
+    assert sorted(got) == sorted(ids[asked].tolist())
+    for q in asked:
+        score = v @ v[q]
+        order = [k for k in np.lexsort((ids, -score)) if k != q][:20]
+        found = got[int(ids[q])]
+        assert [x[0] for x in found] == list(range(1, 21)) and found == sorted(found, key=lambda x: (-x[2], x[1]))
+        place = np.searchsorted(ids, [x[1] for x in found])
+        assert np.allclose(score[place], [x[2] for x in found], atol=1e-12)
+        hits += sum(x[2] >= score[order[-1]] - 1e-12 for x in found)
+    assert hits / (20 * len(asked)) > 0.97
+
+
+def test_nearest_in_doubles(spark):
+    """Vectors of doubles are scored as they are, not rounded to floats."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 5)) / 3
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    graphs, shards = ann.index(vectors)
+    for r in ann.search(graphs, shards, vectors.where("vec_id % 20 = 0")).collect():
+        assert r["score"] == pytest.approx(float(v[r["query_id"]] @ v[r["vec_id"]]), abs=1e-14)
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 SAMPLES = [
     'x password=abcdef token: "ABC123" api_key = \'zz.zz_99\' APIKEY:1234567',

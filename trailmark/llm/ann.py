@@ -1,9 +1,11 @@
 """Operator 9, approximate nearest neighbours by inner product: an HNSW graph per shard.
 
-Rows are dealt to shards of ``SHARD_ROWS`` by a hash of their id. Each shard's graph is
+Rows are dealt to shards of up to ``SHARD_ROWS`` by a hash of their id. Each shard's graph is
 a table of nodes with flat neighbour arrays; equal vectors are one node with all their
-ids. Every query goes to every shard, in a stream behind the shard's nodes, and the
-shards' results are merged.
+ids. A task holds the graphs of up to ``PACK`` shards and is sent every query once, in a
+stream behind its nodes; what its shards find is merged there, then over the tasks. So
+every query meets every shard: with a share of the rows as queries, the work grows with
+queries times shards, and the large shards keep that product small.
 
 Largest inner product is made a matter of distance by one more component that brings
 all vectors of a shard to the same length; scores are worked out again in double
@@ -23,13 +25,18 @@ from pyspark.sql.window import Window
 from . import hnsw
 from .common import written
 
-SHARD_ROWS = 16_384
+SHARD_ROWS = 65_536
+#: Smaller tables are dealt to up to ``LEAST_SHARDS`` shards, none of less than ``FEW_ROWS`` on average.
+FEW_ROWS = 4_096
+LEAST_SHARDS = 4
+#: Most graphs that a task holds at once.
+PACK = 8
 LINKS = 16
 BUILD_WIDTH = 48
 SEARCH_WIDTH = 200
 K = 20
 EVERY = 20
-INDEX = "dim int, shard int, node int, ids array<bigint>, vector array<float>, near array<int>"
+INDEX = "dim int, shard int, node int, ids array<bigint>, vector {}, near array<int>"
 
 
 def usable(vector: Column) -> Column:
@@ -50,13 +57,20 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _built(links: int, width: int):
+def _kind(vectors: DataFrame, column: str) -> str:
+    """The vectors' own precision: doubles stay doubles."""
+    return "array<double>" if vectors.schema[column].dataType.simpleString() == "array<double>" else "array<float>"
+
+
+def _built(links: int, width: int, kind: str):
+    number = pa.float64() if kind == "array<double>" else pa.float32()
+
     def over(shard: pa.Table) -> pa.Table:
         dim = shard["dim"][0].as_py()
         vectors = _matrix(shard["vector"].combine_chunks(), dim)
         ids = shard["vec_id"].to_numpy()
         # A negative zero is a zero: equal vectors are one node.
-        unique, inverse = np.unique(vectors + np.float32(0), axis=0, return_inverse=True)
+        unique, inverse = np.unique(vectors + vectors.dtype.type(0), axis=0, return_inverse=True)
         shuffled = np.random.default_rng(len(unique)).permutation(len(unique))
         unique = unique[shuffled]
         node = np.argsort(shuffled)[inverse.reshape(-1)]
@@ -70,7 +84,7 @@ def _built(links: int, width: int):
                 "shard": pa.array(np.full(len(unique), shard["shard"][0].as_py(), np.int32)),
                 "node": pa.array(np.arange(len(unique), dtype=np.int32)),
                 "ids": pa.array(np.split(ids[order], ends[:-1]), pa.list_(pa.int64())),
-                "vector": pa.array(list(unique), pa.list_(pa.float32())),
+                "vector": pa.array(list(unique), pa.list_(number)),
                 "near": pa.array(near, pa.list_(pa.int32())),
             }
         )
@@ -83,13 +97,16 @@ def index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
 
     Every usable row with an id is in the index; vectors of different lengths have
     graphs of their own, as they have no inner product with each other. A shard is
-    one task's work and bounded by ``shard_rows``.
+    one task's work and bounded by ``shard_rows``. Rows that repeat an id or a vector are
+    all there; an empty table gives an empty index. Other columns are left out.
     """
+    kind = _kind(vectors, vector_col)
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"), F.size(vector_col).alias("dim"))
-    shards = max(1, -(-rows.count() // shard_rows))
+    rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.size(vector_col).alias("dim"))
+    number = rows.count()
+    shards = max(1, -(-number // shard_rows), min(LEAST_SHARDS, -(-number // FEW_ROWS)))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return written(rows.groupBy("dim", "shard").applyInArrow(_built(links, width), INDEX), "graphs"), shards
+    return written(rows.groupBy("dim", "shard").applyInArrow(_built(links, width, kind), INDEX.format(kind)), "graphs"), shards
 
 
 class Shard:
@@ -113,11 +130,12 @@ class Shard:
     def nearest(self, queries: np.ndarray, own: np.ndarray, k: int, width: int) -> Iterator[list[tuple[float, int]]]:
         """For each query (with its own id) its ``k`` best as (-score, id), in order."""
         zero = np.zeros((len(queries), 1))
-        scaled = np.concatenate([queries / np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1, keepdims=True)), zero], axis=1)
+        queries = queries.astype(np.float64)
+        scaled = np.concatenate([queries / np.sqrt((queries**2).sum(axis=1, keepdims=True)), zero], axis=1)
         places = hnsw.search(self.even, self.layers, scaled.astype(np.float32), width)
         score = np.zeros(places.shape)
         for d in range(queries.shape[1]):  # from the first component to the last, in double precision
-            score += queries[:, d : d + 1].astype(np.float64) * self.vectors[np.maximum(places, 0), d].astype(np.float64)
+            score += queries[:, d : d + 1] * self.vectors[np.maximum(places, 0), d].astype(np.float64)
         score[places < 0] = -np.inf
         order = np.argsort(-score, axis=1, kind="stable")
         for q in range(len(queries)):
@@ -136,32 +154,34 @@ class Shard:
 def _searched(links: int, k: int, width: int):
     kind = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def answers(shard: Shard, rows: pa.Table, dim: int) -> Iterator[pa.RecordBatch]:
+    def answers(held: list[Shard], rows: pa.Table, dim: int) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), hnsw.BATCH):
             part = rows.slice(at, hnsw.BATCH)
             own, keys = part["query_id"].to_pylist(), part["query_key"].to_pylist()
-            found = list(shard.nearest(_matrix(part["vector"].combine_chunks(), dim), np.array(own), k, width))
-            out = [(q, y, i, -s) for q, y, f in zip(own, keys, found) for s, i in f]
+            queries = _matrix(part["vector"].combine_chunks(), dim)
+            found = zip(*(shard.nearest(queries, np.array(own), k, width) for shard in held))
+            out = [(q, y, i, -s) for q, y, f in zip(own, keys, found) for s, i in sorted(x for one in f for x in one)[:k]]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind.field(c).type) for c in range(4)], schema=kind)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, shard = None, [], None
+        held, nodes, shards = None, {}, []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            marks = np.stack([table[c].to_numpy() for c in ("shard", "dim", "kind")], axis=1)
+            marks = np.stack([table[c].to_numpy() for c in ("dim", "kind", "shard")], axis=1)
             cuts = [0, *(np.nonzero((marks[1:] != marks[:-1]).any(axis=1))[0] + 1).tolist(), len(marks)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                own, (_, dim, query) = tuple(marks[a][:2]), marks[a]
-                if own != held:
-                    held, nodes, shard = own, [], None
+                dim, query, number = marks[a].tolist()
+                if dim != held:
+                    held, nodes, shards = dim, {}, []
                 if not query:
-                    nodes.append(table.slice(a, b - a).select(["node", "ids", "vector", "near"]))
-                elif nodes or shard:
-                    if shard is None:
-                        shard, nodes = Shard(nodes, int(dim), links), []
-                    yield from answers(shard, table.slice(a, b - a), int(dim))
+                    nodes.setdefault(number, []).append(table.slice(a, b - a).select(["node", "ids", "vector", "near"]))
+                    continue
+                while nodes:
+                    shards.append(Shard(nodes.pop(min(nodes)), dim, links))
+                if shards:
+                    yield from answers(shards, table.slice(a, b - a), dim)
 
     return over
 
@@ -171,14 +191,17 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, *, id_col: str =
 
     Queries with unusable vectors or without an id have no result; repeated ones have
     one. Ties go to the smaller ``vec_id``; if there are fewer than ``k`` candidates,
-    all that were found are there.
+    all that were found are there. An empty index or table of queries gives an empty
+    result. Scores are of the original vectors, floats or doubles as the table has them.
     """
+    tasks = max(min(shards, LEAST_SHARDS), -(-shards // PACK))
+    kind = dict(graphs.dtypes)["vector"]
     asked = queries.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    asked = asked.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<float>").alias("vector"), F.size(vector_col).alias("dim")).distinct()
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query_id", F.xxhash64("vector").alias("query_key"), "vector")
-    stream = graphs.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    stream = stream.select("shard", "dim", "kind", "node", "ids", "vector", "near", "query_id", "query_key")
-    dealt = stream.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "kind")
+    asked = asked.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast(kind).alias("vector"), F.size(vector_col).alias("dim")).distinct()
+    asked = asked.select("dim", F.lit(-1).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(1).alias("kind"), "query_id", F.xxhash64("vector").alias("query_key"), "vector")
+    stream = graphs.withColumn("kind", F.lit(0)).withColumn("task", F.col("shard") % tasks).unionByName(asked, allowMissingColumns=True)
+    stream = stream.select("task", "shard", "dim", "kind", "node", "ids", "vector", "near", "query_id", "query_key")
+    dealt = stream.repartitionById(tasks, F.col("task")).sortWithinPartitions("dim", "kind", "shard")
     found = dealt.mapInArrow(_searched(links, k, width), "query_id bigint, query_key bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

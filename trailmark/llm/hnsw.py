@@ -130,7 +130,8 @@ def build(vectors: np.ndarray, links: int, width: int) -> list[np.ndarray]:
             found, score = beam(vectors, layer[:there], vectors[batch], entry, width if len(own) else 1)
             if len(own):
                 # Nodes of one batch may be each other's neighbours.
-                mutual = vectors[own] @ vectors[own].T
+                # (not by @, whose library would wait in threads of its own beside the task's)
+                mutual = np.einsum("id,jd->ij", vectors[own], vectors[own])
                 np.fill_diagonal(mutual, -np.inf)
                 near = np.argsort(-mutual, axis=1)[:, : min(width, len(own) - 1)]
                 places = np.concatenate([found[: len(own)], own[near]], axis=1)
