@@ -47,6 +47,8 @@ def test_backoff(odd, none):
     assert {r["mean_score"] for r in got if r["doc_id"] in (1, 2, 3)} == {None}
     assert [r["n_words"] for r in got if r["doc_id"] == 5] == [120_000]
     assert len({r["log_score"] for r in got if r["doc_id"] == 11}) == 1
+    lone = backoff.score(odd.where("doc_id = 4")).first()
+    assert (lone["n_words"], lone["log_score"]) == (1, 0.0)
     assert backoff.score(none).count() == 0
 
 

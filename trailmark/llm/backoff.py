@@ -1,14 +1,14 @@
-"""Operator 2, stupid-backoff scores of documents under the corpus's own n-grams.
+"""Operator 2, stupid-backoff scores of documents under the n-grams of all other documents.
 
 Texts become chunks of about ``CHUNK_WORDS`` words: word numbers of the chunk and the
-hashes of its words. Each chunk counts its n-grams (so that a frequent one is one entry
-per chunk) and deals them to hash partitions; a partition adds up the count table of
-its n-grams and answers every chunk with the counts of what it asked. Back in the
-chunk, each word is scored at the highest order whose n-gram is in the table, and the
-scores are summed per document.
-
-N-grams of two words or more are in the table from ``LEAST`` occurrences on, as is
-usual; with every n-gram of the corpus in it, nothing would ever back off.
+hashes of its words. For each order in turn every chunk gives its distinct n-grams with
+their counts, in one array for each hash partition. There the arrays are exploded, the
+rows of an n-gram are added up to its entry in the count table, every row is joined to its
+entry, and the totals go back to their chunks. At last each word is scored at the highest
+order that other documents have, and the scores are summed per document.
+
+An n-gram that other documents have is made of two shorter ones that they have, so only
+such n-grams are asked for: nothing is lost, as those left out have no count to give.
 """
 
 from __future__ import annotations
@@ -18,49 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from .common import shared_folder, short_batches, text_bytes
 
 ORDER = 3
-LEAST = 2
 ALPHA = 0.4
+#: Words of a chunk and distinct n-grams of a partition's array: less than 2^21.
 CHUNK_WORDS = 2_000_000
-PART_ENTRIES = 4_000_000
-CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes binary, words binary"
-
-
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers by byte plane, compressed: high bytes are mostly zero and take no room."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
-def packed_sorted(numbers: np.ndarray) -> bytes:
-    return packed(np.diff(numbers, prepend=np.uint64(0)))
-
-
-def unpacked_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
-
-
-def hash_bits(entries: int) -> int:
-    """Bits of an n-gram's hash, for hardly any two in a corpus of this size to share one.
-
-    Sorted hashes take as many bits each as exceed the logarithm of their number, so a
-    hash wider than the corpus needs is paid for in every shuffle. With all 64 bits, from
-    10^11 words on, at 10^13 n-grams one in a million shares another's.
-    """
-    return min(64, max(52, entries.bit_length() + 26))
+PART_WORDS = 1_000_000
+BUCKET_BYTES = 8_000_000
+CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes array<bigint>, words array<int>"
+#: Low bits of a number that holds a place and a total.
+TOTAL_BITS = 42
 
 
 def _chunked(limit: int):
@@ -73,21 +47,25 @@ def _chunked(limit: int):
 
         def done() -> pa.RecordBatch:
             hashes = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            # The most frequent words get the smallest numbers, whose high bytes are zero.
+            # The most frequent words get the smallest numbers, which compress best.
             place = np.array(words, np.int64)
             often = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
             number = np.empty(len(known), np.int64)
             number[often] = np.arange(len(known))
-            columns = [pa.array([at], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-            columns += [pa.array([hashes[often].tobytes()], pa.binary()), pa.array([packed(number[place])], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "hashes", "words"])
+            values = ([at], [ids], [sizes], [hashes[often].view(np.int64)], [number[place].astype(np.int32)])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["chunk", "ids", "sizes", "hashes", "words"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = (text.as_py() or b"").split()
+                # A text of more words than a chunk holds is a chunk of its own.
+                if words and len(words) + len(own) > limit:
+                    yield done()
+                    at, ids, sizes, words, known = at + 1, [], [], [], {}
                 words += [known.setdefault(w, len(known)) for w in own]
                 ids.append(i), sizes.append(len(own))
-                if len(words) >= limit or len(ids) >= limit:
+                if len(ids) >= limit:
                     yield done()
                     at, ids, sizes, words, known = at + 1, [], [], [], {}
         if ids:
@@ -103,126 +81,147 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Grams:
-    """The n-grams of a chunk: for each order the distinct hashes and, by position, their places."""
-
-    def __init__(self, hashes: bytes, words: bytes, sizes: list[int], order: int, bits: int = 64):
-        self.bits = bits
-        self.sizes = np.array(sizes, np.int64)
-        word = np.frombuffer(hashes, np.uint64)[unpacked(words)]
-        first = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.before = np.arange(len(word)) - first  # words before this one in its document
-        self.distinct: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []
-        gram = _mixed(word)
-        for n in range(1, order + 1):
-            if n > 1:
-                gram = _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :])
-            # The n-gram that ends at position p begins at p - n + 1.
-            inside = np.nonzero(self.before[n - 1 :] >= n - 1)[0]
-            own, place, count = np.unique(gram[inside] >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-            at = np.full(len(word), -1, np.int64)
-            at[inside + n - 1] = place.reshape(-1)
-            self.distinct.append(own), self.place.append(at), self.count.append(count)
-
-    def cuts(self, n: int, parts: int) -> np.ndarray:
-        """Where each hash partition begins among the distinct n-grams."""
-        own = self.distinct[n - 1]
-        return np.searchsorted((own >> np.uint64(self.bits - 32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
-
-
-def _asked(order: int, parts: int, bits: int):
-    kind = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = {c: batch.column(c)[k].as_py() for c in ("chunk", "sizes", "hashes", "words")}
-                grams = Grams(row["hashes"], row["words"], row["sizes"], order, bits)
-                for n in range(1, order + 1):
-                    cuts = grams.cuts(n, parts)
-                    for p in np.nonzero(np.diff(cuts))[0].tolist():
-                        a, b = cuts[p], cuts[p + 1]
-                        values = ([p], [n], [row["chunk"]], [packed_sorted(grams.distinct[n - 1][a:b])], [packed(grams.count[n - 1][a:b])])
-                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, kind)], schema=kind)
+class Chunk:
+    """A chunk's words, and for the orders whose totals are known the counts that other documents have."""
+
+    def __init__(self, row: pa.Table, orders: int):
+        flat = lambda name: row[name].combine_chunks().flatten().to_numpy()
+        self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").astype(np.int64)
+        self.ids = row["ids"][0].as_py()
+        self.word = flat("hashes").view(np.uint64)[flat("words")]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.before = np.arange(len(self.word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.gram = np.zeros(0, np.uint64)
+        self.order = 0
+        self.others: list[np.ndarray] = []  # by order: for the n-gram that ends at each word
+        for n in range(1, orders + 1):
+            self.next()
+            self.learn(flat(f"totals_{n}"))
+
+    def next(self) -> None:
+        """Goes to the next order: its distinct n-grams of which other documents have the parts."""
+        self.order += 1
+        n = self.order
+        if n == 1:
+            self.gram = _mixed(self.word)
+            at = np.arange(len(self.word))
+        else:
+            self.gram = _mixed(self.gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word[n - 1 :])
+            seen = self.others[-1] > 0
+            end = np.arange(n - 1, len(self.word))
+            at = end[(self.before[end] >= n - 1) & seen[end] & seen[end - 1]]
+        grams = self.gram[at - (n - 1)]
+        by = np.argsort(grams, kind="stable")  # then by place, and so by document
+        self.at, grams = at[by], grams[by]
+        first = np.ones(len(by), bool)
+        first[1:] = grams[1:] != grams[:-1]
+        own = first.copy()
+        own[1:] |= self.doc[self.at[1:]] != self.doc[self.at[:-1]]
+        count = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(by)))
+        self.distinct, self.count, self.place = grams[first], count(first), np.cumsum(first) - 1
+        self.own = count(own)[np.cumsum(own) - 1]
+
+    def learn(self, totals: np.ndarray) -> None:
+        """Takes the totals of this order's distinct n-grams."""
+        other = np.zeros(len(self.word), np.int64)
+        other[self.at] = totals[self.place] - self.own
+        self.others.append(other)
+
+    def scores(self, alpha: float, total: int) -> np.ndarray:
+        """Log score of each document."""
+        rest = np.maximum(total - self.sizes, 1)[self.doc]
+        score = np.log(np.maximum(self.others[0], 1) / rest)
+        for n in range(1, len(self.others)):
+            context = np.concatenate([[1], self.others[n - 1][:-1]]) if len(score) else score
+            here = np.log(np.maximum(self.others[n], 1) / np.maximum(context, 1))
+            # A word with fewer than n words before it has no such n-gram to back off from.
+            score = np.where(self.others[n] > 0, here, score + np.where(self.before >= n, np.log(alpha), 0.0))
+        return np.bincount(self.doc, score, len(self.sizes))
+
+
+def _asked(order: int, parts: int):
+    def over(row: pa.Table) -> pa.Table:
+        chunk = Chunk(row, order - 1)
+        chunk.next()
+        part = (chunk.distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
+        some = np.nonzero(np.diff(ends))[0]
+        cut = pa.array(np.append(ends[some], ends[-1:]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (chunk.distinct.view(np.int64), chunk.count.astype(np.int32))]
+        number = pa.array(np.full(len(some), chunk.number), pa.int64())
+        return pa.table([pa.array(some, pa.int32()), number, *lists], names=["part", "chunk", "grams", "counts"])
 
     return over
 
 
-def _answered(asked: pa.Table) -> pa.Table:
-    """Adds up one partition's count table and gives each chunk the counts of its n-grams."""
-    grams = [unpacked_sorted(x.as_py()) for x in asked["grams"]]
-    counts = [unpacked(x.as_py()) for x in asked["counts"]]
-    table, place = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(place.reshape(-1), np.concatenate(counts), len(table)).astype(np.uint64)[place.reshape(-1)]
-    ends = np.cumsum([len(g) for g in grams])
-    out = [packed(x) for x in np.split(total, ends[:-1])]
-    return asked.select(["part", "size", "chunk"]).append_column("totals", pa.array(out, pa.binary()))
-
-
-def _scored(order: int, least: int, alpha: float, total: int, bits: int):
-    def over(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {c: chunks[c][0].as_py() for c in ("ids", "sizes", "hashes", "words")}
-        grams = Grams(row["hashes"], row["words"], row["sizes"], order, bits)
-        sorted_ = answers.sort_by([("size", "ascending"), ("part", "ascending")])
-        known: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for n, x in zip(sorted_["size"].to_pylist(), sorted_["totals"]):
-            known[n - 1].append(unpacked(x.as_py()))
-        count = []
-        for n in range(order):
-            own = np.concatenate([*known[n], [0]]).astype(np.float64)  # place -1: no such n-gram here
-            count.append(own[grams.place[n]])
-        score = np.log(np.maximum(count[0], 1) / max(total, 1))
-        for n in range(1, order):
-            context = np.concatenate([[1.0], count[n - 1][:-1]]) if len(score) else score
-            seen = count[n] >= least
-            here = np.log(np.maximum(count[n], 1) / np.maximum(context, 1))
-            # A word with fewer than n words before it has no such n-gram to back off from.
-            score = np.where(seen, here, score + np.where(grams.before >= n, np.log(alpha), 0.0))
-        doc = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
-        return pa.table(
-            {
-                "id": pa.array(row["ids"], pa.int64()),
-                "n_words": pa.array(grams.sizes, pa.int64()),
-                "log_score": pa.array(np.bincount(doc, score, len(grams.sizes)), pa.float64()),
-            }
-        )
+def _scored(order: int, alpha: float, total: int):
+    def over(row: pa.Table) -> pa.Table:
+        chunk = Chunk(row, order)
+        columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(chunk.scores(alpha, total), pa.float64())]
+        return pa.table(columns, names=["id", "n_words", "log_score"])
 
     return over
 
 
-def _bucketed(chunks: DataFrame) -> DataFrame:
-    """Writes chunks in buckets by number in the shared folder: their later grouping needs no shuffle."""
-    spark = chunks.sparkSession
-    name = f"chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks.write.bucketBy(buckets, "chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+def _bucketed(frame: DataFrame, label: str, buckets: int) -> DataFrame:
+    """Writes rows in buckets by chunk in the shared folder: their later joins need no shuffle.
+
+    The catalog's entry is dropped at once; the files stay, and the frame reads them.
+    """
+    spark = frame.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    frame.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def totals(asked: DataFrame, parts: int, order: int) -> DataFrame:
+    """``(chunk, totals_n)``: each chunk's n-grams of ``asked(part, chunk, grams, counts)`` with their counts in all.
+
+    Partitions are of n-grams by hash, so after the one shuffle by ``part`` all rows of
+    an n-gram are together: a chunk has one at most, however common it is.
+    """
+    rows = asked.repartition(parts, "part").select("part", "chunk", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "g"))
+    rows = rows.select("part", "chunk", "pos", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+    joined = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "part")))
+    both = F.shiftleft(F.col("pos").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
+    back = joined.groupBy("part", "chunk").agg(F.sort_array(F.collect_list(both)).alias("t"))
+    back = back.select("part", "chunk", F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << TOTAL_BITS) - 1))).alias("t"))
+    return back.groupBy("chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"])).alias(f"totals_{order}"))
 
 
-def score(docs: DataFrame, *, order: int = ORDER, least: int = LEAST, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``(id, n_words, log_score, mean_score)`` for each row of ``docs``.
 
     The score of a word is count(n-gram) / count(n-gram without the word) at the highest
-    order, up to ``order``, that has at least ``least`` occurrences in the corpus, times
-    ``alpha`` for each order given up; the last resort is its share of all words. Counts
-    are over all rows, the document included. A null text counts as empty: no words, log
-    score 0, mean null. N-grams are told apart by hashes of ``hash_bits``.
+    order, up to ``order``, that has a count, times ``alpha`` for each order given up;
+    the last resort is its share of all words, where a word that no other document has counts
+    as one. Counts are over all rows but the document itself: what it says is no
+    evidence for it. N-grams are told apart by 64-bit hashes at every size.
+
+    A null text counts as empty: no words, log score 0, mean null; so does one of space alone.
+    Texts of any length are read whole. Rows that repeat an id or a text are documents of
+    their own, and each is evidence for the other; equal texts get equal scores. An empty
+    table gives an empty result. Ids are integers; other columns are left out.
     """
     read = short_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
-    chunks = _bucketed(read.mapInArrow(_chunked(chunk_words), CHUNKS))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    chunks = _bucketed(read.mapInArrow(_chunked(chunk_words), CHUNKS), "chunks", buckets)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ENTRIES))
-    bits = hash_bits(total * order)
-    asked = chunks.mapInArrow(_asked(order, parts, bits), "part int, size int, chunk bigint, grams binary, counts binary")
-    answers = asked.groupBy("part", "size").applyInArrow(_answered, "part int, size int, chunk bigint, totals binary")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(order, least, alpha, total, bits), "id bigint, n_words bigint, log_score double")
+    parts = max(1, -(-total // PART_WORDS))
+    known = chunks
+    for n in range(1, order + 1):
+        asked = known.groupBy("chunk").applyInArrow(_asked(n, parts), "part int, chunk bigint, grams array<bigint>, counts array<int>")
+        found = _bucketed(totals(asked, parts, n), f"totals_{n}", buckets)
+        known = known.join(found.hint("merge"), "chunk", "left")
+    scored = known.groupBy("chunk").applyInArrow(_scored(order, alpha, total), "id bigint, n_words bigint, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_score"))
 
 
 def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document under the corpus's trigrams, rounded to 6 digits."""
+    """Score of every document under the trigrams of all others, rounded to 6 digits."""
     found = score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_score", 6).alias("mean_score"))
 
@@ -231,19 +230,22 @@ ORACLE = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS c, generate_subscripts(ws, 1) AS p FROM rows),
 g AS (SELECT r, p, c, lag(c, 1) OVER (PARTITION BY r ORDER BY p) AS b, lag(c, 2) OVER (PARTITION BY r ORDER BY p) AS a FROM w),
-n1 AS (SELECT c, count(*) AS k FROM g GROUP BY c),
-n2 AS (SELECT b, c, count(*) AS k FROM g WHERE b IS NOT NULL GROUP BY b, c),
-n3 AS (SELECT a, b, c, count(*) AS k FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
-t AS (SELECT count(*) AS n FROM g),
+o1 AS (SELECT r, c, count(*) AS k FROM g GROUP BY r, c),
+o2 AS (SELECT r, b, c, count(*) AS k FROM g WHERE b IS NOT NULL GROUP BY r, b, c),
+o3 AS (SELECT r, a, b, c, count(*) AS k FROM g WHERE a IS NOT NULL GROUP BY r, a, b, c),
+n1 AS (SELECT r, c, sum(k) OVER (PARTITION BY c) - k AS k FROM o1),
+n2 AS (SELECT r, b, c, sum(k) OVER (PARTITION BY b, c) - k AS k FROM o2),
+n3 AS (SELECT r, a, b, c, sum(k) OVER (PARTITION BY a, b, c) - k AS k FROM o3),
+t AS (SELECT r, greatest(count(*) OVER () - count(*) OVER (PARTITION BY r), 1) AS n, p FROM g),
 s AS (
   SELECT g.r,
-    CASE WHEN n3.k >= 2 THEN ln(n3.k / x2.k::DOUBLE)
+    CASE WHEN n3.k > 0 THEN ln(n3.k / x2.k::DOUBLE)
          ELSE CASE WHEN g.a IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END
-              + CASE WHEN n2.k >= 2 THEN ln(n2.k / x1.k::DOUBLE)
-                     ELSE CASE WHEN g.b IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END + ln(n1.k / t.n::DOUBLE) END END AS v
-  FROM g CROSS JOIN t JOIN n1 ON n1.c = g.c
-  LEFT JOIN n2 ON n2.b = g.b AND n2.c = g.c LEFT JOIN n1 x1 ON x1.c = g.b
-  LEFT JOIN n3 ON n3.a = g.a AND n3.b = g.b AND n3.c = g.c LEFT JOIN n2 x2 ON x2.b = g.a AND x2.c = g.b
+              + CASE WHEN n2.k > 0 THEN ln(n2.k / x1.k::DOUBLE)
+                     ELSE CASE WHEN g.b IS NOT NULL THEN ln(0.4::DOUBLE) ELSE 0 END + ln(greatest(n1.k, 1) / t.n::DOUBLE) END END AS v
+  FROM g JOIN t USING (r, p) JOIN n1 ON n1.r = g.r AND n1.c = g.c
+  LEFT JOIN n2 ON n2.r = g.r AND n2.b = g.b AND n2.c = g.c LEFT JOIN n1 x1 ON x1.r = g.r AND x1.c = g.b
+  LEFT JOIN n3 ON n3.r = g.r AND n3.a = g.a AND n3.b = g.b AND n3.c = g.c LEFT JOIN n2 x2 ON x2.r = g.r AND x2.b = g.a AND x2.c = g.b
 ), d AS (SELECT r, sum(v) AS v FROM s GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(v, 0.0::DOUBLE), 6) AS log_score, round(v / len(ws), 6) AS mean_score
 FROM rows LEFT JOIN d USING (r)
