@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import shared_folder, short_batches, text_bytes
+from .common import noted, shared_folder, short_batches, text_bytes
 
 ORDER = 3
 ALPHA = 0.4
 #: Words of a chunk and distinct n-grams of a partition's array: less than 2^21.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_600_000
 PART_WORDS = 1_000_000
 BUCKET_BYTES = 8_000_000
 CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes array<bigint>, words array<int>"
@@ -89,8 +89,7 @@ class Chunk:
         self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").astype(np.int64)
         self.ids = row["ids"][0].as_py()
         self.word = flat("hashes").view(np.uint64)[flat("words")]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.before = np.arange(len(self.word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.gram = np.zeros(0, np.uint64)
         self.order = 0
         self.others: list[np.ndarray] = []  # by order: for the n-gram that ends at each word
@@ -98,28 +97,34 @@ class Chunk:
             self.next()
             self.learn(flat(f"totals_{n}"))
 
+    def whole(self, n: int) -> np.ndarray:
+        """Whether the n-gram that ends at each word begins in the same document."""
+        out = np.zeros(len(self.doc), bool)
+        out[n - 1 :] = self.doc[n - 1 :] == self.doc[: max(0, len(self.doc) - n + 1)]
+        return out
+
     def next(self) -> None:
         """Goes to the next order: its distinct n-grams of which other documents have the parts."""
         self.order += 1
         n = self.order
-        if n == 1:
+        if n == 1 or not len(self.word):
             self.gram = _mixed(self.word)
-            at = np.arange(len(self.word))
+            at = np.arange(len(self.word), dtype=np.int32)
         else:
             self.gram = _mixed(self.gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word[n - 1 :])
             seen = self.others[-1] > 0
-            end = np.arange(n - 1, len(self.word))
-            at = end[(self.before[end] >= n - 1) & seen[end] & seen[end - 1]]
+            at = np.nonzero(self.whole(n)[n - 1 :] & seen[n - 1 :] & seen[n - 2 : -1])[0] + (n - 1)
         grams = self.gram[at - (n - 1)]
         by = np.argsort(grams, kind="stable")  # then by place, and so by document
-        self.at, grams = at[by], grams[by]
-        first = np.ones(len(by), bool)
+        self.at, grams = at[by].astype(np.int32), grams[by]
+        del at, by
+        first = np.ones(len(grams), bool)
         first[1:] = grams[1:] != grams[:-1]
         own = first.copy()
         own[1:] |= self.doc[self.at[1:]] != self.doc[self.at[:-1]]
-        count = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(by)))
-        self.distinct, self.count, self.place = grams[first], count(first), np.cumsum(first) - 1
-        self.own = count(own)[np.cumsum(own) - 1]
+        count = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(grams)))
+        self.distinct, self.count, self.place = grams[first], count(first), np.cumsum(first, dtype=np.int32) - 1
+        self.own = count(own).astype(np.int32)[np.cumsum(own, dtype=np.int32) - 1]
 
     def learn(self, totals: np.ndarray) -> None:
         """Takes the totals of this order's distinct n-grams."""
@@ -135,7 +140,7 @@ class Chunk:
             context = np.concatenate([[1], self.others[n - 1][:-1]]) if len(score) else score
             here = np.log(np.maximum(self.others[n], 1) / np.maximum(context, 1))
             # A word with fewer than n words before it has no such n-gram to back off from.
-            score = np.where(self.others[n] > 0, here, score + np.where(self.before >= n, np.log(alpha), 0.0))
+            score = np.where(self.others[n] > 0, here, score + np.where(self.whole(n + 1), np.log(alpha), 0.0))
         return np.bincount(self.doc, score, len(self.sizes))
 
 
@@ -170,7 +175,8 @@ def _bucketed(frame: DataFrame, label: str, buckets: int) -> DataFrame:
     """
     spark = frame.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    frame.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    path = noted(f"{shared_folder(spark)}/{name}")
+    frame.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out

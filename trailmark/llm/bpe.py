@@ -188,7 +188,11 @@ def _lists(rows: Iterable[list[int]]) -> pa.Array:
 
 
 def encode(docs: DataFrame, *, model: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Adds each whole text's ids, the end id last; a null text is encoded as empty."""
+    """Adds each whole text's ids, the end id last; a null text is encoded as empty: the end id alone.
+
+    Texts of any length are encoded whole; repeated rows get equal ids; an empty table gives an
+    empty result. A column named ``out`` is replaced; all others stay as they are.
+    """
     path = model or default_model()
 
     def over(texts: pa.Array) -> pa.Array:
@@ -198,7 +202,10 @@ def encode(docs: DataFrame, *, model: str | None = None, text_col: str = "text",
 
 
 def decode(docs: DataFrame, *, model: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of each row's ids; null ids give the empty text."""
+    """Adds the text of each row's ids; null or no ids give the empty text, null members are skipped.
+
+    A column named ``out`` is replaced; all others stay as they are.
+    """
     path = model or default_model()
 
     def over(ids: pa.Array) -> pa.Array:
@@ -208,7 +215,11 @@ def decode(docs: DataFrame, *, model: str | None = None, ids_col: str = "ids", o
 
 
 def round_trip(docs: DataFrame, *, model: str | None = None, text_col: str = "text") -> DataFrame:
-    """Adds ``ids`` and ``decoded``, the text of those ids, in one pass over the texts."""
+    """Adds ``ids`` and ``decoded``, the text of those ids, in one pass over the texts.
+
+    Nulls, long texts, repeats and empty tables as in ``encode``. Columns named ``ids`` or
+    ``decoded`` are replaced; all others stay as they are.
+    """
     path = model or default_model()
 
     def over(texts: pa.Array) -> pa.Array:
@@ -224,11 +235,17 @@ def round_trip(docs: DataFrame, *, model: str | None = None, text_col: str = "te
         return pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=["ids", "decoded"])
 
     both = F.arrow_udf(over, "struct<ids:array<int>,decoded:string>")
-    return short_batches(docs).withColumn("_both", both(text_col)).select("*", "_both.*").drop("_both")
+    coded = short_batches(docs).withColumn("_both", both(text_col))
+    return coded.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")], "_both.*")
 
 
 def digests(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` for each row of ``docs``.
+
+    A null text counts as empty: one id, that of the end, and the empty text. Texts of
+    any length are taken whole; repeated rows get equal results and stay; an empty table gives an
+    empty result. Only the id and the text are read, so other columns may have any names.
+    """
     path = model or default_model()
 
     def over(texts: pa.Array) -> pa.Array:

@@ -15,43 +15,75 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests), one made here.
+    """The folder of ``spark.checkpoint.dir``; where unset on one machine (tests), one made here.
 
-    Also makes ``DataFrame.checkpoint`` usable in a session that names no folder.
+    On a cluster without that setting there is no folder that all machines share, which is
+    an error. Also makes ``DataFrame.checkpoint`` usable in a session that names no folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='trailmark-')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+_written: list[str] = []
+
+
+def noted(path: str) -> str:
+    """Keeps ``path`` in mind for ``release``."""
+    _written.append(path)
+    return path
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """Writes ``frame`` as Parquet in the shared folder and reads it back.
 
     Cuts the lineage where a result is used more than once, so that a lost
-    executor costs the re-read of a file and not the work before it.
+    executor costs the re-read of a file and not the work before it. The files stay
+    until ``release``, as lazy results read them.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = noted(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def mark() -> int:
+    """How much has been written so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *, keep_last: bool = False) -> None:
+    """Deletes what operators have written since ``mark()``, or all of it but the last: for when a result is stored."""
+    gone = _written[since : len(_written) - keep_last]
+    del _written[since : len(_written) - keep_last]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def short_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, with Arrow batches of at most ``BATCH_ROWS`` rows in its session from now on.
+    """``docs``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``.
 
     The default of 10,000 rows is meant for numbers. With whole texts it holds tens of
-    megabytes several times over, in the JVM and in each Python worker.
+    megabytes several times over, in the JVM and in each Python worker. Spark reads these
+    settings when a result is asked for, so they have to stay in the session; lower ones of the
+    caller's are kept.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = docs.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(name))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return docs
 
 

@@ -137,13 +137,15 @@ def score(docs: DataFrame, model: Forest | None, *, keep_at: float = KEEP_AT, te
     """Adds a struct of the counts, ``base_failed``, ``kept`` and ``score`` to each row.
 
     A null text counts as empty (no words: it fails the base). Without a model
-    every document that passes the base is kept and its score is null.
+    every document that passes the base is kept and its score is null. Texts of any length
+    are read whole; repeated rows get equal results; a score of just ``keep_at`` is kept; an
+    empty table gives an empty result. A column named ``out`` is replaced; all others stay.
     """
     return short_batches(docs).withColumn(out, _scored(model, keep_at)(text_bytes(text_col)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdict of every document; see the contract in the README."""
+    """Counts and verdict of every document: fails the base under 50 words or with over half in repeated windows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs.select("doc_id", "text"), train(docs, labels))

@@ -108,8 +108,10 @@ def token_counts(docs: DataFrame, *, model: str | None = None, id_col: str = "do
     """``(id, n_words, n_tokens, n_unknown)`` for each row of ``docs``.
 
     Words are runs between ASCII white space; a word that the vocabulary can't cover
-    is one unknown token. A null text counts as empty (all zeros). ``model`` is the
-    vocabulary's path on the executors.
+    is one unknown token. A null text counts as empty (all zeros), as does one of space
+    alone; texts of any length are read whole. Repeated rows get equal results and stay; an
+    empty table gives an empty result. Other columns may have any names: they are left
+    out. ``model`` is the vocabulary's path on the executors.
     """
     path = model or default_model()
 
