@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm import bpe, linededup, mixing, quality, simhash
-from trailmark.llm.common import written
+from trailmark.llm.common import mark, release, written
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality.stage),
@@ -26,8 +26,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; of what they write, the last stage's table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since, keep_last=True)
     return docs
