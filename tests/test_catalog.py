@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.app import App, stages
+from trailmark.app import App, each_episode, stages
 from trailmark.plans.catalog import Catalog
 from trailmark.plans.curate import curate, shard
 from trailmark.sources.storage import Folder, root_uri, valid_key
@@ -66,6 +66,35 @@ def test_process_and_views(spark, app, messages, tmp_path):
         curate(spark, root, "SELECT 1 AS x", f"file://{tmp_path}/cut")
 
 
+def test_errors_are_rows(spark, messages, tmp_path):
+    """A step that raises, at once, in a job or for one episode, is an error there; the other steps go on."""
+    app = App(spark, f"file://{tmp_path}/errors")
+    ran = spark.sparkContext.accumulator(0)
+
+    @app.check("at_once", version="1")
+    def at_once(rows):
+        raise KeyError("nothing here")
+
+    @app.check("in_a_job", version="1")
+    def in_a_job(rows):
+        return rows.groupBy("episode_id").agg(F.raise_error(F.lit("no such field")).cast("boolean").alias("verdict"))
+
+    def one(rows):
+        ran.add(1)
+        if rows["value"].max() > 8:
+            raise ValueError("too large")
+        return {"measurements": {"top": float(rows["value"].max())}, "verdict": True, "tags": ["told"]}
+
+    app.check("each", version="1")(each_episode(one, "value"))
+    assert app.process(messages) == 3 and ran.value == 3
+    runs = {(r["episode_id"], r["check_name"]): (r["status"], r["error"]) for r in Catalog(spark, app.root).table("check_runs").collect()}
+    assert {runs[(e, "at_once")][0] for e in "abc"} == {runs[(e, "in_a_job")][0] for e in "abc"} == {"error"}
+    assert runs[("a", "each")] == runs[("b", "each")] == ("passed", None)
+    assert runs[("c", "each")] == ("error", "ValueError: too large") and "nothing here" in runs[("a", "at_once")][1]
+    assert {(r["episode_id"], r["value_double"]) for r in Catalog(spark, app.root).table("measurements").collect()} == {("a", 3.0), ("b", 7.0)}
+    assert "_evidence" not in Folder(spark, app.root).names() or not Folder(spark, app.root).names("_evidence")
+
+
 def test_relabel_keeps_measurements_and_gate(spark, app, messages):
     app.process(messages)
     assert app.process(messages, "relabel") == 3

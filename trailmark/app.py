@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -35,6 +36,33 @@ EVIDENCE = {
 }
 
 
+def each_episode(f: Callable[[object], dict], *columns: str) -> Step:
+    """A step from a function of one episode's rows (pandas, by ``log_time_ns``) to its evidence as a dictionary.
+
+    Only ``columns`` are read; an episode is one task's work. Where the function raises, that
+    episode has an error and the others their evidence.
+    """
+
+    def step(messages: DataFrame) -> DataFrame:
+        types = dict(messages.dtypes)
+        kept = list(dict.fromkeys(("episode_id", "log_time_ns", *columns)))
+
+        def over(rows):
+            import pandas as pd
+
+            out = {"episode_id": rows["episode_id"].iloc[0], **dict.fromkeys(EVIDENCE)}
+            try:
+                out |= f(rows.sort_values("log_time_ns", kind="stable"))
+            except Exception as e:  # whatever a caller's function may raise
+                out["error"] = f"{type(e).__name__}: {e}".split("\n")[0][:500]
+            return pd.DataFrame([out])
+
+        ddl = ", ".join([f"episode_id {types['episode_id']}", *(f"{c} {t}" for c, t in EVIDENCE.items())])
+        return messages.select(*kept).groupBy("episode_id").applyInPandas(over, ddl)
+
+    return step
+
+
 def stages(named: str | Iterable[str] | None) -> tuple[str, ...]:
     """Stages of a profile's name, of a list, or all of them; unknown ones are refused."""
     if named is None:
@@ -125,9 +153,21 @@ class App:
         parts = [s.run(messages).withColumn("topic", F.lit(t)) for t, s in self.derived.items()]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, messages)
 
-    def evidence(self, messages: DataFrame, named: str | Iterable[str] | None = None) -> DataFrame:
+    def _found(self, step: Registered, messages: DataFrame, episodes: DataFrame, store: Callable[[DataFrame, str], DataFrame] | None) -> DataFrame:
+        """What a step gives; where it raises, an error for each episode, and the other steps go on."""
+        try:
+            found = step.run(messages)
+            return store(found.select("episode_id", *[c for c in EVIDENCE if c in found.columns]), step.name) if store else found
+        except Exception as e:  # whatever a caller's step may raise
+            told = f"{type(e).__name__}: {e}".split("\n")[0][:500]
+            return episodes.withColumn("error", F.lit(told))
+
+    def evidence(self, messages: DataFrame, named: str | Iterable[str] | None = None, *, store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
         """A row per episode and step with its evidence and status.
 
+        A step that raises has the status error. Its own work is only done when the
+        evidence is read, unless ``store`` writes it: then that counts as well.
+
         An enrichment is gated like a check that comes after all checks; on a run without
         checks, by the quarantine that the catalog holds.
         """
@@ -137,7 +177,7 @@ class App:
         for k, s in enumerate(self.ordered()):
             if s.stage not in run:
                 continue
-            found = s.run(messages)
+            found = self._found(s, messages, episodes, store)
             columns = [(F.col(c) if c in found.columns else F.lit(None)).cast(t).alias(c) for c, t in EVIDENCE.items()]
             rows.append(episodes.join(found.select("episode_id", *columns), "episode_id", "left").select("episode_id", F.lit(k).alias("step_order"), F.lit(s.name).alias("check_name"), F.lit(s.version).alias("check_version"), F.lit(s.critical).alias("critical"), F.lit(s.stage).alias("stage"), *EVIDENCE))
         if not rows:
@@ -160,7 +200,22 @@ class App:
         fingerprint is a hash of its outcomes, so the same outcome is recorded once.
         """
         source = self.with_derived(messages) if "sync" in stages(named) else messages
-        rows = self.evidence(source, named).withColumn("episode_id", F.col("episode_id").cast("string"))
+        # Each step's evidence is written once: the fingerprint and all tables are of the same rows.
+        catalog = Catalog(self.spark, self.root)
+        scratch = f"_evidence/{uuid.uuid4().hex}"
+
+        def store(found: DataFrame, name: str) -> DataFrame:
+            path = f"{catalog.root}/{scratch}/{hashlib.sha256(name.encode()).hexdigest()[:12]}"
+            found.write.parquet(path)
+            return self.spark.read.schema(found.schema).parquet(path)
+
+        try:
+            return self._recorded(catalog, self.evidence(source, named, store=store), named, metadata)
+        finally:
+            catalog.folder.delete(scratch)
+
+    def _recorded(self, catalog: Catalog, evidence: DataFrame, named: str | Iterable[str] | None, metadata: DataFrame | None) -> int:
+        rows = evidence.withColumn("episode_id", F.col("episode_id").cast("string"))
         kept = F.when(F.col("status") != "skipped", F.struct("measurements", "labels", "tags", "intervals", "verdict", "error"))
         sort = lambda m: F.array_sort(F.map_entries(m))
         outcome = F.struct("check_name", "check_version", "status", sort(kept["measurements"]).alias("m"), sort(kept["labels"]).alias("l"), kept["tags"].alias("t"), kept["intervals"].alias("i"))
@@ -183,7 +238,7 @@ class App:
         numbers = live.select(*key, "check_version", F.explode("measurements").alias("key", "value_double")).withColumns({"value_text": none("string"), "value_bool": none("boolean")})
         labels = live.select(*key, "check_version", F.explode("labels").alias("key", "value_text")).withColumns({"value_double": none("double"), "value_bool": none("boolean")})
         failed = live.where("status = 'failed' and not critical").select(*key, F.concat(F.lit("failed:"), F.col("check_name")).alias("tag"))
-        return Catalog(self.spark, self.root).append(
+        return catalog.append(
             episodes,
             check_runs=told.select(*key, "check_version", "critical", "status", none("double").alias("duration_s"), "error"),
             measurements=numbers.unionByName(labels),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import mcap
 
+# Names of records and schemas, and the codes of findings below.
 PROVENANCE = "provenance/v1"
 EPISODE = "episode/v1"
 PROVENANCE_KEYS = ("schema_version", "pipeline_version")
@@ -19,42 +20,72 @@ CAP = 3
 
 
 def structure(path: str, data: bytes) -> Iterator[tuple[str, str]]:
-    """``(code, message)`` of what is wrong with a file's structure."""
+    """``(code, message)`` of what is wrong with a file, in one pass over it.
+
+    What can't be read is a finding too: of the whole file (``unreadable``), or of the
+    part behind which nothing more is known (``read-failed``).
+    """
     try:
         if data[:8] != mcap.MAGIC or data[-8:] != mcap.MAGIC:
             raise ValueError("no magic bytes at both ends")
         found = list(mcap.records(data, 8))
         footer = next(mcap.Fields(body) for _, code, body in found if code == mcap.FOOTER)
-    except (ValueError, StopIteration, IndexError) as e:
+        summary = footer.number("Q")
+    except mcap.DAMAGE as e:
         yield "unreadable", f"not a whole recording: {e}"
         return
     codes = [code for _, code, _ in found]
-    if not footer.number("Q"):
+    if not summary:
         yield "no-summary", "the footer names no summary"
     if mcap.STATISTICS not in codes:
         yield "no-statistics", "no statistics record"
     if mcap.CHUNK in codes and mcap.CHUNK_INDEX not in codes:
         yield "no-chunk-indexes", "chunks without chunk indexes"
+    topics: dict[int, str] = {}
     cameras: set[int] = set()
     schemas: dict[int, str] = {}
+    records: dict[str, dict[str, str]] = {}
+    last: dict[int, int] = {}
+    damaged = False
     for k, (at, code, body) in enumerate(found):
-        f = mcap.Fields(body)
-        if code == mcap.CHUNK:
-            if k + 1 == len(codes) or codes[k + 1] != mcap.MESSAGE_INDEX:
-                yield "chunk-missing-message-indexes", f"the chunk at {at} has no message indexes"
-            seen = set()
-            for _, c, b in mcap.records(mcap.unpacked(body)):
+        if code == mcap.CHUNK and (k + 1 == len(codes) or codes[k + 1] != mcap.MESSAGE_INDEX):
+            yield "chunk-missing-message-indexes", f"the chunk at {at} has no message indexes"
+        seen = set()
+        try:
+            inner = mcap.records(mcap.unpacked(body)) if code == mcap.CHUNK else [(0, code, body)]
+            for _, c, b in inner:
+                f = mcap.Fields(memoryview(b))
                 if c == mcap.MESSAGE:
-                    seen.add(mcap.Fields(memoryview(b)).number("H") in cameras)
-            if len(seen) > 1:
-                yield "chunk-mixes-video-and-state", f"the chunk at {at} holds camera and other messages"
-        elif code == mcap.SCHEMA:
-            number = f.number("H")
-            schemas[number] = f.text()
-        elif code == mcap.CHANNEL:
-            number, schema = f.number("H"), f.number("H")
-            if schemas.get(schema) in CAMERA_SCHEMAS:
-                cameras.add(number)
+                    number, _, time = f.number("H"), f.number("I"), f.number("Q")
+                    seen.add(number in cameras)
+                    if time < last.get(number, time):
+                        yield "topic-time-order", f"time goes back on {topics.get(number)}"
+                    last[number] = time
+                elif c == mcap.SCHEMA:
+                    number = f.number("H")
+                    schemas[number] = f.text()
+                elif c == mcap.CHANNEL:
+                    number, schema = f.number("H"), f.number("H")
+                    topics[number] = f.text()
+                    if schemas.get(schema) in CAMERA_SCHEMAS:
+                        cameras.add(number)
+                elif c == mcap.METADATA:
+                    name = f.text()
+                    records[name] = f.pairs()
+        except mcap.DAMAGE as e:
+            damaged = True
+            yield "read-failed", f"the record at {at}: {e or type(e).__name__}"
+        if len(seen) > 1:
+            yield "chunk-mixes-video-and-state", f"the chunk at {at} holds camera and other messages"
+    if EPISODE not in records and not damaged:
+        yield "missing-episode-record", f"no {EPISODE} record"
+    if PROVENANCE not in records:
+        if not damaged:
+            yield "missing-provenance", f"no {PROVENANCE} record"
+    else:
+        for key in PROVENANCE_KEYS:
+            if key not in records[PROVENANCE]:
+                yield "provenance-missing-key", f"no key {key}"
 
 
 def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
@@ -68,26 +99,9 @@ def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "place", "code", "message"])
 
     files = spark.read.format("binaryFile").load(paths)
-    shape = files.select("path", "content").mapInArrow(over, "path string, place bigint, code string, message string")
-    whole = files.select("path").join(shape.where("code = 'unreadable'").select("path"), "path", "left_anti")
-    readable = [r["path"] for r in whole.collect()]
-    parts = [shape]
-    if readable:
-        records = mcap.metadata(spark, readable)
-        of = lambda name: whole.join(records.where(F.col("record") == name), "path", "left")
-        missing = lambda rows, code, text: rows.select("path", F.lit(0).cast("bigint").alias("place"), F.lit(code).alias("code"), text.alias("message"))
-        parts.append(missing(of(EPISODE).where("record is null"), "missing-episode-record", F.lit(f"no {EPISODE} record")))
-        proof = of(PROVENANCE)
-        parts.append(missing(proof.where("record is null"), "missing-provenance", F.lit(f"no {PROVENANCE} record")))
-        keys = proof.where("record is not null").withColumn("key", F.explode(F.array(*map(F.lit, PROVENANCE_KEYS))))
-        parts.append(missing(keys.where("not map_contains_key(entries, key)"), "provenance-missing-key", F.concat(F.lit("no key "), F.col("key"))))
-        w = Window.partitionBy("path", "channel_id").orderBy("offset")
-        times = mcap.messages(spark, readable).withColumn("before", F.lag("log_time_ns").over(w)).where("log_time_ns < before")
-        parts.append(times.select("path", F.col("offset").alias("place"), F.lit("topic-time-order").alias("code"), F.concat(F.lit("time goes back on "), F.col("topic")).alias("message")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = files.select("path", "content").mapInArrow(over, "path string, place bigint, code string, message string")
+    level = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
+    # A file's findings stay in its task: no row is parsed twice for the counts.
     by = Window.partitionBy("path", "code")
     numbered = rows.withColumns({"k": F.row_number().over(by.orderBy("place", "message")), "n": F.count("*").over(by)}).where(F.col("k") <= cap)
-    level = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
     return numbered.select("path", level.alias("level"), "code", "message", F.greatest(F.lit(0), F.col("n") - cap).cast("bigint").alias("suppressed"))

@@ -330,12 +330,16 @@ def derived_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("episode_id", "topic", "grid_ns", F.to_json(F.struct(F.floor(100 * F.col("value")).alias("centi"))).alias("payload"))
 
 
-@register("SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE, 6) AS embedding_{k}" for k in range(4)) + ", len(embedding) AS width FROM embeddings")
+#: Components of the table's vectors.
+VECTOR_WIDTH = 64
+
+
+@register("SELECT vec_id, " + ", ".join(f"round(embedding[{k + 1}]::DOUBLE, 6) AS embedding_{k}" for k in range(VECTOR_WIDTH)) + ", len(embedding) AS width FROM embeddings")
 def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector field as columns."""
+    """A vector field as columns, one for each of its components."""
     vectors = table(spark, sf_dir, "embeddings")
     part = lambda k: F.round(F.get("embedding", F.lit(k)).cast("double"), 6).alias(f"embedding_{k}")
-    return vectors.select("vec_id", *map(part, range(4)), F.size("embedding").cast("bigint").alias("width"))
+    return vectors.select("vec_id", *map(part, range(VECTOR_WIDTH)), F.size("embedding").cast("bigint").alias("width"))
 
 
 @register(

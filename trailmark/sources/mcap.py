@@ -15,12 +15,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What reading a damaged file may raise.
+DAMAGE = (ValueError, IndexError, KeyError, StopIteration, struct.error, zstandard.ZstdError)
 MAGIC = b"\x89MCAP0\r\n"
 # Fixed values of the format: record opcodes.
 HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, ATTACHMENT, ATTACHMENT_INDEX, STATISTICS, METADATA, METADATA_INDEX, SUMMARY_OFFSET, DATA_END = range(1, 16)
 
-MESSAGES = "path string, channel_id int, topic string, schema_name string, schema_encoding string, message_encoding string, offset bigint, log_time_ns bigint, publish_time_ns bigint, data binary"
-CHANNELS = "path string, channel_id int, topic string, schema_name string, schema_encoding string, message_encoding string, schema_data binary"
+MESSAGES = "path string, channel_id int, topic string, schema_name string, schema_encoding string, message_encoding string, offset bigint, sequence bigint, log_time_ns bigint, publish_time_ns bigint, data binary"
+CHANNELS = "path string, channel_id int, topic string, schema_name string, schema_encoding string, message_encoding string, channel_metadata map<string,string>, schema_data binary"
 METADATA_ROWS = "path string, offset bigint, record string, entries map<string,string>"
 ATTACHMENTS = "path string, offset bigint, name string, media_type string, log_time_ns bigint, create_time_ns bigint, data binary"
 
@@ -68,14 +70,16 @@ def records(data: bytes, at: int = 0) -> Iterator[tuple[int, int, memoryview]]:
 def unpacked(chunk: memoryview, start_ns: int | None = None, end_ns: int | None = None) -> bytes | None:
     """A chunk's records, or None if its times lie outside ``[start_ns, end_ns)``."""
     f = Fields(chunk)
-    first, last, size, _ = f.number("Q"), f.number("Q"), f.number("Q"), f.number("I")
+    first, last, size, crc = f.number("Q"), f.number("Q"), f.number("Q"), f.number("I")
     if start_ns is not None and last < start_ns or end_ns is not None and first >= end_ns:
         return None
     compression, body = f.text(), f.raw("Q")
     if compression == "zstd":
-        return zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
-    if compression:
+        body = zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    elif compression:
         raise ValueError(f"chunks compressed by {compression!r} can't be read here")
+    if crc and zlib.crc32(body) != crc:
+        raise ValueError("a chunk's checksum is wrong")
     return body
 
 
@@ -108,13 +112,13 @@ def _rows(path: str, data: bytes, what: int, topics: list[str] | None, start_ns:
                 topic, encoding = f.text(), f.text()
                 channels[number] = (number, topic, schema[0], schema[1], encoding)
                 if what == CHANNEL and (topics is None or topic in topics):
-                    yield (path, *channels[number], schema[2])
+                    yield (path, *channels[number], list(f.pairs().items()), schema[2])
         elif code == MESSAGE == what:
             own = channels[f.number("H")]
-            f.number("I")
+            sequence = f.number("I")
             log, publish = f.number("Q"), f.number("Q")
             if (topics is None or own[1] in topics) and (start_ns is None or log >= start_ns) and (end_ns is None or log < end_ns):
-                yield (path, *own, at, log, publish, f.rest())
+                yield (path, *own, at, sequence, log, publish, f.rest())
         elif code == METADATA == what:
             yield (path, at, f.text(), list(f.pairs().items()))
         elif code == ATTACHMENT == what:
@@ -174,12 +178,17 @@ def _record(code: int, body: bytes) -> bytes:
     return struct.pack("<BQ", code, len(body)) + body
 
 
-def _chunked(group: list[tuple[int, int, int, bytes]], limit: int) -> Iterator[tuple[int, int, bytes, dict]]:
+def _pairs(entries: dict[str, str]) -> bytes:
+    raw = b"".join(_text(k) + _text(v) for k, v in sorted(entries.items()))
+    return struct.pack("<I", len(raw)) + raw
+
+
+def _chunked(group: list[tuple[int, int, int, int, bytes]], limit: int) -> Iterator[tuple[int, int, bytes, dict]]:
     """``(first, last, records, index)`` of chunks that are closed once they exceed ``limit`` bytes."""
     body, index, times = bytearray(), {}, []
-    for k, (channel, log, publish, data) in enumerate(group):
+    for channel, sequence, log, publish, data in group:
         index.setdefault(channel, []).append((log, len(body)))
-        body += _record(MESSAGE, struct.pack("<HIQQ", channel, k, log, publish) + data)
+        body += _record(MESSAGE, struct.pack("<HIQQ", channel, sequence, log, publish) + data)
         times.append(log)
         if len(body) > limit:
             yield min(times), max(times), bytes(body), index
@@ -188,23 +197,34 @@ def _chunked(group: list[tuple[int, int, int, bytes]], limit: int) -> Iterator[t
         yield min(times), max(times), bytes(body), index
 
 
-def packed(topics: dict[int, tuple[str, str, str, str]], rows: list[tuple[int, int, int, bytes]], groups: dict[str, str], metadata: dict[str, dict[str, str]], limit: int = 800_000) -> bytes:
+def _described(channels: list[dict]) -> tuple[bytes, int]:
+    """Schema and channel records, and the number of schemas: channels share equal ones, and 0 is none."""
+    numbers: dict[tuple, int] = {}
+    out = b""
+    for c in sorted(channels, key=lambda c: c["channel_id"]):
+        schema = (c["schema_name"], c.get("schema_encoding") or "", c.get("schema_data") or b"")
+        if c["schema_name"] is not None and schema not in numbers:
+            numbers[schema] = len(numbers) + 1
+            out += _record(SCHEMA, struct.pack("<H", numbers[schema]) + _text(schema[0]) + _text(schema[1]) + struct.pack("<I", len(schema[2])) + schema[2])
+        out += _record(CHANNEL, struct.pack("<HH", c["channel_id"], numbers.get(schema, 0)) + _text(c["topic"]) + _text(c["message_encoding"] or "") + _pairs(dict(c.get("channel_metadata") or {})))
+    return out, len(numbers)
+
+
+def packed(channels: list[dict], rows: list[tuple[int, int, int, int, bytes]], groups: dict[str, str], metadata: dict[str, dict[str, str]], limit: int = 800_000, attachments: list[dict] = ()) -> bytes:
     """One episode's file: a stream of chunks per group of topics, indexes and a summary.
 
-    ``topics`` maps a channel to (topic, message encoding, schema name, schema encoding),
-    ``rows`` are (channel, log time, publish time, data) in order of time.
+    ``channels`` have the fields of ``CHANNELS`` rows, ``attachments`` those of
+    ``ATTACHMENTS`` rows; ``rows`` are (channel, sequence, log time, publish time, data) in order of time.
     """
     out = bytearray(MAGIC + _record(HEADER, _text("") + _text("trailmark")))
-    described = b""
-    for number, (topic, encoding, schema, kind) in sorted(topics.items()):
-        described += _record(SCHEMA, struct.pack("<H", number) + _text(schema or "") + _text(kind or "") + struct.pack("<I", 0))
-        described += _record(CHANNEL, struct.pack("<HH", number, number) + _text(topic) + _text(encoding) + struct.pack("<I", 0))
+    described, schemas = _described(channels)
     out += described
     indexes = b""
     count = 0
     by_group: dict[str, list] = {}
+    topics = {c["channel_id"]: c["topic"] for c in channels}
     for row in rows:
-        by_group.setdefault(groups.get(topics[row[0]][0], "state"), []).append(row)
+        by_group.setdefault(groups.get(topics[row[0]], "state"), []).append(row)
     for _, group in sorted(by_group.items()):
         for first, last, body, index in _chunked(group, limit):
             small = zstandard.ZstdCompressor().compress(body)
@@ -217,38 +237,60 @@ def packed(topics: dict[int, tuple[str, str, str, str]], rows: list[tuple[int, i
                 out += _record(MESSAGE_INDEX, struct.pack("<HI", channel, len(pairs)) + pairs)
             indexes += _record(CHUNK_INDEX, struct.pack("<QQQQI", first, last, start, after - start, len(offsets)) + offsets + struct.pack("<Q", len(out) - after) + _text("zstd") + struct.pack("<QQ", len(small), len(body)))
             count += 1
+    for x in attachments:
+        start, data = len(out), x["data"] or b""
+        body = struct.pack("<QQ", x["log_time_ns"], x["create_time_ns"]) + _text(x["name"]) + _text(x["media_type"]) + struct.pack("<Q", len(data)) + data
+        out += _record(ATTACHMENT, body + struct.pack("<I", zlib.crc32(body)))
+        indexes += _record(ATTACHMENT_INDEX, struct.pack("<QQQQQ", start, len(out) - start, x["log_time_ns"], x["create_time_ns"], len(data)) + _text(x["name"]) + _text(x["media_type"]))
     for name, entries in sorted(metadata.items()):
-        pairs = b"".join(_text(k) + _text(v) for k, v in sorted(entries.items()))
-        out += _record(METADATA, _text(name) + struct.pack("<I", len(pairs)) + pairs)
+        start = len(out)
+        out += _record(METADATA, _text(name) + _pairs(entries))
+        indexes += _record(METADATA_INDEX, struct.pack("<QQ", start, len(out) - start) + _text(name))
     out += _record(DATA_END, struct.pack("<I", 0))
     start = len(out)
     counts: dict[int, int] = {}
     for row in rows:
         counts[row[0]] = counts.get(row[0], 0) + 1
     pairs = b"".join(struct.pack("<HQ", *x) for x in sorted(counts.items()))
-    times = [r[1] for r in rows] or [0]
-    out += described + _record(STATISTICS, struct.pack("<QHIIIIQQI", len(rows), len(topics), len(topics), 0, len(metadata), count, min(times), max(times), len(pairs)) + pairs) + indexes
+    times = [r[2] for r in rows] or [0]
+    out += described + _record(STATISTICS, struct.pack("<QHIIIIQQI", len(rows), schemas, len(channels), len(attachments), len(metadata), count, min(times), max(times), len(pairs)) + pairs) + indexes
     footer = struct.pack("<QQ", start, 0)
     summary = bytes(out[start:]) + struct.pack("<BQ", FOOTER, 20) + footer
     return bytes(out) + _record(FOOTER, footer + struct.pack("<I", zlib.crc32(summary))) + MAGIC
 
 
-def to_files(messages: DataFrame, *, groups: dict[str, str] | None = None, limit: int = 800_000, key: str = "path") -> DataFrame:
-    """``(key, content)``: each episode's messages as one file, by groups of topics.
+def to_files(
+    messages: DataFrame, *, channels: DataFrame | None = None, metadata: DataFrame | None = None, attachments: DataFrame | None = None, groups: dict[str, str] | None = None, limit: int = 800_000, key: str = "path"
+) -> DataFrame:
+    """``(key, content)``: each episode as one file, its messages by groups of topics.
 
-    ``groups`` names the group of topics; the others are ``state``. An episode is one
-    task's work, as it is one file.
+    ``channels``, ``metadata`` and ``attachments`` are frames like those read here and
+    are carried over whole, channels without messages included; without ``channels``
+    the schemas have no data. ``groups`` names the group of topics; the others are
+    ``state``. An episode is one task's work, as it is one file.
     """
     named = dict(groups or {})
-    types = dict(messages.dtypes)
-
-    def over(episode: pa.Table) -> pa.Table:
+    kind = dict(messages.dtypes)[key]
+    held = None
+    for label, frame in (("channels", channels), ("metadata", metadata), ("attachments", attachments)):
+        if frame is None:
+            continue
+        rows = frame.groupBy(key).agg(F.collect_list(F.struct(*[c for c in frame.columns if c != key])).alias(label))
+        held = rows if held is None else held.join(rows, key, "full")
+    if held is None:
+        held = messages.select(key).limit(0)
+
+    def over(episode: pa.Table, other: pa.Table) -> pa.Table:
         rows = episode.sort_by([("log_time_ns", "ascending"), ("offset", "ascending")]).to_pylist()
-        topics = {r["channel_id"]: (r["topic"], r["message_encoding"], r["schema_name"], r["schema_encoding"]) for r in rows}
-        content = packed(topics, [(r["channel_id"], r["log_time_ns"], r["publish_time_ns"], r["data"]) for r in rows], named, {}, limit)
-        return pa.table({key: episode[key].slice(0, 1), "content": pa.array([content], pa.binary())})
-
-    return messages.groupBy(key).applyInArrow(over, f"{key} {types[key]}, content binary")
+        more = {k: v or [] for k, v in (other.to_pylist() or [{}])[0].items() if k != key}
+        own = more.get("channels") or list({r["channel_id"]: r for r in rows}.values())
+        records = {m["record"]: dict(m["entries"]) for m in more.get("metadata", [])}
+        told = sorted(more.get("attachments", []), key=lambda x: (x["name"], x["log_time_ns"]))
+        content = packed(own, [(r["channel_id"], r["sequence"], r["log_time_ns"], r["publish_time_ns"], r["data"]) for r in rows], named, records, limit, told)
+        name = (episode if len(episode) else other)[key].slice(0, 1)
+        return pa.table({key: name, "content": pa.array([content], pa.binary())})
+
+    return messages.groupBy(key).cogroup(held.groupBy(key)).applyInArrow(over, f"{key} {kind}, content binary")
 
 
 def decoded_json(data: Column, ddl: str) -> Column:
