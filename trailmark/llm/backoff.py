@@ -179,6 +179,9 @@ def _bucketed(frame: DataFrame, label: str, buckets: int) -> DataFrame:
     frame.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
+    # What is written needs its shuffles no more. Spark deletes their files once the driver's
+    # collector finds that nothing refers to them, which it may not look for until much later.
+    spark._jvm.System.gc()
     return out
 
 
