@@ -22,7 +22,7 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = down.groupBy("u").agg(F.min("v").alias("m"))  # a node has few smaller neighbours after the large step
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 

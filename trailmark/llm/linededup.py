@@ -126,7 +126,8 @@ def _lines(long: int, gram: int, window: int):
         kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(hashes, pa.list_(pa.int64())), pa.array(prints, kind)], names=["hashes", "prints"])
 
-    return F.arrow_udf(over, "struct<hashes:array<bigint>,prints:array<struct<key:bigint,at:int>>>")
+    # Held to be indeterminate, so that a filter on its result doesn't hash every text a second time.
+    return F.arrow_udf(over, "struct<hashes:array<bigint>,prints:array<struct<key:bigint,at:int>>>").asNondeterministic()
 
 
 def _ranges(own: pa.Array, other: pa.Array, pairs: pa.Array) -> pa.Array:
@@ -225,7 +226,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     tagged = docs.withColumn("_cut_own", tag)
     joined = tagged.join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_cut_own") == F.col("_cut_tag")), "left")
     kind = "struct<text:string,n_lines:bigint,n_deleted:bigint,deleted_words:bigint>"
-    return joined.withColumn(out, F.arrow_udf(_cut, kind)(text_bytes(text_col), "_cut_ranges")).drop("_cut_own", "_cut_id", "_cut_tag", "_cut_ranges")
+    # Likewise.
+    cut = F.arrow_udf(_cut, kind).asNondeterministic()
+    return joined.withColumn(out, cut(text_bytes(text_col), "_cut_ranges")).drop("_cut_own", "_cut_id", "_cut_tag", "_cut_ranges")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
