@@ -3,9 +3,10 @@
 Texts become chunks of about ``CHUNK_WORDS`` words: word numbers of the chunk and the
 hashes of its words. For each order in turn every chunk gives its distinct n-grams with
 their counts, in one array for each hash partition. There the arrays are exploded, the
-rows of an n-gram are added up to its entry in the count table, every row is joined to its
-entry, and the totals go back to their chunks. At last each word is scored at the highest
-order that other documents have, and the scores are summed per document.
+rows of an n-gram are added up to its entry in the count table, the rows are joined to their
+entries, and the totals go back to their chunks: those of n-grams that several chunks have,
+as any other n-gram's total is its chunk's own count. At last each word is scored at the
+highest order that other documents have, and the scores are summed per document.
 
 An n-gram that other documents have is made of two shorter ones that they have, so only
 such n-grams are asked for: nothing is lost, as those left out have no count to give.
@@ -15,13 +16,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from .common import noted, shared_folder, short_batches, text_bytes
@@ -35,6 +36,8 @@ BUCKET_BYTES = 8_000_000
 CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes array<bigint>, words array<int>"
 #: Low bits of a number that holds a place and a total.
 TOTAL_BITS = 42
+#: Chunks whose totals one task collects at once; beyond, Spark sorts them, which can spill.
+COLLECTED = 4096
 
 
 def _chunked(limit: int):
@@ -84,18 +87,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """A chunk's words, and for the orders whose totals are known the counts that other documents have."""
 
-    def __init__(self, row: pa.Table, orders: int):
+    def __init__(self, row: pa.Table, orders: int, parts: int):
         flat = lambda name: row[name].combine_chunks().flatten().to_numpy()
         self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").astype(np.int64)
         self.ids = row["ids"][0].as_py()
         self.word = flat("hashes").view(np.uint64)[flat("words")]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.gram = np.zeros(0, np.uint64)
-        self.order = 0
+        self.order, self.parts = 0, parts
         self.others: list[np.ndarray] = []  # by order: for the n-gram that ends at each word
         for n in range(1, orders + 1):
             self.next()
-            self.learn(flat(f"totals_{n}"))
+            self.learn(row[f"totals_{n}"].combine_chunks().flatten())
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n-gram that ends at each word begins in the same document."""
@@ -126,8 +129,19 @@ class Chunk:
         self.distinct, self.count, self.place = grams[first], count(first), np.cumsum(first, dtype=np.int32) - 1
         self.own = count(own).astype(np.int32)[np.cumsum(own, dtype=np.int32) - 1]
 
-    def learn(self, totals: np.ndarray) -> None:
-        """Takes the totals of this order's distinct n-grams."""
+    def ends(self) -> np.ndarray:
+        """Where each hash partition begins among this order's distinct n-grams, and where the last one ends."""
+        part = (self.distinct >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
+        return np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64)).astype(np.int32)
+
+    def learn(self, found: pa.StructArray) -> None:
+        """Takes the totals of this order's distinct n-grams: those found, and the chunk's counts of the rest."""
+        totals = self.count.astype(np.int64)
+        if len(found):
+            part, lists = found.field("part").to_numpy(), found.field("t")
+            both = lists.flatten().to_numpy().view(np.uint64)
+            begin = np.repeat(self.ends()[part], lists.value_lengths().to_numpy())
+            totals[begin + (both >> np.uint64(TOTAL_BITS)).astype(np.int64)] = both & np.uint64((1 << TOTAL_BITS) - 1)
         other = np.zeros(len(self.word), np.int64)
         other[self.at] = totals[self.place] - self.own
         self.others.append(other)
@@ -146,10 +160,9 @@ class Chunk:
 
 def _asked(order: int, parts: int):
     def over(row: pa.Table) -> pa.Table:
-        chunk = Chunk(row, order - 1)
+        chunk = Chunk(row, order - 1, parts)
         chunk.next()
-        part = (chunk.distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
+        ends = chunk.ends()
         some = np.nonzero(np.diff(ends))[0]
         cut = pa.array(np.append(ends[some], ends[-1:]), pa.int32())
         lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (chunk.distinct.view(np.int64), chunk.count.astype(np.int32))]
@@ -159,15 +172,27 @@ def _asked(order: int, parts: int):
     return over
 
 
-def _scored(order: int, alpha: float, total: int):
+def _scored(order: int, alpha: float, total: int, parts: int):
     def over(row: pa.Table) -> pa.Table:
-        chunk = Chunk(row, order)
+        chunk = Chunk(row, order, parts)
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(chunk.scores(alpha, total), pa.float64())]
         return pa.table(columns, names=["id", "n_words", "log_score"])
 
     return over
 
 
+@contextmanager
+def _collecting(spark: SparkSession) -> Iterator[None]:
+    """Lets what is written meanwhile collect up to ``COLLECTED`` groups a task without a sort."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, COLLECTED)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bucketed(frame: DataFrame, label: str, buckets: int) -> DataFrame:
     """Writes rows in buckets by chunk in the shared folder: their later joins need no shuffle.
 
@@ -186,18 +211,22 @@ def _bucketed(frame: DataFrame, label: str, buckets: int) -> DataFrame:
 
 
 def totals(asked: DataFrame, parts: int, order: int) -> DataFrame:
-    """``(chunk, totals_n)``: each chunk's n-grams of ``asked(part, chunk, grams, counts)`` with their counts in all.
+    """``(chunk, totals_n)``: for n-grams of ``asked(part, chunk, grams, counts)`` in several chunks, their place and count in all.
 
     Partitions are of n-grams by hash, so after the one shuffle by ``part`` all rows of
-    an n-gram are together: a chunk has one at most, however common it is.
+    an n-gram are together: a chunk has one at most, however common it is. The table has one
+    row for each n-gram, so it stays within a partition's share whatever is common.
     """
-    rows = asked.repartition(parts, "part").select("part", "chunk", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "g"))
+    dealt = asked.repartitionById(parts, "part")
+    rows = dealt.select("part", "chunk", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "g"))
     rows = rows.select("part", "chunk", "pos", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
-    joined = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "part")))
+    table = rows.groupBy("part", "gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    table = table.where("low < high").select("part", "gram", "total")
+    # Both sides read the same columns, and so the same shuffle.
+    joined = rows.join(table.hint("shuffle_hash"), ["part", "gram"]).where("total > n")
     both = F.shiftleft(F.col("pos").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
-    back = joined.groupBy("part", "chunk").agg(F.sort_array(F.collect_list(both)).alias("t"))
-    back = back.select("part", "chunk", F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << TOTAL_BITS) - 1))).alias("t"))
-    return back.groupBy("chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"])).alias(f"totals_{order}"))
+    back = joined.groupBy("part", "chunk").agg(F.collect_list(both).alias("t"))
+    return back.groupBy("chunk").agg(F.collect_list(F.struct("part", "t")).alias(f"totals_{order}"))
 
 
 def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
@@ -223,9 +252,10 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, id_col:
     known = chunks
     for n in range(1, order + 1):
         asked = known.groupBy("chunk").applyInArrow(_asked(n, parts), "part int, chunk bigint, grams array<bigint>, counts array<int>")
-        found = _bucketed(totals(asked, parts, n), f"totals_{n}", buckets)
+        with _collecting(docs.sparkSession):
+            found = _bucketed(totals(asked, parts, n), f"totals_{n}", buckets)
         known = known.join(found.hint("merge"), "chunk", "left")
-    scored = known.groupBy("chunk").applyInArrow(_scored(order, alpha, total), "id bigint, n_words bigint, log_score double")
+    scored = known.groupBy("chunk").applyInArrow(_scored(order, alpha, total, parts), "id bigint, n_words bigint, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_score"))
 
 
