@@ -218,8 +218,9 @@ def totals(asked: DataFrame, parts: int, order: int) -> DataFrame:
     row for each n-gram, so it stays within a partition's share whatever is common.
     """
     dealt = asked.repartitionById(parts, "part")
-    rows = dealt.select("part", "chunk", F.posexplode(F.arrays_zip("grams", "counts")).alias("pos", "g"))
-    rows = rows.select("part", "chunk", "pos", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+    # The counts are read by place: zipped with the n-grams, each pair would be an object.
+    rows = dealt.select("part", "chunk", "counts", F.posexplode("grams").alias("pos", "gram"))
+    rows = rows.select("part", "chunk", "pos", "gram", F.col("counts")[F.col("pos")].alias("n"))
     table = rows.groupBy("part", "gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     table = table.where("low < high").select("part", "gram", "total")
     # Both sides read the same columns, and so the same shuffle.
