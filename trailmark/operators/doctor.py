@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import mcap
+from .frames import VIDEO_SCHEMA, compressed_video, video_faults
 
 # Names of records and schemas, and the codes of findings below.
 PROVENANCE = "provenance/v1"
@@ -17,13 +18,18 @@ PROVENANCE_KEYS = ("schema_version", "pipeline_version")
 WARNINGS = ("chunk-mixes-video-and-state", "missing-episode-record")
 CAMERA_SCHEMAS = ("sensor_msgs/msg/CompressedImage", "sensor_msgs/msg/Image", "foxglove.CompressedVideo", "foxglove.CompressedImage", "foxglove.RawImage", "foxglove_msgs/msg/CompressedVideo")
 CAP = 3
+CODES = (
+    "unreadable", "no-summary", "no-statistics", "no-chunk-indexes", "chunk-missing-message-indexes", "chunk-mixes-video-and-state", "missing-provenance", "provenance-missing-key",
+    "missing-episode-record", "topic-time-order", "read-failed", "video-format", "video-not-aud-delimited", "video-multiple-access-units", "video-keyframe-missing-parameter-sets", "video-stream-starts-mid-gop",
+)
 
 
 def structure(path: str, data: bytes) -> Iterator[tuple[str, str]]:
     """``(code, message)`` of what is wrong with a file, in one pass over it.
 
     What can't be read is a finding too: of the whole file (``unreadable``), or of the
-    part behind which nothing more is known (``read-failed``).
+    part behind which nothing more is known (``read-failed``). Video messages are judged in
+    the order that the file has them, each stream by its channel.
     """
     try:
         if data[:8] != mcap.MAGIC or data[-8:] != mcap.MAGIC:
@@ -34,49 +40,58 @@ def structure(path: str, data: bytes) -> Iterator[tuple[str, str]]:
     except mcap.DAMAGE as e:
         yield "unreadable", f"not a whole recording: {e}"
         return
-    codes = [code for _, code, _ in found]
     if not summary:
         yield "no-summary", "the footer names no summary"
-    if mcap.STATISTICS not in codes:
+        return
+    if not any(code == mcap.STATISTICS for at, code, _ in found if at >= summary):
         yield "no-statistics", "no statistics record"
-    if mcap.CHUNK in codes and mcap.CHUNK_INDEX not in codes:
-        yield "no-chunk-indexes", "chunks without chunk indexes"
-    topics: dict[int, str] = {}
-    cameras: set[int] = set()
+    channels: dict[int, tuple[str, str | None, str]] = {}  # topic, schema, message encoding
     schemas: dict[int, str] = {}
     records: dict[str, dict[str, str]] = {}
     last: dict[int, int] = {}
+    chunks: list[tuple[int, list[int]]] = []
     damaged = False
-    for k, (at, code, body) in enumerate(found):
-        if code == mcap.CHUNK and (k + 1 == len(codes) or codes[k + 1] != mcap.MESSAGE_INDEX):
-            yield "chunk-missing-message-indexes", f"the chunk at {at} has no message indexes"
-        seen = set()
+    for at, code, body in found:
         try:
             inner = mcap.records(mcap.unpacked(body)) if code == mcap.CHUNK else [(0, code, body)]
             for _, c, b in inner:
                 f = mcap.Fields(memoryview(b))
                 if c == mcap.MESSAGE:
-                    number, _, time = f.number("H"), f.number("I"), f.number("Q")
-                    seen.add(number in cameras)
+                    number, _, time, _ = f.number("H"), f.number("I"), f.number("Q"), f.number("Q")
+                    topic, schema, encoding = channels[number]
                     if time < last.get(number, time):
-                        yield "topic-time-order", f"time goes back on {topics.get(number)}"
+                        yield "topic-time-order", f"time goes back on {topic}: {last[number]}, then {time}"
+                    if schema == VIDEO_SCHEMA:
+                        for what, told in video_faults(*compressed_video(f.rest(), encoding), first=number not in last):
+                            yield what, f"{topic} at {time}: {told}"
                     last[number] = time
                 elif c == mcap.SCHEMA:
                     number = f.number("H")
                     schemas[number] = f.text()
                 elif c == mcap.CHANNEL:
                     number, schema = f.number("H"), f.number("H")
-                    topics[number] = f.text()
-                    if schemas.get(schema) in CAMERA_SCHEMAS:
-                        cameras.add(number)
+                    channels[number] = (f.text(), schemas.get(schema), f.text())
                 elif c == mcap.METADATA:
                     name = f.text()
                     records[name] = f.pairs()
+                elif c == mcap.CHUNK_INDEX:
+                    _, _, start, _ = (f.number("Q") for _ in range(4))
+                    end, own = f.number("I") + f.at, []
+                    while f.at < end:
+                        own.append(f.number("H"))
+                        f.number("Q")
+                    chunks.append((start, own))
         except mcap.DAMAGE as e:
             damaged = True
             yield "read-failed", f"the record at {at}: {e or type(e).__name__}"
-        if len(seen) > 1:
-            yield "chunk-mixes-video-and-state", f"the chunk at {at} holds camera and other messages"
+    if not chunks:
+        yield "no-chunk-indexes", "no chunk indexes: the file has no chunks, or none can be found"
+    for at, own in chunks:
+        video = {channels.get(number, ("", None, ""))[1] == VIDEO_SCHEMA for number in own}
+        if not own:
+            yield "chunk-missing-message-indexes", f"the chunk at {at} has no message indexes"
+        elif len(video) > 1:
+            yield "chunk-mixes-video-and-state", f"the chunk at {at} holds {sorted(channels[n][0] for n in own if n in channels)}"
     if EPISODE not in records and not damaged:
         yield "missing-episode-record", f"no {EPISODE} record"
     if PROVENANCE not in records:

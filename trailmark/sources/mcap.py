@@ -6,6 +6,8 @@ time filters skip whole chunks before they are decompressed.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -76,6 +78,8 @@ def unpacked(chunk: memoryview, start_ns: int | None = None, end_ns: int | None
     compression, body = f.text(), f.raw("Q")
     if compression == "zstd":
         body = zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    elif compression == "lz4":
+        body = pa.Codec("lz4").decompress(body, size, asbytes=True)
     elif compression:
         raise ValueError(f"chunks compressed by {compression!r} can't be read here")
     if crc and zlib.crc32(body) != crc:
@@ -210,53 +214,110 @@ def _described(channels: list[dict]) -> tuple[bytes, int]:
     return out, len(numbers)
 
 
+class EpisodeFile:
+    """One episode's file, written as its parts come: channels, then messages group by group in order of time, then the rest.
+
+    No more than one chunk is held. ``sink`` takes bytes by ``write``.
+    """
+
+    def __init__(self, sink, limit: int = 800_000):
+        self.sink, self.limit, self.at = sink, limit, 0
+        self.hash = hashlib.sha256()
+        self.described, self.schemas, self.channels = b"", 0, 0
+        self.indexes, self.chunks, self.counts, self.other = b"", 0, {}, [0, 0]
+        self.times: tuple[int, int] | None = None
+        self.group: str | None = None
+        self.held: list[tuple[int, int, int, int, bytes]] = []
+        self.size = 0
+        self._put(MAGIC + _record(HEADER, _text("") + _text("trailmark")))
+
+    def _put(self, data: bytes) -> tuple[int, int]:
+        start = self.at
+        self.sink.write(data)
+        self.hash.update(data)
+        self.at += len(data)
+        return start, len(data)
+
+    def describe(self, channels: list[dict]) -> None:
+        """Schemas and channels, with the fields of ``CHANNELS`` rows; before any message."""
+        self.described, self.schemas = _described(channels)
+        self.channels = len(channels)
+        self._put(self.described)
+
+    def message(self, group: str, channel: int, sequence: int, log: int, publish: int, data: bytes) -> None:
+        if group != self.group:
+            self._close()
+            self.group = group
+        self.held.append((channel, sequence, log, publish, data))
+        self.size += 9 + 22 + len(data)
+        self.counts[channel] = self.counts.get(channel, 0) + 1
+        self.times = (log, log) if self.times is None else (min(self.times[0], log), max(self.times[1], log))
+        if self.size > self.limit:
+            self._close()
+
+    def _close(self) -> None:
+        """Writes the chunk that is held, its message indexes and, for later, its index."""
+        for first, last, body, index in _chunked(self.held, 1 << 62):
+            small = zstandard.ZstdCompressor().compress(body)
+            start, length = self._put(_record(CHUNK, struct.pack("<QQQI", first, last, len(body), zlib.crc32(body)) + _text("zstd") + struct.pack("<Q", len(small)) + small))
+            after, offsets = self.at, b""
+            for channel, entries in sorted(index.items()):
+                pairs = b"".join(struct.pack("<QQ", *e) for e in entries)
+                at, _ = self._put(_record(MESSAGE_INDEX, struct.pack("<HI", channel, len(pairs)) + pairs))
+                offsets += struct.pack("<HQ", channel, at)
+            self.indexes += _record(CHUNK_INDEX, struct.pack("<QQQQI", first, last, start, length, len(offsets)) + offsets + struct.pack("<Q", self.at - after) + _text("zstd") + struct.pack("<QQ", len(small), len(body)))
+            self.chunks += 1
+        self.held, self.size = [], 0
+
+    def attachment(self, x: dict) -> None:
+        """One with the fields of an ``ATTACHMENTS`` row; after all messages."""
+        self._close()
+        data = x["data"] or b""
+        body = struct.pack("<QQ", x["log_time_ns"], x["create_time_ns"]) + _text(x["name"]) + _text(x["media_type"]) + struct.pack("<Q", len(data)) + data
+        start, length = self._put(_record(ATTACHMENT, body + struct.pack("<I", zlib.crc32(body))))
+        self.indexes += _record(ATTACHMENT_INDEX, struct.pack("<QQQQQ", start, length, x["log_time_ns"], x["create_time_ns"], len(data)) + _text(x["name"]) + _text(x["media_type"]))
+        self.other[0] += 1
+
+    def metadata(self, name: str, entries: dict[str, str]) -> None:
+        self._close()
+        start, length = self._put(_record(METADATA, _text(name) + _pairs(entries)))
+        self.indexes += _record(METADATA_INDEX, struct.pack("<QQ", start, length) + _text(name))
+        self.other[1] += 1
+
+    def finish(self) -> tuple[int, str]:
+        """Writes the summary; the file's size and SHA-256."""
+        self._close()
+        self._put(_record(DATA_END, struct.pack("<I", 0)))
+        start = self.at
+        pairs = b"".join(struct.pack("<HQ", *x) for x in sorted(self.counts.items()))
+        first, last = self.times or (0, 0)
+        statistics = struct.pack("<QHIIIIQQI", sum(self.counts.values()), self.schemas, self.channels, *self.other, self.chunks, first, last, len(pairs)) + pairs
+        summary = self.described + _record(STATISTICS, statistics) + self.indexes
+        footer = struct.pack("<QQ", start, 0)
+        crc = zlib.crc32(summary + struct.pack("<BQ", FOOTER, 20) + footer)
+        self._put(summary + _record(FOOTER, footer + struct.pack("<I", crc)) + MAGIC)
+        return self.at, self.hash.hexdigest()
+
+
 def packed(channels: list[dict], rows: list[tuple[int, int, int, int, bytes]], groups: dict[str, str], metadata: dict[str, dict[str, str]], limit: int = 800_000, attachments: list[dict] = ()) -> bytes:
     """One episode's file: a stream of chunks per group of topics, indexes and a summary.
 
     ``channels`` have the fields of ``CHANNELS`` rows, ``attachments`` those of
     ``ATTACHMENTS`` rows; ``rows`` are (channel, sequence, log time, publish time, data) in order of time.
     """
-    out = bytearray(MAGIC + _record(HEADER, _text("") + _text("trailmark")))
-    described, schemas = _described(channels)
-    out += described
-    indexes = b""
-    count = 0
-    by_group: dict[str, list] = {}
+    out = io.BytesIO()
+    file = EpisodeFile(out, limit)
+    file.describe(channels)
     topics = {c["channel_id"]: c["topic"] for c in channels}
-    for row in rows:
-        by_group.setdefault(groups.get(topics[row[0]], "state"), []).append(row)
-    for _, group in sorted(by_group.items()):
-        for first, last, body, index in _chunked(group, limit):
-            small = zstandard.ZstdCompressor().compress(body)
-            start = len(out)
-            out += _record(CHUNK, struct.pack("<QQQI", first, last, len(body), zlib.crc32(body)) + _text("zstd") + struct.pack("<Q", len(small)) + small)
-            after, offsets = len(out), b""
-            for channel, entries in sorted(index.items()):
-                offsets += struct.pack("<HQ", channel, len(out))
-                pairs = b"".join(struct.pack("<QQ", *e) for e in entries)
-                out += _record(MESSAGE_INDEX, struct.pack("<HI", channel, len(pairs)) + pairs)
-            indexes += _record(CHUNK_INDEX, struct.pack("<QQQQI", first, last, start, after - start, len(offsets)) + offsets + struct.pack("<Q", len(out) - after) + _text("zstd") + struct.pack("<QQ", len(small), len(body)))
-            count += 1
+    group = lambda row: groups.get(topics[row[0]], "state")
+    for row in sorted(rows, key=group):
+        file.message(group(row), *row)
     for x in attachments:
-        start, data = len(out), x["data"] or b""
-        body = struct.pack("<QQ", x["log_time_ns"], x["create_time_ns"]) + _text(x["name"]) + _text(x["media_type"]) + struct.pack("<Q", len(data)) + data
-        out += _record(ATTACHMENT, body + struct.pack("<I", zlib.crc32(body)))
-        indexes += _record(ATTACHMENT_INDEX, struct.pack("<QQQQQ", start, len(out) - start, x["log_time_ns"], x["create_time_ns"], len(data)) + _text(x["name"]) + _text(x["media_type"]))
+        file.attachment(x)
     for name, entries in sorted(metadata.items()):
-        start = len(out)
-        out += _record(METADATA, _text(name) + _pairs(entries))
-        indexes += _record(METADATA_INDEX, struct.pack("<QQ", start, len(out) - start) + _text(name))
-    out += _record(DATA_END, struct.pack("<I", 0))
-    start = len(out)
-    counts: dict[int, int] = {}
-    for row in rows:
-        counts[row[0]] = counts.get(row[0], 0) + 1
-    pairs = b"".join(struct.pack("<HQ", *x) for x in sorted(counts.items()))
-    times = [r[2] for r in rows] or [0]
-    out += described + _record(STATISTICS, struct.pack("<QHIIIIQQI", len(rows), schemas, len(channels), len(attachments), len(metadata), count, min(times), max(times), len(pairs)) + pairs) + indexes
-    footer = struct.pack("<QQ", start, 0)
-    summary = bytes(out[start:]) + struct.pack("<BQ", FOOTER, 20) + footer
-    return bytes(out) + _record(FOOTER, footer + struct.pack("<I", zlib.crc32(summary))) + MAGIC
+        file.metadata(name, entries)
+    file.finish()
+    return out.getvalue()
 
 
 def to_files(
