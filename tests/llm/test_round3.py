@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import mining, sharding, whitening
+from trailmark.llm import bpe, common, linededup, mining, mixing, quality, sharding, simhash, whitening
 
 DOCS = "doc_id bigint, text string, source string, size string, place int, id string"
 NAN, INF = float("nan"), float("inf")
@@ -201,3 +201,92 @@ def test_whitening_odd(spark):
     assert {r["component"] for r in whitening.whiten(flat).collect()} == {1}
     with pytest.raises(Exception, match="exceed"):
         whitening.whiten(spark.createDataFrame([(1, [3e38])], "vec_id bigint, embedding array<float>")).count()
+
+
+def thue_morse(a, b, n):
+    return [a if bin(k).count("1") % 2 == 0 else b for k in range(n)]
+
+
+def plain_extend(own, other, pairs):
+    """Lines of ``own`` that are covered by walking from each pair both ways."""
+    covered = set()
+    for p, q in pairs:
+        i, j = p, q
+        while i > 0 and j > 0 and own[i - 1] == other[j - 1]:
+            i, j = i - 1, j - 1
+        while i < len(own) and j < len(other) and own[i] == other[j]:
+            covered.add(i)
+            i, j = i + 1, j + 1
+    return covered
+
+
+def test_runs_are_compared_exactly():
+    """Orders that sums modulo a power of two take for equal, whatever the base."""
+    assert all(pow(7, p - 1, p) == 1 and p < 1 << 31 for p, _ in linededup.MODULI)
+    rng = np.random.default_rng(2)
+    x, a, b, *rest = (int(v) for v in rng.integers(-(1 << 62), 1 << 62, 3003))
+    for n in (1024, 2048):
+        own, other = [x, *thue_morse(a, b, n), *rest[:n]], [x, *thue_morse(b, a, n), *rest[n : 2 * n]]
+        assert linededup.extend(own, other, [(0, 0)]) == [(0, 1)]
+    for _ in range(200):
+        own, other = (rng.integers(0, 3, rng.integers(1, 40)).tolist() for _ in range(2))
+        pairs = [(i, j) for i in range(len(own)) for j in range(len(other)) if own[i] == other[j]][:6]
+        found = linededup.extend(own, other, pairs)
+        assert {k for s, e in found for k in range(s, e)} == plain_extend(own, other, pairs)
+
+
+def test_thue_morse_texts_keep_their_lines(spark):
+    """The query's own columns on a planted run of 2,048 lines that repeats nothing but its first three."""
+    name = lambda k, n=60: " ".join(f"w{k}_{j}" for j in range(n))
+    head = [name(f"h{k}") for k in range(3)]
+    a, b = name("a", 3), name("b", 3)
+    texts = ["\n".join(head + thue_morse(*pair, 2048)) for pair in ((a, b), (b, a))]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["lines"] for r in linededup.dedup(docs).collect()}
+    left = got[2]["text"].split("\n") if got[2]["text"] else []
+    earlier, lines = texts[0].split("\n"), texts[1].split("\n")
+    # Plain: a line goes if it is in a run of three lines or more that an earlier place has.
+    triples = {tuple(earlier[k : k + 3]) for k in range(len(earlier) - 2)}
+    cover = set()
+    for k in range(len(lines) - 2):
+        if tuple(lines[k : k + 3]) in triples or tuple(lines[k : k + 3]) in {tuple(lines[j : j + 3]) for j in range(max(0, k - 400), k)}:
+            cover |= {k, k + 1, k + 2}
+    assert set(range(3)) <= cover and left == [x for k, x in enumerate(lines) if k not in cover]
+    assert got[2]["deleted_words"] == sum(len(lines[k].split()) for k in cover)
+
+
+CLASHES = ("_lines", "_tag", "_cut_own", "_cut_ranges", "quality_stats", "_both", "_gone_id", "_mix_source", "_mix_copy", "views")
+
+
+def test_stages_leave_other_columns_alone(spark, sf):
+    rows = [(k, " ".join(f"word{k}_{j}" for j in range(80)), "en", "s", 1, *[f"{c}{k}" for c in CLASHES]) for k in range(4)]
+    rows += [(9, rows[0][1], "en", "s", 1, *CLASHES), (None, None, None, None, None, *CLASHES), (10, "", "en", "s", 0, *CLASHES)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHES))
+    for stage in (quality.stage, linededup.stage, simhash.stage, mixing.stage):
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns
+        held = {r["doc_id"]: r for r in got.collect()}
+        for k in range(4):
+            assert [held[k][c] for c in CLASHES] == [f"{c}{k}" for c in CLASHES] or stage is mixing.stage and k not in held
+        assert stage(spark, docs.where("doc_id = -1"), sf).count() == 0
+    assert bpe.stage(spark, docs, sf).count() == len(rows) and bpe.stage(spark, docs.where("doc_id = -1"), sf).count() == 0
+
+
+def test_intermediates_belong_to_their_thread(spark):
+    import threading
+
+    since = common.mark()
+    mine = common.written(spark.range(3), "mine")
+
+    def other():
+        at = common.mark()
+        common.written(spark.range(2), "other").count()
+        common.release(spark, at)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert mine.count() == 3
+    common.release(spark, since)
+    with pytest.raises(Exception):
+        mine.count()

@@ -264,6 +264,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document's ids and the text that they decode to."""
+    """Pipeline stage: each document's ids and the text that they decode to.
+
+    A null or empty text has the end's id alone and decodes to the empty text; texts of any length
+    are encoded whole, repeated rows stay. Of the columns only id and source are carried on; an
+    empty table gives an empty result.
+    """
     coded = round_trip(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -8,6 +8,7 @@ here defines a word.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,15 +36,30 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-_written: list[str] = []
+class _Written(threading.local):
+    """Paths that this thread's operators have written: runs side by side in one driver don't see each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def noted(path: str) -> str:
-    """Keeps ``path`` in mind for ``release``."""
-    _written.append(path)
+    """Keeps ``path`` in mind for ``release`` in this thread."""
+    _written.paths.append(path)
     return path
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as keep it apart from the columns of ``frame``."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """Writes ``frame`` as Parquet in the shared folder and reads it back.
 
@@ -58,14 +74,15 @@ def written(frame: DataFrame, label: str) -> DataFrame:
 
 
 def mark() -> int:
-    """How much has been written so far, for ``release``."""
-    return len(_written)
+    """How much this thread has written so far, for ``release``."""
+    return len(_written.paths)
 
 
 def release(spark: SparkSession, since: int, *, keep_last: bool = False) -> None:
-    """Deletes what operators have written since ``mark()``, or all of it but the last: for when a result is stored."""
-    gone = _written[since : len(_written) - keep_last]
-    del _written[since : len(_written) - keep_last]
+    """Deletes what this thread's operators have written since ``mark()``, or all of it but the last: for when a result is stored."""
+    paths = _written.paths
+    gone = paths[since : len(paths) - keep_last]
+    del paths[since : len(paths) - keep_last]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

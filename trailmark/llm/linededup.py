@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import short_batches, text_bytes, written
+from .common import short_batches, text_bytes, unused, written
 
 GRAM = 2
 WINDOW = 2
@@ -63,16 +63,24 @@ def winnow(hashes: list[int], places: list[int], gram: int = GRAM, window: int =
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: (prime, base): runs count as equal where their sums agree modulo all three, of 93 bits in all.
+#: Sums modulo a power of two won't do: for any base they agree on Thue-Morse orders of two lines.
+MODULI = ((2147483647, 1103515245), (2147483629, 1812433253), (2147483587, 1566083941))
 
 
-def _rolled(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the sum of the hashes before it, each times a power of ``BASE``; and those powers."""
-    powers = np.ones(len(hashes) + 1, np.uint64)
-    np.multiply.accumulate(np.full(len(hashes), BASE), out=powers[1:])
+def _rolled(hashes: np.ndarray, length: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the sum of the hashes before it, each times a power of ``base``; and ``length`` such powers."""
+    p = np.uint64(prime)
+    powers = np.ones(length, np.uint64)
+    done = 1
+    while done < length:
+        step = min(done, length - done)
+        powers[done : done + step] = powers[:step] * np.uint64(pow(base, done, prime)) % p
+        done += step
     sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.add.accumulate(hashes.view(np.uint64) * powers[:-1], out=sums[1:])
-    return sums, powers
+    # Terms are below 2^31, so the sums of 2^32 lines fit.
+    np.add.accumulate(hashes.view(np.uint64) % p * powers[: len(hashes)] % p, out=sums[1:])
+    return sums % p, powers
 
 
 def extend(own: list[int], other: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,14 +94,18 @@ def extend(own: list[int], other: list[int], pairs: list[tuple[int, int]]) -> li
     if not pairs:
         return []
     a, b = np.array(own, np.int64), np.array(other, np.int64)
-    (one, powers), (two, more) = _rolled(a), _rolled(b)
-    powers = powers if len(powers) >= len(more) else more
+    length = max(len(a), len(b)) + 1
+    rolled = [(np.uint64(prime), *(x for h in (a, b) for x in _rolled(h, length, prime, base))) for prime, base in MODULI]
     p, q = np.array(sorted(set(pairs)), np.int64).T
 
     def equal(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether ``n`` lines from ``i`` of own and from ``j`` of other are the same."""
-        x, y = one[i + n] - one[i], two[j + n] - two[j]
-        return x * powers[np.maximum(j - i, 0)] == y * powers[np.maximum(i - j, 0)]
+        right, left = np.maximum(j - i, 0), np.maximum(i - j, 0)
+        same = np.ones(len(n), bool)
+        for prime, one, powers, two, _ in rolled:
+            x, y = (one[i + n] + prime - one[i]) % prime, (two[j + n] + prime - two[j]) % prime
+            same &= x * powers[right] % prime == y * powers[left] % prime
+        return same
 
     def longest(most: np.ndarray, same) -> np.ndarray:
         low, high = np.zeros_like(most), most
@@ -220,15 +232,16 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ou
     ranged = written(ranged.select("who", "r", _ends(gram, window).alias("ends")), "ranged")
     ranged = ranged.select("who", "r").unionByName(_crossing(single, ranged, gram))
     cuts = written(ranged.groupBy("who").agg(F.flatten(F.collect_list("r")).alias("ranges")), "cuts")
-    cuts = cuts.select(F.col("who.id").alias("_cut_id"), F.col("who.tag").alias("_cut_tag"), F.col("ranges").alias("_cut_ranges"))
+    own, cut_id, cut_tag, cut_ranges = (unused(docs, c) for c in ("_cut_own", "_cut_id", "_cut_tag", "_cut_ranges"))
+    cuts = cuts.select(F.col("who.id").alias(cut_id), F.col("who.tag").alias(cut_tag), F.col("ranges").alias(cut_ranges))
     # The cuts grow with the corpus: a merge join at every size, never a broadcast.
     cuts = cuts.hint("merge")
-    tagged = docs.withColumn("_cut_own", tag)
-    joined = tagged.join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.col("_cut_own") == F.col("_cut_tag")), "left")
+    tagged = docs.withColumn(own, tag)
+    joined = tagged.join(cuts, F.col(id_col).eqNullSafe(F.col(cut_id)) & (F.col(own) == F.col(cut_tag)), "left")
     kind = "struct<text:string,n_lines:bigint,n_deleted:bigint,deleted_words:bigint>"
     # Likewise.
     cut = F.arrow_udf(_cut, kind).asNondeterministic()
-    return joined.withColumn(out, cut(text_bytes(text_col), "_cut_ranges")).drop("_cut_own", "_cut_id", "_cut_tag", "_cut_ranges")
+    return joined.withColumn(out, cut(text_bytes(text_col), cut_ranges)).drop(own, cut_id, cut_tag, cut_ranges)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +254,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without later repeated runs.
 
-    A document all of whose lines went is a repeat as a whole and goes too.
+    A document all of whose lines went is a repeat as a whole and goes too. Null and empty
+    texts stay, equal ones of other ids go; rows with the same id and text are one document
+    and all stay. Columns beside text and n_chars stay as they are, whatever their names; an
+    empty table stays empty.
     """
-    left = dedup(docs, out="_lines").where("not (_lines.n_deleted > 0 and _lines.n_deleted = _lines.n_lines)")
-    columns = {"text": F.col("_lines.text"), "n_chars": F.length("_lines.text").cast("long")}
+    out = unused(docs, "_lines")
+    left = dedup(docs, out=out)
+    left = left.where(~((F.col(f"{out}.n_deleted") > 0) & (F.col(f"{out}.n_deleted") == F.col(f"{out}.n_lines"))))
+    columns = {"text": F.col(f"{out}.text"), "n_chars": F.length(F.col(f"{out}.text")).cast("long")}
     return left.select(*[(columns[c] if c in columns else F.col(c)).alias(c) for c in docs.columns])

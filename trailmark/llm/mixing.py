@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,7 +68,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """``(id, size, source_size, target, taken)`` for each row of ``docs``.
 
     A null text has size 0; a null source is a source of its own, last in order.
-    Rows that repeat an id share its draw. An empty table gives an empty result.
+    Rows that repeat an id share its draw. Texts of any length are counted whole; sources that
+    tie at a level go by name. Only the three columns are read, so others may have any
+    names; they are left out. An empty table gives an empty result.
     """
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _draw(F.col(id_col), F.col(text_col), seed).alias("_draw"))
     sized = written(sized, "sizes")
@@ -80,12 +82,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever their names.
+
+    Nulls, ties and repeated rows as in ``mix``: a row without words is taken like the others of
+    its source. An empty table gives an empty result.
+    """
     table = written(rates(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), **how), "rates")
-    table = table.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    joined = docs.join(table, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    times = _copies(F.col("_mix_rate"), _draw(F.col(id_col), F.col(text_col), seed))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_mix_copy")).drop("_mix_copy")
+    source, rate, copy = (unused(docs, c) for c in ("_mix_source", "_mix_rate", "_mix_copy"))
+    table = table.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    joined = docs.join(table, F.col(source_col).eqNullSafe(F.col(source)))
+    times = _copies(F.col(rate), _draw(F.col(id_col), F.col(text_col), seed))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +101,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix, with repeated documents as repeated rows."""
+    """Pipeline stage: the mix, with repeated documents as repeated rows; odd rows as in ``repeat``."""
     return repeat(docs)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .common import short_batches, text_bytes
+from .common import short_batches, text_bytes, unused
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -153,6 +153,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops the documents that the rules or the trees reject."""
+    """Pipeline stage: drops the documents that the rules or the trees reject.
+
+    Null and empty texts fail the rules; texts of any length are judged whole, repeated rows
+    alike. All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels)).where("quality_stats.kept").drop("quality_stats")
+    out = unused(docs, "quality_stats")
+    return score(docs, train(docs, labels), out=out).where(F.col(f"{out}.kept")).drop(out)

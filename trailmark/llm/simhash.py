@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import short_batches, text_bytes, written
+from .common import short_batches, text_bytes, unused, written
 from .graph import components
 
 SEED = 42
@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame, *, size: int = 3, text_col: str = "text", out:
     if not sampled:
         return docs.withColumn(out, F.arrow_udf(over, "bigint")(text_bytes(text_col)))
     found = F.arrow_udf(both, f"struct<{out}:bigint,views:array<bigint>>")
-    return docs.withColumn("_both", found(text_bytes(text_col))).select("*", "_both.*").drop("_both")
+    held = unused(docs, "_both")
+    return docs.withColumn(held, found(text_bytes(text_col))).select("*", f"{held}.*").drop(held)
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -287,15 +288,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least id, and of several rows with that id (or without any, where no row of the
     group has one) the least hash of its text. Rows that share an id but are no near
     duplicates are different documents; of rows with the same id and text one stays.
+    Texts that are null or without words are one group; texts of any length are read whole.
+    All columns stay as they are, whatever their names; an empty table stays empty.
     """
     found = grouped(docs, size=5, similarity=0.8)
     gone = found.where(~_same(F.col("who"), F.col("first"))).select("who").distinct()
-    gone = gone.select(F.col("who.id").alias("_gone_id"), F.col("who.tag").alias("_gone_tag"))
-    tagged = docs.withColumn("_tag", _who("doc_id", "text")["tag"])
-    left = tagged.join(gone, (F.col("_tag") == F.col("_gone_tag")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    tag, gone_id, gone_tag = (unused(docs, c) for c in ("_tag", "_gone_id", "_gone_tag"))
+    gone = gone.select(F.col("who.id").alias(gone_id), F.col("who.tag").alias(gone_tag))
+    tagged = docs.withColumn(tag, _who("doc_id", "text")["tag"])
+    left = tagged.join(gone, (F.col(tag) == F.col(gone_tag)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     if not found.groupBy("who").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_tag"])
-    return left.drop("_tag")
+        left = left.dropDuplicates(["doc_id", tag])
+    return left.drop(tag)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
