@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trailmark.app import App, each_episode, stages
 from trailmark.plans.catalog import Catalog
 from trailmark.plans.curate import curate, shard
+from trailmark.schemas import TABLES
 from trailmark.sources.storage import Folder, root_uri, valid_key
 
 MESSAGES = "episode_id string, topic string, log_time_ns bigint, seq bigint, value double, data string"
@@ -184,3 +185,123 @@ def test_shards(spark):
     rows = spark.range(10).withColumnRenamed("id", "x").repartition(3)
     parts = [[r["x"] for r in shard(rows, ["x"], k, 3).orderBy("x").collect()] for k in range(3)]
     assert sum(parts, []) == list(range(10)) and max(map(len, parts)) - min(map(len, parts)) <= 1
+
+
+RUN = "episode_id string, run_fingerprint string, task string"
+ROW = "episode_id string, run_fingerprint string, check_name string, tag string"
+
+
+def filled(spark, names, table_ddl=None):
+    frame = spark.createDataFrame([(n, f"f-{n}", "t") for n in names], RUN)
+    return frame.select(*[F.col(c) if c in frame.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in TABLES["episodes"].split(", "))])
+
+
+def tagged(spark, names):
+    return spark.createDataFrame([(n, f"f-{n}", "c", f"tag-{n}") for n in names], ROW)
+
+
+def one_time(catalog, names):
+    """Each run once, its tags once, all with one time."""
+    rows = catalog.episodes().join(catalog.table("tags").withColumnRenamed("recorded_at", "at"), ["episode_id", "run_fingerprint"]).collect()
+    return sorted(r["episode_id"] for r in rows) == sorted(names) and all(r["at"] == r["recorded_at"] for r in rows) and catalog.raw("episodes").count() == len(names)
+
+
+def test_a_crash_between_any_two_steps_leaves_no_half(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/c"
+    steps = []
+
+    def watched(name):
+        real = getattr(Catalog, name)
+
+        def f(self, *a, **k):
+            steps.append(name)
+            if len(steps) == dies:
+                raise KeyboardInterrupt
+            return real(self, *a, **k)
+
+        return f
+
+    for name in ("_put", "_commit", "_drop"):
+        monkeypatch.setattr(Catalog, name, watched(name))
+    for dies in range(1, 4):  # the first table, the second table, the commit
+        steps.clear()
+        with pytest.raises(KeyboardInterrupt):
+            Catalog(spark, root).append(filled(spark, "ab"), tags=tagged(spark, "ab"))
+        dies_later, dies = dies, 0
+        assert Catalog(spark, root).raw("episodes").count() == 0 and Catalog(spark, root).table("tags").count() == 0
+        dies = dies_later
+    # One that can't even clear up leaves debris that nobody reads.
+    dies = 0
+    monkeypatch.setattr(Catalog, "_drop", lambda self, batch: None)
+    monkeypatch.setattr(Catalog, "_commit", lambda self, *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        Catalog(spark, root).append(filled(spark, "ab"), tags=tagged(spark, "ab"))
+    monkeypatch.undo()
+    catalog = Catalog(spark, root)
+    assert len(catalog.debris()) == 2 and catalog.raw("tags").count() == 0
+    assert catalog.append(filled(spark, "ab"), tags=tagged(spark, "ab")) == 2
+    assert catalog.append(filled(spark, "ab"), tags=tagged(spark, "ab")) == 0
+    assert one_time(catalog, "ab") and len(catalog.debris()) == 2
+
+
+def test_two_writers_of_one_run(spark, tmp_path, monkeypatch):
+    """All are ready to commit at the same time; the runs that they share are there once."""
+    import threading
+
+    root = f"file://{tmp_path}/c"
+    Catalog(spark, root).check_format(create=True)
+    gate = threading.Barrier(3)
+    real = Catalog._commit
+    first = threading.local()
+
+    def commit(self, *a):
+        if not getattr(first, "passed", False):
+            first.passed = True
+            gate.wait(120)
+        return real(self, *a)
+
+    monkeypatch.setattr(Catalog, "_commit", commit)
+    added = {}
+
+    def write(k, names):
+        added[k] = Catalog(spark, root).append(filled(spark, names), tags=tagged(spark, names))
+
+    threads = [threading.Thread(target=write, args=x) for x in ((0, "ab"), (1, "bc"), (2, "xy"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    catalog = Catalog(spark, root)
+    assert sum(added.values()) == 5 and added[2] == 2
+    assert one_time(catalog, "abcxy") and catalog.debris() == [] and len(catalog.commits()) == 3
+
+
+def test_appending_again_heals(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    catalog = Catalog(spark, root)
+    catalog.append(filled(spark, "ab"), tags=tagged(spark, "ab"))
+    batch = catalog.commits()[0]["batch"]
+    # The rows of one run are gone, those of the other have another time.
+    path = f"{tmp_path}/c/tags/batch={batch}"
+    stale = catalog.raw("tags").where("episode_id = 'a'").withColumn("recorded_at", F.expr("recorded_at - interval 1 hour"))
+    stale.write.parquet(f"file://{tmp_path}/stale")
+    import shutil
+
+    shutil.rmtree(path)
+    shutil.copytree(f"{tmp_path}/stale", path)
+    assert catalog.table("tags").count() == 0 and catalog.drift("tags").count() == 1
+    assert Catalog(spark, root).append(filled(spark, "ab"), tags=tagged(spark, "ab")) == 0
+    assert one_time(Catalog(spark, root), "ab") and len(Catalog(spark, root).commits()) == 2
+    assert Catalog(spark, root).append(filled(spark, "abc"), tags=tagged(spark, "abc")) == 1
+    assert one_time(Catalog(spark, root), "abc") and len(Catalog(spark, root).commits()) == 3
+
+
+def test_an_empty_commit_is_refused(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    Catalog(spark, root).append(filled(spark, "a"))
+    (tmp_path / "c/_commits/00000000000000000002.json").write_text("")
+    for use in (lambda c: c.episodes(), lambda c: c.append(filled(spark, "b"))):
+        with pytest.raises(ValueError, match="empty or damaged"):
+            use(Catalog(spark, root))
+    (tmp_path / "c/_commits/00000000000000000002.json").unlink()
+    assert Catalog(spark, root).append(filled(spark, "b")) == 1

@@ -63,6 +63,16 @@ def each_episode(f: Callable[[object], dict], *columns: str) -> Step:
     return step
 
 
+def measurement_rows(evidence: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, key, value_double, value_text, value_bool)``: a row for each entry of the maps ``measurements`` and ``labels``."""
+    null = lambda t: F.lit(None).cast(t)
+    row = lambda e, number, text: F.struct(e["key"].alias("key"), number.alias("value_double"), text.alias("value_text"), null("boolean").alias("value_bool"))
+    entries = lambda c: F.coalesce(F.map_entries(c), F.array())
+    numbers = F.transform(entries("measurements"), lambda e: row(e, e["value"], null("string")))
+    labels = F.transform(entries("labels"), lambda e: row(e, null("double"), e["value"]))
+    return evidence.select(*keys, F.inline(F.concat(numbers, labels)))
+
+
 def stages(named: str | Iterable[str] | None) -> tuple[str, ...]:
     """Stages of a profile's name, of a list, or all of them; unknown ones are refused."""
     if named is None:
@@ -235,13 +245,11 @@ class App:
         live = told.where("status != 'skipped'")
         key = ["episode_id", "run_fingerprint", "check_name"]
         none = lambda t: F.lit(None).cast(t)
-        numbers = live.select(*key, "check_version", F.explode("measurements").alias("key", "value_double")).withColumns({"value_text": none("string"), "value_bool": none("boolean")})
-        labels = live.select(*key, "check_version", F.explode("labels").alias("key", "value_text")).withColumns({"value_double": none("double"), "value_bool": none("boolean")})
         failed = live.where("status = 'failed' and not critical").select(*key, F.concat(F.lit("failed:"), F.col("check_name")).alias("tag"))
         return catalog.append(
             episodes,
             check_runs=told.select(*key, "check_version", "critical", "status", none("double").alias("duration_s"), "error"),
-            measurements=numbers.unionByName(labels),
+            measurements=measurement_rows(live, *key, "check_version"),
             tags=live.select(*key, F.explode("tags").alias("tag")).unionByName(failed),
             intervals=live.select(*key, F.inline("intervals")),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .doctor import CAMERA_SCHEMAS
@@ -28,7 +28,8 @@ def resolve(name: str, topics: list[str]) -> str:
     return found[0]
 
 
-def sizes(messages: DataFrame, *, bulk_bytes: int = 16_384) -> DataFrame:
-    """Messages, bytes and mean size of each topic, and the read group that it falls in."""
-    by = messages.groupBy("topic").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("bytes"), F.avg(F.length("data")).alias("mean_bytes"))
+def sizes(messages: DataFrame, *, bulk_bytes: int = 16_384, size: Column | None = None) -> DataFrame:
+    """Messages, bytes and mean size of each topic, and the read group that it falls in; ``size`` is of a message's data."""
+    size = F.length("data") if size is None else size
+    by = messages.groupBy("topic").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.avg(size).alias("mean_bytes"))
     return by.withColumn("kind", F.when(F.col("mean_bytes") > bulk_bytes, "bulk").otherwise("state"))

@@ -103,6 +103,16 @@ def structure(path: str, data: bytes) -> Iterator[tuple[str, str]]:
                 yield "provenance-missing-key", f"no key {key}"
 
 
+def capped(rows: DataFrame, *keys: str, order: tuple[str, ...], cap: int = CAP) -> DataFrame:
+    """The first ``cap`` rows of each key in order, with ``suppressed``, the number of the others.
+
+    One shuffle: counts and places come from windows over the same rows.
+    """
+    by = Window.partitionBy(*keys)
+    numbered = rows.withColumns({"_place": F.row_number().over(by.orderBy(*order)), "_n": F.count("*").over(by)}).where(F.col("_place") <= cap)
+    return numbered.withColumn("suppressed", F.greatest(F.lit(0), F.col("_n") - cap).cast("bigint")).drop("_place", "_n")
+
+
 def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
     """``(path, level, code, message, suppressed)``: the first ``cap`` of each code and file."""
 
@@ -116,7 +126,4 @@ def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths)
     rows = files.select("path", "content").mapInArrow(over, "path string, place bigint, code string, message string")
     level = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
-    # A file's findings stay in its task: no row is parsed twice for the counts.
-    by = Window.partitionBy("path", "code")
-    numbered = rows.withColumns({"k": F.row_number().over(by.orderBy("place", "message")), "n": F.count("*").over(by)}).where(F.col("k") <= cap)
-    return numbered.select("path", level.alias("level"), "code", "message", F.greatest(F.lit(0), F.col("n") - cap).cast("bigint").alias("suppressed"))
+    return capped(rows, "path", "code", order=("place", "message"), cap=cap).select("path", level.alias("level"), "code", "message", "suppressed")

@@ -128,5 +128,12 @@ def sample_places(n: int, most: int) -> list[int]:
     return [round(k * (n - 1) / (most - 1)) for k in range(most)] if most > 1 else [0]
 
 
+def spread(n: Column, most: int) -> Column:
+    """``sample_places`` of a number in a column, as an array."""
+    whole = F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
+    some = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (n - 1) / F.lit(float(max(1, most - 1))), 0).cast("bigint"))
+    return F.when(n < 1, F.array().cast("array<bigint>")).when(n <= most, whole).otherwise(some)
+
+
 def allowed_errors(total: int, share: float = 0.01) -> int:
     return max(LEAST_BUDGET, math.ceil(share * total))

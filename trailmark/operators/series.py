@@ -27,10 +27,17 @@ def steps(messages: DataFrame, keys=STREAM, order=ORDER) -> DataFrame:
 def speed(steps_: DataFrame, value: Column | None = None) -> DataFrame:
     """Adds ``speed``, the change of the value per second; null where time doesn't advance.
 
-    Null rather than NaN: comparisons with NaN hold in Spark, while a step of no
-    duration is neither fast nor idle.
+    A vector's change is that of the component that changes most; components that are null or
+    NaN on either side are left out, and a step without any other has none. Null rather than
+    NaN: comparisons with NaN hold in Spark, while a step of no duration is neither fast nor idle.
     """
-    change = F.abs(F.col("value") - F.col("prev_value")) if value is None else value
+    if value is not None:
+        change = value
+    elif steps_.schema["value"].dataType.typeName() == "array":
+        each = F.zip_with("value", "prev_value", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+        change = F.array_max(F.filter(each, lambda x: ~F.isnan(x)))
+    else:
+        change = F.abs(F.col("value") - F.col("prev_value"))
     return steps_.withColumn("speed", F.when(F.col("dt_s") > 0, change / F.col("dt_s")))
 
 

@@ -18,10 +18,19 @@ def latest(rows: DataFrame, *keys: str | Column, then: tuple[str, ...] = ("run_f
     return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
-def committed(dependents: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Rows of committed runs, with their episode's ``recorded_at``."""
-    runs = episodes.select("episode_id", "run_fingerprint", "recorded_at")
-    return dependents.drop("recorded_at").join(runs, ["episode_id", "run_fingerprint"])
+def new_rows(rows: DataFrame, there: DataFrame, *keys: str) -> DataFrame:
+    """What an append adds: rows whose key isn't there yet; a null in a key is a value like others."""
+    have = there.select(*[F.col(k).alias(f"_there_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_there_{k}"))
+    return rows.join(have, same, "left_anti")
+
+
+def drift(rows: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("episode_id", "run_fingerprint"), time: str = "recorded_at") -> DataFrame:
+    """Rows whose ``time`` isn't that of their committed run, with that as ``committed_at``."""
+    committed = runs.select(*keys, F.col(time).alias("committed_at"))
+    return rows.join(committed, list(keys)).where(~F.col(time).eqNullSafe(F.col("committed_at")))
 
 
 def number(value_double: str = "value_double", value_bool: str = "value_bool") -> Column:
@@ -87,10 +96,14 @@ def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, digest: Column, item: str) -> DataFrame:
-    """Digests that more than one row has, with the rows' items in order."""
-    named = rows.select(digest.alias("digest"), item)
-    repeated = named.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    return named.join(repeated, "digest").groupBy("digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+    """``(digest, n, first)`` of digests that more than one row has: how many, and the least item."""
+    return rows.select(digest.alias("digest"), F.col(item).alias("item")).groupBy("digest").agg(F.count("*").alias("n"), F.min("item").alias("first")).where("n > 1")
+
+
+def duplicate_members(rows: DataFrame, digest: Column, item: str) -> DataFrame:
+    """``(digest, item)`` of those rows: a row each, as a digest may have any number."""
+    named = rows.select(digest.alias("digest"), F.col(item).alias(item))
+    return named.join(duplicates(rows, digest, item).select("digest"), "digest", "left_semi")
 
 
 def shards(rows: DataFrame, order: list[str], count: int) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from .adapters import event_measurements, messages, nanoseconds, run_measurements, runs, table
 from .functions import text as texts
-from .operators import checks, gates, resample
+from .app import measurement_rows
+from .operators import channels, checks, doctor, gates, resample
 from .operators.series import speed, steps
 from .plans import views
 from .streaming import online
@@ -146,12 +147,16 @@ def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.stale(runs(spark, sf_dir), {"pipeline_version": "1-URGENT"}, source=F.col("episode_id")).select("episode_id", "run_fingerprint", "pipeline_version")
 
 
-@register("SELECT sha256(text) AS digest, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS items FROM documents GROUP BY 1 HAVING count(*) > 1")
+@register("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that more than one document has."""
-    docs = table(spark, sf_dir, "documents")
-    found = views.duplicates(docs, F.sha2(F.col("text").cast("binary"), 256), "doc_id")
-    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+    return views.duplicates(table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256), "doc_id")
+
+
+@register("SELECT sha256(text) AS digest, doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose text another has too."""
+    return views.duplicate_members(table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256), "doc_id")
 
 
 @register(
@@ -200,6 +205,35 @@ def regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("episode_id", "topic", "message_count", F.round("median_dt_s", 7).alias("median_dt_s"), r6("max_gap_s"), r6("violation_pct"))
 
 
+RATES = {"view": 1 / 86_400, "click": 1 / 43_200}
+RATED = """p AS (SELECT *, coalesce(CASE topic WHEN 'view' THEN 86400.0::DOUBLE WHEN 'click' THEN 43200.0::DOUBLE END, median_dt_s) AS period FROM s)
+"""
+
+
+@register(
+    STEPS
+    + """, s AS (SELECT episode_id, topic, count(*) AS message_count, median(dt_s) AS median_dt_s, max(dt_s) AS max_gap_s FROM d GROUP BY 1, 2), """
+    + RATED
+    + """, v AS (SELECT d.episode_id, d.topic, avg(CASE WHEN abs(dt_s - period) > 3600 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS violation_pct
+  FROM d JOIN p USING (episode_id, topic) WHERE dt_s IS NOT NULL GROUP BY 1, 2)
+SELECT episode_id, topic, message_count, round(median_dt_s, 7) AS median_dt_s, round(max_gap_s, 6) AS max_gap_s, round(violation_pct, 6) AS violation_pct FROM p LEFT JOIN v USING (episode_id, topic)"""
+)
+def regularity_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regularity against the rates that two topics declare, and the median step of the others."""
+    found = checks.regularity(messages(spark, sf_dir), expected_hz=RATES, tolerance_s=HOUR)
+    return found.select("episode_id", "topic", "message_count", F.round("median_dt_s", 7).alias("median_dt_s"), r6("max_gap_s"), r6("violation_pct"))
+
+
+@register(
+    STEPS
+    + """, s AS (SELECT episode_id, topic, median(dt_s) AS median_dt_s FROM d GROUP BY 1, 2), """
+    + RATED
+    + """SELECT d.episode_id, d.topic, 'gap:' || d.topic AS label, prev_ns AS start_ns, log_time_ns AS end_ns FROM d JOIN p USING (episode_id, topic) WHERE dt_s > 3.0::DOUBLE * period"""
+)
+def gaps_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.gaps(messages(spark, sf_dir), expected_hz=RATES)
+
+
 GAPS = (
     STEPS
     + """, s AS (SELECT episode_id, topic, median(dt_s) AS median_dt_s FROM d GROUP BY 1, 2),
@@ -251,7 +285,7 @@ def discontinuity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, s AS (SELECT episode_id, topic, count(*) AS message_count, median(dt_s) AS period, (max(log_time_ns) - min(log_time_ns)) / 1e9::DOUBLE AS span FROM d GROUP BY 1, 2),
 x AS (SELECT *, CASE WHEN period > 0 THEN CAST(round_even(span / period, 0) AS BIGINT) + 1 END AS expected_frame_count FROM s)
 SELECT episode_id, topic, message_count, expected_frame_count,
-  round(greatest(0.0::DOUBLE, (expected_frame_count - message_count) * 100.0::DOUBLE / expected_frame_count), 6) AS frame_deficit_pct FROM x WHERE expected_frame_count IS NOT NULL"""
+  round((expected_frame_count - message_count) * 100.0::DOUBLE / expected_frame_count, 6) AS frame_deficit_pct FROM x WHERE expected_frame_count IS NOT NULL"""
 )
 def frame_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checks.frame_deficit(messages(spark, sf_dir)).where("expected_frame_count is not null")
@@ -287,19 +321,38 @@ def action_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {M}, f AS (SELECT episode_id, topic, sha256(string_agg(printf('%016X', log_time_ns) || '|' || sha256(data), ',' ORDER BY log_time_ns, seq)) AS d FROM m GROUP BY 1, 2)
-SELECT episode_id, sha256(string_agg(topic || ':' || d, ';' ORDER BY topic)) AS content_digest FROM f GROUP BY 1"""
+    f"""WITH {M}, c AS (SELECT episode_id, topic, count(*) AS n, string_agg(printf('%016X', log_time_ns) || printf('%016X', octet_length(encode(data))) || hex(encode(data)), '' ORDER BY log_time_ns, seq) AS body FROM m GROUP BY 1, 2)
+SELECT episode_id, sha256(unhex(string_agg(hex(encode(topic)) || printf('%016X', n) || body, '' ORDER BY topic))) AS content_digest FROM c GROUP BY 1"""
 )
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.digest(messages(spark, sf_dir))
 
 
 @register(
-    f"""WITH {M}, l AS (SELECT *, lag(log_time_ns) OVER (PARTITION BY episode_id, topic ORDER BY seq) AS previous_ns FROM m)
+    """WITH t AS (SELECT DISTINCT role FROM conversations), m AS (SELECT conv_id AS episode_id, role AS topic, turn, coalesce(text, '') AS data FROM conversations),
+e AS (SELECT e.episode_id, t.role AS topic FROM (SELECT DISTINCT episode_id FROM m) e, t),
+c AS (SELECT episode_id, topic, count(*) AS n, string_agg(printf('%016X', turn) || printf('%016X', octet_length(encode(data))) || hex(encode(data)), '' ORDER BY turn, data) AS body FROM m GROUP BY 1, 2)
+SELECT e.episode_id, sha256(unhex(string_agg(hex(encode(e.topic)) || printf('%016X', coalesce(n, 0)) || coalesce(body, ''), '' ORDER BY e.topic))) AS content_digest
+FROM e LEFT JOIN c USING (episode_id, topic) GROUP BY 1"""
+)
+def channel_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each conversation's texts, a role being a channel; one that says nothing takes part too."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"), F.col("role").alias("topic"), F.col("turn").alias("log_time_ns"), F.xxhash64("text").alias("seq"), F.col("text").alias("data"))
+    roles = said.select("topic").distinct()
+    # A fixed handful of roles; Spark broadcasts them if its size check says so.
+    known = said.select("episode_id").distinct().join(roles, F.lit(True))
+    return checks.digest(said, known)
+
+
+@register(
+    """WITH m AS (SELECT l_orderkey AS episode_id, l_returnflag AS topic, CAST(epoch_us(l_shipdate) * 1000 AS BIGINT) AS log_time_ns, CAST(l_linenumber AS BIGINT) AS seq FROM lineitem),
+l AS (SELECT *, lag(log_time_ns) OVER (PARTITION BY episode_id, topic ORDER BY seq, log_time_ns) AS previous_ns FROM m)
 SELECT episode_id, topic, seq, log_time_ns, previous_ns FROM l WHERE log_time_ns < previous_ns"""
 )
 def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.order_violations(messages(spark, sf_dir))
+    """Lines of an order as messages in the order of the file, where the date of shipping goes back."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_returnflag").alias("topic"), nanoseconds("l_shipdate").alias("log_time_ns"), F.col("l_linenumber").cast("bigint").alias("seq"))
+    return checks.order_violations(lines)
 
 
 # --- resampling --------------------------------------------------------------------
@@ -348,10 +401,41 @@ SELECT label, vec_id, round(list_max(list_transform(list_zip(embedding, p), lamb
 )
 def vector_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest change per step of any component of a vector stream."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = table(spark, sf_dir, "embeddings").withColumns({"p": F.lag("embedding").over(w), "q": F.lag("vec_id").over(w)}).where("p is not null")
-    change = F.array_max(F.zip_with("embedding", "p", lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
-    return v.select("label", "vec_id", F.round(change / (F.col("vec_id") - F.col("q")), 6).alias("speed"))
+    found = speed(steps(_vectors(spark, sf_dir))).where("prev_ns is not null")
+    return found.select(F.col("episode_id").alias("label"), F.col("seq").alias("vec_id"), F.round("speed", 6).alias("speed"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as messages with a vector, a second apart: a label is an episode."""
+    second = (F.col("vec_id") * 1_000_000_000).alias("log_time_ns")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("episode_id"), F.lit("/vector").alias("topic"), second, F.col("vec_id").alias("seq"), F.col("embedding").alias("value"))
+
+
+VECTORS = """WITH m AS (SELECT label AS episode_id, '/vector' AS topic, vec_id * 1000000000 AS log_time_ns, vec_id AS seq, embedding AS value FROM embeddings),
+d AS (SELECT *, lag(log_time_ns) OVER w AS prev_ns, lag(value) OVER w AS prev_value FROM m WINDOW w AS (PARTITION BY episode_id, topic ORDER BY log_time_ns, seq)),
+sp AS (SELECT *, list_max(list_transform(list_zip(value, prev_value), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE))) / ((log_time_ns - prev_ns) / 1e9::DOUBLE) AS speed FROM d WHERE prev_ns IS NOT NULL)
+"""
+
+
+@register(
+    VECTORS
+    + """SELECT episode_id, topic, round(max(speed), 6) AS max_abs_velocity, CAST(count(*) FILTER (WHERE speed > 0.05) AS BIGINT) AS violation_count,
+  round(avg(CASE WHEN speed > 0.05 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS violation_pct, CAST(count(*) FILTER (WHERE log_time_ns <= prev_ns) AS BIGINT) AS nonpositive_dt_count FROM sp GROUP BY 1, 2"""
+)
+def vector_discontinuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps on which some component of a vector changes too fast."""
+    found = checks.discontinuity(_vectors(spark, sf_dir), velocity_limit=0.05)
+    return found.select("episode_id", "topic", r6("max_abs_velocity"), "violation_count", r6("violation_pct"), "nonpositive_dt_count")
+
+
+@register(
+    VECTORS
+    + """, i AS (SELECT episode_id, topic, sum(CASE WHEN speed < 0.02 THEN log_time_ns - prev_ns ELSE 0 END) AS a, sum(log_time_ns - prev_ns) AS b FROM sp GROUP BY 1, 2)
+SELECT episode_id, topic, round(a::DOUBLE / 1e9::DOUBLE, 6) AS idle_total_s, round(a::DOUBLE / b::DOUBLE, 6) AS idle_fraction FROM i"""
+)
+def vector_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of time on which no component of a vector moves fast."""
+    return checks.idle(_vectors(spark, sf_dir), epsilon=0.02).select("episode_id", "topic", r6("idle_total_s"), r6("idle_fraction"))
 
 
 FPS = STEPS + ", s AS (SELECT episode_id, topic, median(log_time_ns - prev_ns) AS p FROM d GROUP BY 1, 2), fps AS (SELECT episode_id, topic, CASE WHEN p > 0 THEN 1e9::DOUBLE / p END AS fps FROM s)\n"
@@ -380,8 +464,7 @@ def tile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight frames of each camera stream, evenly spread with both ends."""
     frames = steps(messages(spark, sf_dir).where("topic = 'view'"))
     counted = frames.groupBy("episode_id", "topic").agg(F.count("*").alias("n"))
-    place = F.when(F.col("n") <= 8, F.col("j")).otherwise(F.bround(F.col("j") * (F.col("n") - 1) / F.lit(7.0), 0).cast("bigint"))
-    chosen = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where("j < n").select("episode_id", "topic", place.alias("frame")).distinct()
+    chosen = counted.select("episode_id", "topic", F.explode(F.array_distinct(gates.spread(F.col("n"), 8))).alias("frame"))
     return frames.select("episode_id", "topic", F.col("step").cast("bigint").alias("frame"), "seq").join(chosen, ["episode_id", "topic", "frame"])
 
 
@@ -409,8 +492,8 @@ def frame_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT source AS topic, count(*) AS n, round(avg(n_chars), 4) AS mean_bytes, CASE WHEN avg(n_chars) > 3200 THEN 'bulk' ELSE 'state' END AS kind FROM documents GROUP BY 1")
 def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics grouped by the mean size of their messages."""
-    mean = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("topic")).agg(F.count("*").alias("n"), F.avg("n_chars").alias("m"))
-    return mean.select("topic", "n", F.round("m", 4).alias("mean_bytes"), F.when(F.col("m") > 3200, "bulk").otherwise("state").alias("kind"))
+    found = channels.sizes(table(spark, sf_dir, "documents").withColumnRenamed("source", "topic"), bulk_bytes=3200, size=F.col("n_chars"))
+    return found.select("topic", "n", F.round("mean_bytes", 4).alias("mean_bytes"), "kind")
 
 
 @register(
@@ -532,19 +615,16 @@ def plan_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def check_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A check's evidence as measurement rows: numbers and texts in columns of their own."""
-    events = table(spark, sf_dir, "events")
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    row = lambda k, d, s: F.struct(F.lit(k).alias("key"), d.alias("value_double"), s.alias("value_text"))
-    rows = F.array(row("k", texts.json_number(F.col("props"), "k"), none_s), row("value", F.round("value", 6), none_s), row("kind", none_d, F.col("event_type")))
-    return events.select("event_id", F.inline(rows))
+    numbers = F.create_map(F.lit("k"), texts.json_number(F.col("props"), "k"), F.lit("value"), F.round("value", 6))
+    evidence = table(spark, sf_dir, "events").select("event_id", numbers.alias("measurements"), F.create_map(F.lit("kind"), "event_type").alias("labels"))
+    return measurement_rows(evidence, "event_id").drop("value_bool")
 
 
 @register("SELECT e.event_id, e.user_id, e.event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.event_id % 2 = 0 AND p.user_id = e.user_id AND p.event_type = e.event_type)")
 def append_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an append adds: rows whose key isn't there yet."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    there = events.where("event_id % 2 = 0").select("user_id", "event_type")
-    return events.join(there, ["user_id", "event_type"], "left_anti")
+    return views.new_rows(events, events.where("event_id % 2 = 0"), "user_id", "event_type")
 
 
 @register(
@@ -554,8 +634,8 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE CAST(l_shipdate AS DA
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependent rows whose time isn't that of their committed run."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_fingerprint"), F.col("l_linenumber").alias("line"), F.to_date("l_shipdate").alias("recorded_on"))
-    committed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_fingerprint"), F.to_date("o_orderdate").alias("committed_on"))
-    return lines.join(committed, "run_fingerprint").where(~F.col("recorded_on").eqNullSafe(F.col("committed_on")))
+    committed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_fingerprint"), F.to_date("o_orderdate").alias("recorded_on"))
+    return views.drift(lines, committed, ("run_fingerprint",), "recorded_on").withColumnRenamed("committed_at", "committed_on")
 
 
 @register("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, CAST((row_number() OVER (ORDER BY doc_id) - 1) * 8 // count(*) OVER () AS INTEGER) AS shard FROM documents")
@@ -571,9 +651,7 @@ SELECT user_id, code, event_id, CAST(greatest(0, n - 3) AS BIGINT) AS suppressed
 def findings_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three findings of each code, and how many more there are."""
     found = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("code"), "event_id")
-    first = found.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "code").orderBy("event_id"))).where("place <= 3")
-    count = found.groupBy("user_id", "code").agg(F.count("*").alias("n"))
-    return first.join(count, ["user_id", "code"]).select("user_id", "code", "event_id", F.greatest(F.lit(0), F.col("n") - 3).cast("bigint").alias("suppressed"))
+    return doctor.capped(found, "user_id", "code", order=("event_id",))
 
 
 @register("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +54,19 @@ class Folder:
             stream.close()
 
     def create_text(self, key: str, text: str) -> bool:
-        """Writes a file that isn't there yet; False if another was first."""
+        """Writes a file that isn't there yet; False if another was first.
+
+        Of several writers at the same moment one succeeds: Hadoop's file systems create a
+        file exclusively, but for the local one, where a finished file is linked to its name.
+        """
         if self.exists(key):
             return False
+        path = self._path(key)
+        self.fs.mkdirs(path.getParent())
         try:
-            stream = self.fs.create(self._path(key), False)
+            if self.fs.getUri().getScheme() == "file":
+                return self._linked(path.toUri().getPath(), text)
+            stream = self.fs.create(path, False)
         except Exception as e:
             if "AlreadyExists" in str(e):
                 return False
@@ -68,6 +77,18 @@ class Folder:
             stream.close()
         return True
 
+    def _linked(self, path: str, text: str) -> bool:
+        folder, _, name = path.rpartition("/")
+        at = lambda p: self.jvm.java.io.File(p).toPath()
+        temporary = at(f"{folder}/.{name}.{uuid.uuid4().hex}")
+        files = self.jvm.java.nio.file.Files
+        self.jvm.org.apache.commons.io.FileUtils.writeByteArrayToFile(temporary.toFile(), bytearray(text.encode()))
+        try:
+            files.createLink(at(path), temporary)
+        finally:
+            files.delete(temporary)
+        return True
+
     def move(self, source: str, target: str) -> None:
         """Renames a file or folder; the target must not exist."""
         if self.exists(target):
