@@ -7,12 +7,14 @@ through a step as one Spark job; gates and statuses are joins and windows.
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import inspect
 import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from .operators.gates import gate
 from .plans.catalog import Catalog
 from .plans.views import latest
 from .schemas import TABLES
+from .sources import canonical
 
 Step = Callable[[DataFrame], DataFrame]
 STAGES = ("sync", "meta", "labels", "media")
@@ -63,6 +66,25 @@ def each_episode(f: Callable[[object], dict], *columns: str) -> Step:
     return step
 
 
+def load_app(named: str) -> App:
+    """The app of a pipeline file, ``FILE.py`` or ``FILE.py:NAME`` (``app`` if no name is given)."""
+    path, _, variable = named.partition(".py:")
+    file = Path(path + ".py" if variable else path)
+    variable = variable or "app"
+    if not file.is_file():
+        raise FileNotFoundError(f"no pipeline file {file}")
+    spec = importlib.util.spec_from_file_location(f"_pipeline_{file.stem}", file)
+    module = importlib.util.module_from_spec(spec)
+    try:
+        spec.loader.exec_module(module)
+    except Exception as e:  # whatever a caller's file may raise
+        raise ValueError(f"{file} can't be imported: {type(e).__name__}: {e}") from e
+    app = getattr(module, variable, None)
+    if not isinstance(app, App):
+        raise ValueError(f"{file} has no App named {variable!r}")
+    return app
+
+
 def measurement_rows(evidence: DataFrame, *keys: str) -> DataFrame:
     """``(*keys, key, value_double, value_text, value_bool)``: a row for each entry of the maps ``measurements`` and ``labels``."""
     null = lambda t: F.lit(None).cast(t)
@@ -203,6 +225,35 @@ class App:
         """Episodes whose latest run in the catalog is quarantined, with its tags."""
         return latest(Catalog(self.spark, self.root).episodes(), "episode_id").where("quarantined").select("episode_id", "quarantine_tags_json")
 
+    def sync(self, sources: str | list[str], path: str, **how) -> dict:
+        """Rewrites recordings as canonical episodes below ``path``, derived topics included; returns the files published.
+
+        From the start of the write until its end ``path`` has no marker, so that other stages
+        refuse it if this one fails.
+        """
+        tables = canonical.read(self.spark, sources)
+        derived, versions = None, {t: s.version for t, s in sorted(self.derived.items())}
+        if self.derived:
+            parts = [s.run(tables["messages"]).select("path", F.lit(t).alias("topic"), "log_time_ns", "data") for t, s in self.derived.items()]
+            derived = reduce(DataFrame.unionByName, parts)
+        rows = canonical.rows(tables, pipeline_version=self.pipeline_version, derived=derived, derived_versions=versions, groups=how.pop("groups", None))
+        canonical.unpublish(path)
+        canonical.write(rows, path, overwrite=True, **how)
+        return canonical.published(path)
+
+    def synced(self, path: str) -> dict[str, DataFrame]:
+        """Tables of what ``sync`` wrote, for the other stages.
+
+        Refused without a finished write, with files that are absent or changed, and with
+        episodes of another pipeline's version.
+        """
+        canonical.published(path)
+        tables = canonical.read(self.spark, path)
+        told = canonical.stamp_columns(canonical.merged(tables["metadata"]))
+        if other := told.where(F.col("pipeline_version") != self.pipeline_version).limit(1).collect():
+            raise ValueError(f"{other[0][0]} is of pipeline {other[0]['pipeline_version']}, not {self.pipeline_version}: run the sync stage again")
+        return tables
+
     def process(self, messages: DataFrame, named: str | Iterable[str] | None = None, *, metadata: DataFrame | None = None) -> int:
         """Runs the stages over all episodes and appends their evidence; returns new runs.
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .adapters import event_measurements, messages, nanoseconds, run_measurements, runs, table
 from .functions import text as texts
 from .app import measurement_rows
-from .operators import channels, checks, doctor, gates, resample
+from .operators import channels, checks, doctor, gates, layout, resample
 from .operators.series import speed, steps
 from .plans import views
 from .streaming import online
@@ -529,6 +529,48 @@ def chunk_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("episode_id", F.col("x").alias("start_ns")).agg(F.count("*").alias("chunks"), F.sum("bytes").alias("bytes"))
 
 
+WINDOWS = f"""WITH {M}, e AS (SELECT episode_id, min(log_time_ns) AS a, max(log_time_ns) AS b FROM m GROUP BY 1),
+k AS (SELECT *, unnest(range(0, 3)) AS sample FROM e),
+w AS (SELECT episode_id, CAST(sample AS INTEGER) AS sample, a + CAST(floor(CAST('0x' || substr(md5('7:' || episode_id || ':' || sample), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * (greatest(0, b - a - 432000000000000) + 1)) AS BIGINT) AS start_ns FROM k)
+"""
+WINDOW_S = 432_000.0
+
+
+@register(WINDOWS + "SELECT episode_id, sample, start_ns, start_ns + 432000000000000 AS end_ns FROM w")
+def seeded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three windows of five days in each episode, the same in every run."""
+    return _windows(messages(spark, sf_dir))
+
+
+def _windows(m: DataFrame) -> DataFrame:
+    ends = m.groupBy("episode_id").agg(F.min("log_time_ns").alias("first_ns"), F.max("log_time_ns").alias("last_ns"))
+    return layout.windows(ends, 3, WINDOW_S, seed=7, key="episode_id")
+
+
+@register(
+    WINDOWS
+    + """, l AS (SELECT unnest(['per-topic', 'interleaved', 'groups']) AS layout),
+c AS (SELECT layout, episode_id, CASE layout WHEN 'per-topic' THEN topic WHEN 'interleaved' THEN 'all' WHEN 'groups' THEN CASE WHEN topic = 'view' THEN 'cameras' ELSE 'state' END END AS grp, log_time_ns // 864000000000000 AS part,
+  min(log_time_ns) AS a, max(log_time_ns) AS b, sum(length(data)) AS bytes, bool_or(topic IN ('view', 'click')) AS used FROM m, l GROUP BY ALL),
+x AS (SELECT w.layout, w.episode_id, w.sample, count(c.a) AS fetches, coalesce(sum(c.bytes), 0) AS bytes FROM (SELECT * FROM w, l) w LEFT JOIN c ON c.layout = w.layout AND c.episode_id = w.episode_id AND c.used AND c.a <= w.start_ns + 432000000000000 AND c.b >= w.start_ns GROUP BY 1, 2, 3)
+SELECT layout, CAST(sum(fetches) AS BIGINT) AS fetches, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS samples FROM x GROUP BY 1"""
+)
+def layout_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and bytes that seeded windows over two topics touch, in three layouts with chunks of ten days."""
+    m = messages(spark, sf_dir)
+    asked = _windows(m)
+    found = None
+    for name in layout.LAYOUTS:
+        named = layout.groups(name, TOPICS, ["view"])
+        group = F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("topic"))
+        part = F.floor(F.col("log_time_ns") / 864_000_000_000_000)
+        chunks = m.groupBy("episode_id", group.alias("grp"), part.alias("part")).agg(F.min("log_time_ns").alias("first_ns"), F.max("log_time_ns").alias("last_ns"), F.sum(F.length("data")).alias("compressed_bytes"), F.max(F.col("topic").isin("view", "click")).alias("used"))
+        cost = layout.read_cost(chunks, asked, key="episode_id", wanted=F.col("used"), width_ns=432_000_000_000_000)
+        told = cost.agg(F.sum("fetches").alias("fetches"), F.sum("bytes").alias("bytes"), F.count("*").alias("samples")).select(F.lit(name).alias("layout"), "*")
+        found = told if found is None else found.unionByName(told)
+    return found
+
+
 STEP_ROWS = """g AS (SELECT d.source AS episode_id, row_number() OVER (PARTITION BY d.source ORDER BY l.doc_id) AS step_order, l.doc_id,
   l.doc_id % 7 = 0 AS critical, CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE l.quality = 1 END AS verdict, CASE WHEN l.doc_id % 11 = 0 THEN 'boom' END AS error FROM labels l JOIN documents d USING (doc_id)),
 h AS (SELECT *, min(CASE WHEN critical AND verdict = false THEN step_order END) OVER (PARTITION BY episode_id) AS stop FROM g),

@@ -132,6 +132,13 @@ def read(spark: SparkSession, paths: str | list[str], **limits) -> dict[str, Dat
     return {t: scan(spark, paths, t, **(limits if t == "messages" else every)) for t in ("messages", "channels", "metadata", "attachments")}
 
 
+def unpublish(path: str) -> None:
+    """Takes the marker away: what lies below ``path`` isn't whole until the next write has ended."""
+    system, root, _ = indexed.located(path.rstrip("/"))
+    if system.get_file_info(f"{root}/{PUBLISHED}").type.name != "NotFound":
+        system.delete_file(f"{root}/{PUBLISHED}")
+
+
 def published(path: str) -> dict[str, dict]:
     """Files that the last write published below ``path``: name to bytes and SHA-256.
 

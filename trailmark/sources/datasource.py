@@ -206,45 +206,27 @@ class PushingReader(McapReader):
 
 @dataclass
 class Written(ds.WriterCommitMessage):
-    """Files of a task: (temporary path, name, size, SHA-256)."""
+    """Files of a task: (temporary path, name, what the marker tells of it)."""
 
-    files: list[tuple[str, str, int, str]]
+    files: list[tuple[str, str, dict]]
 
 
-class McapWriter(ds.DataSourceArrowWriter):
-    """An episode per file. Tasks write to a folder of this job; the commit moves what they name and removes the folder."""
+class PublishingWriter(ds.DataSourceArrowWriter):
+    """Tasks write files to a folder of this job; the commit moves them to their names, writes the marker last and removes the folder."""
 
-    def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        if schema.fieldNames() != names_of(ROWS):
-            raise ValueError("rows to write must have the columns of datasource.ROWS in their order")
+    def __init__(self, options: dict, overwrite: bool):
         self.uri, self.overwrite = options["path"].rstrip("/"), overwrite
-        self.limit = int(options.get("chunkBytes", 800_000))
         self.job = f"_temporary-{uuid.uuid4().hex}"
 
     def _at(self, *names: str):
         system, path, _ = indexed.located("/".join((self.uri, *names)))
         return system, path
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+    def _new(self):
+        """A file system and the path of a new temporary file."""
         system, folder = self._at(self.job)
         system.create_dir(folder, recursive=True)
-        done: list[tuple[str, str, int, str]] = []
-        now = None
-        try:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    if now is None or row["episode"] != now.name:
-                        if now:
-                            done.append(now.finish())
-                        now = _Episode(row["episode"], system, f"{folder}/{uuid.uuid4().hex}", self.limit)
-                    now.add(row)
-            if now:
-                done.append(now.finish())
-        except BaseException:
-            if now:
-                now.sink.close()
-            raise
-        return Written(done)
+        return system, f"{folder}/{uuid.uuid4().hex}"
 
     def commit(self, messages: list[Written | None]) -> None:
         """Moves all files to their names, or none if two have one name or one is there and not to be replaced."""
@@ -252,9 +234,9 @@ class McapWriter(ds.DataSourceArrowWriter):
         system, root = self._at()
         system.create_dir(root, recursive=True)
         try:
-            names = [name for _, name, _, _ in files]
+            names = [name for _, name, _ in files]
             if len(set(names)) != len(names):
-                raise ValueError(f"episodes that aren't in one piece: {sorted({n for n in names if names.count(n) > 1})}")
+                raise ValueError(f"files that aren't in one piece: {sorted({n for n in names if names.count(n) > 1})}")
             there = {i.path for i in system.get_file_info([f"{root}/{n}" for n in names]) if i.type.name != "NotFound"} if names else set()
             if there and not self.overwrite:
                 raise FileExistsError(f"{sorted(there)[:3]} and {max(0, len(there) - 3)} more are there already")
@@ -264,9 +246,9 @@ class McapWriter(ds.DataSourceArrowWriter):
                 with system.open_input_stream(marker) as f:
                     known = json.loads(f.read())["files"]
                 system.delete_file(marker)  # until all files are there, the folder isn't whole
-            for temporary, name, size, digest in files:
+            for temporary, name, told in files:
                 system.move(temporary, f"{root}/{name}")
-                known[name] = {"bytes": size, "sha256": digest}
+                known[name] = told
             with system.open_output_stream(marker) as f:
                 f.write(json.dumps({"files": known}, sort_keys=True).encode())
         finally:
@@ -281,6 +263,35 @@ class McapWriter(ds.DataSourceArrowWriter):
             system.delete_dir(folder)
 
 
+class McapWriter(PublishingWriter):
+    """An episode per file."""
+
+    def __init__(self, options: dict, schema: StructType, overwrite: bool):
+        if schema.fieldNames() != names_of(ROWS):
+            raise ValueError("rows to write must have the columns of datasource.ROWS in their order")
+        super().__init__(options, overwrite)
+        self.limit = int(options.get("chunkBytes", 800_000))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        done: list[tuple[str, str, dict]] = []
+        now = None
+        try:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    if now is None or row["episode"] != now.name:
+                        if now:
+                            done.append(now.finish())
+                        now = _Episode(row["episode"], *self._new(), self.limit)
+                    now.add(row)
+            if now:
+                done.append(now.finish())
+        except BaseException:
+            if now:
+                now.sink.close()
+            raise
+        return Written(done)
+
+
 class _Episode:
     """A file while its rows come."""
 
@@ -320,11 +331,11 @@ class _Episode:
         else:
             self.file.metadata(row["name"], dict(row["entries"] or {}))
 
-    def finish(self) -> tuple[str, str, int, str]:
+    def finish(self) -> tuple[str, str, dict]:
         self._described()
         size, digest = self.file.finish()
         self.sink.close()
-        return self.path, self.name, size, digest
+        return self.path, self.name, {"bytes": size, "sha256": digest}
 
 
 class McapSource(ds.DataSource):
