@@ -6,10 +6,14 @@ through a step as one Spark job; gates and statuses are joins and windows.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import hashlib
 import importlib.util
 import inspect
 import json
+import os
+import re
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -19,7 +23,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.gates import gate
+from .operators.gates import STATUSES, gate
 from .plans.catalog import Catalog
 from .plans.views import latest
 from .schemas import TABLES
@@ -66,6 +70,45 @@ def each_episode(f: Callable[[object], dict], *columns: str) -> Step:
     return step
 
 
+def endpoint_variable(alias: str) -> str:
+    """The environment variable that gives an endpoint's address."""
+    return "TRAILMARK_ENDPOINT_" + re.sub(r"[^A-Za-z0-9]", "_", alias).upper()
+
+
+def derived_messages(series: DataFrame, topic: str, *, key: str = "path") -> DataFrame:
+    """``(key, topic, log_time_ns, data)`` from a derived signal: times, and a column per value or ``data`` already in JSON.
+
+    Each value is one number, text or truth value; lists and nested values, a series without
+    values and times that aren't whole numbers are refused, and a null time when it is read.
+    """
+    kinds = dict(series.dtypes)
+    if key not in kinds or kinds.get("log_time_ns") not in ("bigint", "int"):
+        raise ValueError(f"the derived signal {topic!r} needs the columns {key} and log_time_ns, the latter in whole nanoseconds")
+    time = F.coalesce(F.col("log_time_ns").cast("bigint"), F.raise_error(F.lit(f"a point of the derived signal {topic!r} has no time")).cast("bigint"))
+    values = sorted(set(kinds) - {key, "topic", "log_time_ns", "seq", "episode_id", "data"})
+    if kinds.get("data") == "string":
+        data = F.col("data")
+    elif not values:
+        raise ValueError(f"the derived signal {topic!r} has no values")
+    elif nested := [c for c in values if kinds[c].startswith(("array", "map", "struct", "binary"))]:
+        raise ValueError(f"values of the derived signal {topic!r} must be one for each point: {nested} aren't")
+    else:
+        data = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    return series.select(key, F.lit(topic).alias("topic"), time.alias("log_time_ns"), data.alias("data"))
+
+
+def report(evidence: DataFrame) -> str:
+    """A text of each step's outcomes, with the first error of those that have any. One row a step reaches the driver."""
+    count = lambda s: F.sum((F.col("status") == s).cast("bigint")).alias(s)
+    rows = evidence.groupBy("step_order", "check_name", "critical").agg(*map(count, STATUSES), F.min("error").alias("first_error")).orderBy("step_order").collect()
+    marks = {"passed": "+", "failed": "-", "error": "!", "skipped": ".", "measured": "="}
+    lines = []
+    for r in rows:
+        told = ", ".join(f"{marks[s]} {r[s]} {s}" for s in reversed(STATUSES) if r[s])
+        lines.append(f"{r['check_name']}{' (critical)' if r['critical'] else ''}: {told}" + (f"\n    {r['first_error']}" if r["first_error"] else ""))
+    return "\n".join(lines)
+
+
 def load_app(named: str) -> App:
     """The app of a pipeline file, ``FILE.py`` or ``FILE.py:NAME`` (``app`` if no name is given)."""
     path, _, variable = named.partition(".py:")
@@ -113,8 +156,59 @@ def version_of(f: Step, declared: str | None = None) -> str:
     """The declared version, or a hash of the step's source and the values that it closes over."""
     if declared:
         return declared
-    held = [repr(c.cell_contents) for c in f.__closure__ or ()] + [repr(f.__defaults__)]
-    return hashlib.sha256("\n".join([inspect.getsource(f), *held]).encode()).hexdigest()[:12]
+    return hashlib.sha256(_identity(f, set()).encode()).hexdigest()[:12]
+
+
+def _identity(value, seen: set[int]) -> str:
+    """What makes a value one or another, as text that is the same in every process.
+
+    Of a function its source, defaults, closed-over values and the globals that it names, functions
+    among them likewise; of modules and of what other packages define the name alone.
+    """
+    if value is None or isinstance(value, (bool, int, float, complex, str, bytes)):
+        return repr(value)
+    if id(value) in seen:
+        return f"again:{type(value).__name__}"
+    seen = seen | {id(value)}
+    each = lambda items: ",".join(_identity(x, seen) for x in items)
+    if isinstance(value, (list, tuple)):
+        return f"{type(value).__name__}[{each(value)}]"
+    if isinstance(value, (set, frozenset)):
+        return f"set[{','.join(sorted(_identity(x, seen) for x in value))}]"
+    if isinstance(value, dict):
+        return f"dict[{','.join(sorted(_identity(k, seen) + ':' + _identity(v, seen) for k, v in value.items()))}]"
+    if inspect.ismodule(value):
+        return f"module:{value.__name__}"
+    if isinstance(value, functools.partial):
+        return f"partial[{_identity(value.func, seen)};{each(value.args)};{_identity(value.keywords, seen)}]"
+    named = f"{getattr(value, '__module__', '')}.{getattr(value, '__qualname__', type(value).__qualname__)}"
+    if inspect.isfunction(value) or inspect.isclass(value):
+        if str(value.__module__).partition(".")[0] in ("pyspark", "trailmark", "numpy", "pandas", "builtins"):
+            return named
+        try:
+            source = inspect.getsource(value)
+        except (OSError, TypeError):
+            source = repr(value.__code__.co_code) if inspect.isfunction(value) else named
+        if inspect.isclass(value):
+            return f"class[{source}]"
+        names = inspect.getclosurevars(value)
+        return f"function[{source};{_identity(value.__defaults__, seen)};{_identity(value.__kwdefaults__, seen)};{_identity(dict(names.nonlocals), seen)};{_identity(dict(names.globals), seen)}]"
+    if dataclasses.is_dataclass(value):
+        return f"{named}{_identity({f.name: getattr(value, f.name) for f in dataclasses.fields(value)}, seen)}"
+    return named
+
+
+def takes_one(f: Callable) -> bool:
+    """Whether a callable can be called with one argument; what can't be inspected is left to the call."""
+    try:
+        signature = inspect.signature(f)
+    except ValueError:
+        return True
+    try:
+        signature.bind(None)
+    except TypeError:
+        return False
+    return True
 
 
 @dataclass(frozen=True)
@@ -135,23 +229,60 @@ class App:
     root: str
     steps: list[Registered] = field(default_factory=list)
     derived: dict[str, Registered] = field(default_factory=dict)
-
-    def _add(self, f: Step, name: str | None, version: str | None, **how) -> Step:
-        if len(inspect.signature(f).parameters) != 1:
-            raise TypeError("a step takes the messages and nothing else")
+    endpoints: dict[str, str] = field(default_factory=dict)
+    uses: dict[str, str] = field(default_factory=dict)
+    override: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None
+
+    def _add(self, f: Step, name: str | None, version: str | None, uses: str | None = None, **how) -> Step:
+        if not callable(f) or not takes_one(f):
+            raise TypeError("a step is called with the messages and nothing else")
+        if uses is not None:
+            self.uses[name or f.__name__] = uses
         step = Registered(name or f.__name__, f, version_of(f, version), **how)
         if any(s.name == step.name for s in self.steps):
             raise ValueError(f"there is a step {step.name!r} already")
         self.steps.append(step)
         return f
 
-    def check(self, name: str | None = None, *, critical: bool = False, version: str | None = None, cost: int = 0):
-        """Registers a check; a false verdict of a critical one quarantines the episode."""
-        return lambda f: self._add(f, name, version, critical=critical, cost=cost)
+    def check(self, name: str | None = None, *, critical: bool = False, version: str | None = None, cost: int = 0, uses: str | None = None):
+        """Registers a check; a false verdict of a critical one quarantines the episode. ``uses`` names an endpoint."""
+        return lambda f: self._add(f, name, version, uses, critical=critical, cost=cost)
 
-    def enrich(self, name: str | None = None, *, version: str | None = None, cost: int = 0):
-        """Registers an enrichment: it never runs on a quarantined episode."""
-        return lambda f: self._add(f, name, version, stage="labels", cost=cost)
+    def enrich(self, name: str | None = None, *, version: str | None = None, cost: int = 0, uses: str | None = None):
+        """Registers an enrichment: it never runs on a quarantined episode. ``uses`` names an endpoint."""
+        return lambda f: self._add(f, name, version, uses, stage="labels", cost=cost)
+
+    def transform(self, f: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]):
+        """Registers what ``sync`` does to the recordings' tables before it writes them; there is one at most.
+
+        The tables that it returns go through the same writer, so what comes out is canonical.
+        """
+        if self.override is not None:
+            raise ValueError("there is a transform already")
+        if not callable(f) or not takes_one(f):
+            raise TypeError("a transform is called with the tables and nothing else")
+        self.override = f
+        return f
+
+    def endpoint(self, alias: str) -> str:
+        """The address of an endpoint: that of the environment, else the one given to the app."""
+        return self.resolved()[alias]
+
+    def resolved(self) -> dict[str, str]:
+        """All endpoints, the environment's before the app's; an alias that only steps name may come from there.
+
+        Refuses aliases that share a variable, and those of steps that have no address.
+        """
+        aliases = sorted({*self.endpoints, *self.uses.values()})
+        shared: dict[str, list[str]] = {}
+        for alias in aliases:
+            shared.setdefault(endpoint_variable(alias), []).append(alias)
+        if clash := {v: names for v, names in shared.items() if len(names) > 1}:
+            raise ValueError(f"endpoints that share an environment variable: {clash}")
+        found = self.endpoints | {a: os.environ[v] for v, (a,) in shared.items() if os.environ.get(v)}
+        if absent := sorted(set(self.uses.values()) - set(found)):
+            raise ValueError(f"steps use endpoints without an address: {absent}; set {', '.join(map(endpoint_variable, absent))}")
+        return found
 
     def derive(self, topic: str, *, version: str | None = None):
         """Registers a derived signal: messages to rows of a new topic."""
@@ -166,7 +297,7 @@ class App:
 
     def manifest(self) -> dict:
         steps = [{"name": s.name, "version": s.version, "critical": s.critical, "stage": s.stage} for s in self.ordered()]
-        return {"manifest_version": 1, "steps": steps, "derived": {t: s.version for t, s in sorted(self.derived.items())}}
+        return {"manifest_version": 1, "steps": steps, "derived": {t: s.version for t, s in sorted(self.derived.items())}, "transform": version_of(self.override) if self.override else None, "endpoints": sorted(set(self.uses.values()))}
 
     @property
     def pipeline_version(self) -> str:
@@ -204,6 +335,7 @@ class App:
         checks, by the quarantine that the catalog holds.
         """
         run = stages(named)
+        self.resolved()
         episodes = messages.select("episode_id").distinct()
         rows = []
         for k, s in enumerate(self.ordered()):
@@ -232,9 +364,10 @@ class App:
         refuse it if this one fails.
         """
         tables = canonical.read(self.spark, sources)
+        tables = tables | self.override(dict(tables)) if self.override else tables
         derived, versions = None, {t: s.version for t, s in sorted(self.derived.items())}
         if self.derived:
-            parts = [s.run(tables["messages"]).select("path", F.lit(t).alias("topic"), "log_time_ns", "data") for t, s in self.derived.items()]
+            parts = [derived_messages(s.run(tables["messages"]), t) for t, s in self.derived.items()]
             derived = reduce(DataFrame.unionByName, parts)
         rows = canonical.rows(tables, pipeline_version=self.pipeline_version, derived=derived, derived_versions=versions, groups=how.pop("groups", None))
         canonical.unpublish(path)

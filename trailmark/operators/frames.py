@@ -127,6 +127,13 @@ def video_fault(schema: str | None, encoding: str, data: bytes) -> tuple[str, st
     return found[0] if found else None
 
 
+def image_codec(form: Column) -> Column:
+    """``png`` or ``mjpeg`` by what a compressed image's format says somewhere; any other is an error when it is read."""
+    low = F.lower(form)
+    told = F.concat(F.lit("no codec for images of format "), F.coalesce(form, F.lit("null")))
+    return F.when(low.contains("png"), "png").when(low.contains("jpeg") | low.contains("jpg"), "mjpeg").otherwise(F.raise_error(told))
+
+
 def units(data: Column) -> Column:
     def over(raw: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("size", pa.int32()), ("is_keyframe", pa.bool_()), ("has_parameter_sets", pa.bool_()), ("begins_with_delimiter", pa.bool_())]))

@@ -42,8 +42,13 @@ def budget(total: Column, share: float = 0.01) -> Column:
     return F.greatest(F.lit(LEAST_BUDGET), F.ceil(F.lit(share) * total)).cast("bigint")
 
 
-def enforce(tallied: DataFrame) -> None:
-    """Raises if a tally is over its error budget or holds errors alone."""
+def enforce(tallied: DataFrame, *, quarantine: bool = False) -> None:
+    """Raises if a tally is over its error budget or holds errors alone; with ``quarantine`` also if too many are quarantined.
+
+    Checks decide quarantine, so only their stage asks for that.
+    """
+    if quarantine and (held := tallied.where(F.col("quarantined") > budget(F.col("total"))).limit(1).collect()):
+        raise RuntimeError(f"{held[0]['quarantined']} of {held[0]['total']} episodes are quarantined")
     over = tallied.where((F.col("error") > budget(F.col("total"))) | ((F.col("error") == F.col("total")) & (F.col("total") > 0))).limit(1).collect()
     if over:
         raise RuntimeError(f"{over[0]['error']} of {over[0]['total']} episodes failed")

@@ -74,11 +74,13 @@ def to_grid(messages: DataFrame, rate_hz: float, *, policy: str = "interpolate",
     return points.select(*keys, "grid_ns", value.alias("value"))
 
 
-def fps_estimate(messages: DataFrame, keys=STREAM) -> DataFrame:
-    """Frames per second from the median step; null for fewer than two messages or no step."""
+def fps_estimate(messages: DataFrame, keys=STREAM, *, strict: bool = False) -> DataFrame:
+    """Frames per second from the median step; null for fewer than two messages or no step, or with ``strict`` an error that names the stream."""
     w = in_order(keys)
     step = messages.withColumn("d", F.col("log_time_ns") - F.lag("log_time_ns").over(w)).groupBy(*keys).agg(F.median("d").alias("median_ns"))
-    return step.select(*keys, F.when(F.col("median_ns") > 0, F.lit(1e9) / F.col("median_ns")).alias("fps"))
+    told = F.concat(F.lit("no frame rate can be told of "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    none = F.raise_error(told).cast("double") if strict else F.lit(None).cast("double")
+    return step.select(*keys, F.when(F.col("median_ns") > 0, F.lit(1e9) / F.col("median_ns")).otherwise(none).alias("fps"))
 
 
 def gop_frames(fps: Column, seconds: float) -> Column:
@@ -86,18 +88,18 @@ def gop_frames(fps: Column, seconds: float) -> Column:
     return F.greatest(F.lit(1), F.bround(fps * F.lit(seconds), 0).cast("int"))
 
 
-def looks_like_rotation(name: str, width: int) -> bool:
-    """Whether four numbers are likely a quaternion, which must not be interpolated."""
-    return width == 4 and any(hint in name.lower() for hint in ("quat", "orient", "rotation"))
+def looks_like_rotation(name: str, width: int, schema: str = "") -> bool:
+    """Whether four numbers are likely a quaternion, by the field's name or the schema's, which must not be interpolated."""
+    return width == 4 and (any(hint in name.lower() for hint in ("quat", "orient", "rotation")) or "quaternion" in schema.lower())
 
 
-def vector_to_grid(messages: DataFrame, field: str, width: int, rate_hz: float, *, policy: str = "interpolate", keys=STREAM) -> DataFrame:
+def vector_to_grid(messages: DataFrame, field: str, width: int, rate_hz: float, *, policy: str = "interpolate", keys=STREAM, schema: str = "") -> DataFrame:
     """``(keys..., grid_ns, <field>_0, <field>_1, ...)``: a vector field on the grid.
 
     The vectors' components go through ``to_grid`` as streams of their own and come
     back as columns.
     """
-    if policy == "interpolate" and looks_like_rotation(field, width):
+    if policy == "interpolate" and looks_like_rotation(field, width, schema):
         raise ValueError(f"{field!r} looks like a rotation: take the nearest message instead of interpolating")
     parts = messages.select(*keys, "log_time_ns", "seq", F.posexplode(field).alias("component", "value")).where(F.col("component") < width)
     placed = to_grid(parts, rate_hz, policy=policy, keys=(*keys, "component"))

@@ -78,7 +78,7 @@ def refuse_unless_query(session: SparkSession, sql: str, names: list[str]) -> No
 def publish(spark: SparkSession, rows: DataFrame, output: str) -> int:
     """Writes a manifest to a private folder, then moves it into place; returns its rows."""
     parent, _, name = output.rstrip("/").rpartition("/")
-    folder, staged = Folder(spark, parent), f"_staging-{uuid.uuid4().hex}"
+    folder, staged = Folder(spark, parent), f".staging-{uuid.uuid4().hex}"
     try:
         rows.write.parquet(f"{parent}/{staged}")
         count = spark.read.schema(rows.schema).parquet(f"{parent}/{staged}").count()

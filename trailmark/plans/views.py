@@ -88,11 +88,27 @@ def stale(episodes: DataFrame, versions: dict[str, str], *, source: Column | Non
 def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """Adds z-score and percent rank of ``value`` in its cohort (``keys``).
 
-    Mean and deviation come from an aggregate that is joined back; only the rank sorts.
+    No cohort is one task's work: equal values are counted, the counts dealt to ranges of
+    values, and a value's rank is the rows of smaller ranges and of smaller values in its own.
+    Nulls come first, as in a window; the only row of a cohort has rank 0.
     """
-    shape = values.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"))
-    rank = F.percent_rank().over(Window.partitionBy(*keys).orderBy(value))
-    return values.join(shape, list(keys)).withColumns({"z": F.try_divide(F.col(value) - F.col("_mean"), F.col("_dev")), "percent_rank": rank}).drop("_mean", "_dev")
+    shape = values.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"), F.count("*").alias("_all"))
+    counts = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    order = [*keys, F.col(value).asc_nulls_first()]
+    ranged = counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    # As many rows a cohort as there are ranges.
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    ranks = ranged.join(starts, [*keys, "_part"]).select(*keys, F.col(value).alias("_value"), (F.col("_before") + F.col("_in")).alias("_rank"))
+    same = F.col(f"v.{value}").eqNullSafe(F.col("r._value"))
+    for k in keys:
+        same = same & (F.col(f"v.{k}") == F.col(f"r.{k}"))
+    joined = values.join(shape, list(keys)).alias("v").join(ranks.alias("r"), same).select("v.*", "r._rank")
+    rank = F.coalesce(F.try_divide(F.col("_rank").cast("double"), (F.col("_all") - 1).cast("double")), F.lit(0.0))
+    return joined.withColumns({"z": F.try_divide(F.col(value) - F.col("_mean"), F.col("_dev")), "percent_rank": rank}).drop("_mean", "_dev", "_all", "_rank")
 
 
 def duplicates(rows: DataFrame, digest: Column, item: str) -> DataFrame:

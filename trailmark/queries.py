@@ -571,6 +571,17 @@ def layout_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@register(
+    """WITH m AS (SELECT l_orderkey AS episode_id, l_linenumber % 2 = 0 AS is_text, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_discount END AS value_double, CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN l_linenumber % 2 = 0 THEN l_returnflag = 'N' END AS value_bool FROM lineitem)
+SELECT episode_id, count(*) AS n, count(v) AS known, round(avg(v), 6) AS mean FROM (SELECT *, coalesce(value_double, CASE WHEN value_bool THEN 1.0::DOUBLE WHEN value_bool IS NOT NULL THEN 0.0::DOUBLE END) AS v FROM m) GROUP BY 1"""
+)
+def bool_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements as numbers, of which some are truth values and some neither."""
+    line = F.col("l_linenumber")
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.when(line % 2 != 0, F.col("l_discount")).alias("value_double"), F.when((line % 2 == 0) & (line % 4 != 0), F.col("l_returnflag") == "N").alias("value_bool"))
+    return m.withColumn("v", views.number()).groupBy("episode_id").agg(F.count("*").alias("n"), F.count("v").alias("known"), F.round(F.avg("v"), 6).alias("mean"))
+
+
 STEP_ROWS = """g AS (SELECT d.source AS episode_id, row_number() OVER (PARTITION BY d.source ORDER BY l.doc_id) AS step_order, l.doc_id,
   l.doc_id % 7 = 0 AS critical, CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE l.quality = 1 END AS verdict, CASE WHEN l.doc_id % 11 = 0 THEN 'boom' END AS error FROM labels l JOIN documents d USING (doc_id)),
 h AS (SELECT *, min(CASE WHEN critical AND verdict = false THEN step_order END) OVER (PARTITION BY episode_id) AS stop FROM g),

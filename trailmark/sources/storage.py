@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import os
 import re
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 #: Schemes of a storage root, and the one that Spark's file systems know it by.
-SCHEMES = {"": "", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3a", "s3a": "s3a", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+SCHEMES = {"": "", "file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3a", "s3a": "s3a", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "az": "abfss", "azure": "abfss"}
 
 
 def root_uri(text: str) -> str:
@@ -20,8 +24,55 @@ def root_uri(text: str) -> str:
     return text if not m else f"{SCHEMES[scheme]}://{text[m.end():]}"
 
 
+#: Names that the sinks here use for their own files.
+RESERVED = ("_published.json", "_temporary", "_staging", "_commits")
+#: What lies where below a data root.
+EPISODES, CATALOG, TEST_RUNS, IDENTITY = "episodes", "catalog", "test-runs", "workspace.json"
+ROOT_VARIABLE, DEFAULT_ROOT = "TRAILMARK_DATA_ROOT", "./data"
+
+
+def data_root(given: str | None = None) -> str:
+    """The data root: what is given, else the environment's, else a folder here."""
+    return root_uri(given or os.environ.get(ROOT_VARIABLE) or DEFAULT_ROOT)
+
+
+def source_uri(spark: SparkSession, named: str, root: str) -> str:
+    """Where a source is: a whole URI as it is, a path that exists, or a key below the data root; else an error."""
+    if "://" in named:
+        return root_uri(named)
+    if Path(named).is_file():
+        return f"file://{Path(named).resolve()}"
+    if not named.startswith("/") and Folder(spark, root).exists(named):
+        return f"{root_uri(root).rstrip('/')}/{valid_key(named)}"
+    raise FileNotFoundError(f"{named!r} is no file here and no key below {root}")
+
+
+def fetched(spark: SparkSession, uri: str, path: str) -> str:
+    """Copies one file from anywhere that Spark reaches to a local path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root_uri(uri))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyToLocalFile(False, at, jvm.org.apache.hadoop.fs.Path(f"file://{Path(path).resolve()}"), True)
+    return path
+
+
+def workspace_identity(spark: SparkSession, root: str) -> dict[str, str]:
+    """The workspace's id and when it was made. The first to ask makes it; of several at a time all get that of one."""
+    folder = Folder(spark, root)
+    made = {"identity_version": "1", "workspace_id": uuid.uuid4().hex, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+    folder.create_text(IDENTITY, json.dumps(made, sort_keys=True))
+    try:
+        told = json.loads(folder.read_text(IDENTITY) or "")
+    except ValueError as e:
+        raise ValueError(f"{root}/{IDENTITY} isn't JSON: {e}") from None
+    if not isinstance(told, dict) or told.get("identity_version") != "1" or not all(isinstance(told.get(k), str) and told[k] for k in ("workspace_id", "created_at")):
+        raise ValueError(f"{root}/{IDENTITY} names no workspace of version 1")
+    return told
+
+
 def valid_key(key: str) -> str:
-    """A relative path without parent steps."""
+    """A relative path without parent steps; its last part isn't a name that the sinks use themselves."""
+    if key.rpartition("/")[2].startswith(RESERVED[:3]):
+        raise ValueError(f"{key!r} ends in a reserved name")
     if not key or key.startswith("/") or any(p in ("", ".", "..") for p in key.split("/")):
         raise ValueError(f"not a key: {key!r}")
     return key
@@ -97,5 +148,20 @@ class Folder:
         if not self.fs.rename(self._path(source), self._path(target)):
             raise OSError(f"couldn't move {source} to {target}")
 
+    def replace(self, source: str, target: str) -> None:
+        """Renames a file or folder to a name that may be taken: what was there is moved aside first, and deleted last."""
+        aside = f"{target}.{uuid.uuid4().hex}"
+        there = self.exists(target)
+        if there:
+            self.move(target, aside)
+        try:
+            self.move(source, target)
+        except BaseException:
+            if there:
+                self.move(aside, target)
+            raise
+        if there:
+            self.delete(aside)
+
     def delete(self, key: str) -> None:
         self.fs.delete(self._path(key), True)
