@@ -31,6 +31,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOPICS = ("click", "error", "purchase", "signup", "view")
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``events`` as the tables of recordings: a user is a file, an event type a channel in JSON."""
+    m = messages(spark, sf_dir)
+    path = F.concat(F.lit("user-"), F.col("episode_id").cast("string"), F.lit(".mcap")).alias("path")
+    number = F.array_position(F.array(*map(F.lit, TOPICS)), F.col("topic")).cast("int").alias("channel_id")
+    none = lambda t: F.lit(None).cast(t)
+    described = [none("string").alias("schema_name"), none("string").alias("schema_encoding"), F.lit("json").alias("message_encoding")]
+    own = m.select(path, number, "topic", *described, F.col("seq").alias("offset"), F.col("seq").alias("sequence"), "log_time_ns", F.col("log_time_ns").alias("publish_time_ns"), F.col("data").cast("binary").alias("data"))
+    channels = own.select("path", "channel_id", "topic").distinct().select("*", *described, F.create_map(F.lit("unit"), F.lit("k")).alias("channel_metadata"), none("binary").alias("schema_data"))
+    told = F.create_map(F.lit("task"), F.when(F.col("episode_id") % 2 == 0, "even").otherwise("odd"), F.lit("operator"), F.col("episode_id").cast("string"))
+    metadata = m.select("episode_id").distinct().select(path, F.lit(0).cast("bigint").alias("offset"), F.lit("episode/v1").alias("record"), told.alias("entries"))
+    attachments = m.where("topic = 'signup'").groupBy("episode_id").agg(F.min("log_time_ns").alias("log_time_ns"), F.min("seq").alias("seq"))
+    attachments = attachments.select(path, F.col("seq").alias("offset"), F.lit("first_signup").alias("name"), F.lit("text/plain").alias("media_type"), "log_time_ns", F.col("log_time_ns").alias("create_time_ns"), F.col("seq").cast("string").cast("binary").alias("data"))
+    return {"messages": own, "channels": channels, "metadata": metadata, "attachments": attachments}
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as runs of episodes: a customer is an episode, an order a run."""
     return table(spark, sf_dir, "orders").select(

@@ -115,6 +115,11 @@ def capped(rows: DataFrame, *keys: str, order: tuple[str, ...], cap: int = CAP)
 
 def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
     """``(path, level, code, message, suppressed)``: the first ``cap`` of each code and file."""
+    return findings_of(spark.read.format("binaryFile").load(paths), cap=cap)
+
+
+def findings_of(files: DataFrame, *, cap: int = CAP) -> DataFrame:
+    """``findings`` of files that are rows already, ``(path, content)``."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +128,6 @@ def findings(spark: SparkSession, paths, *, cap: int = CAP) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "place", "code", "message"])
 
-    files = spark.read.format("binaryFile").load(paths)
     rows = files.select("path", "content").mapInArrow(over, "path string, place bigint, code string, message string")
     level = F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
     return capped(rows, "path", "code", order=("place", "message"), cap=cap).select("path", level.alias("level"), "code", "message", "suppressed")

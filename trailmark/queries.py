@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .adapters import event_measurements, messages, nanoseconds, run_measurements, runs, table
+from .adapters import TOPICS, event_measurements, messages, nanoseconds, recordings, run_measurements, runs, table
 from .functions import text as texts
-from .app import measurement_rows
+from .app import App, measurement_rows
 from .operators import channels, checks, doctor, gates, layout, resample
 from .operators.series import speed, steps
-from .plans import views
+from .plans import catalog, curate, views
+from .schemas import TABLES
+from .sources import arrow, canonical, datasource, mcap
 from .streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +96,6 @@ def latest_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("episode_id", "key", "run_fingerprint", r6("value_double"))
 
 
-TOPICS = ("click", "error", "purchase", "signup", "view")
 WIDE = f"""WITH {M}, l AS (SELECT *, row_number() OVER (PARTITION BY episode_id, topic ORDER BY log_time_ns DESC, seq DESC) AS rn FROM m),
 e AS (SELECT o_custkey AS episode_id, o_orderstatus = 'F' AS quarantined,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
@@ -739,3 +740,148 @@ def streaming_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, largest gap and span of each stream, kept as state over a stream of files."""
     found = online.stream_gaps(spark, f"{sf_dir}/events.parquet")
     return found.select("episode_id", "topic", "message_count", r6("max_gap_s"), r6("span_s"))
+
+
+# --- recordings and the catalog, written from the tables and read back -----------------------
+
+
+def _episode(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"user-(\d+)", 1).cast("bigint").alias("episode_id")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a canonical file for each user."""
+    folder = online.work_folder(spark)
+    canonical.write(canonical.rows(recordings(spark, sf_dir), pipeline_version="p1", groups={"view": "cameras"}), folder, chunk_bytes=400)
+    return folder
+
+
+SPAN = (1_704_067_200_000_000_000, 1_711_929_600_000_000_000)
+
+
+@register(
+    f"""WITH {M} SELECT episode_id, topic, log_time_ns, CAST(seq AS BIGINT) AS sequence, data FROM m
+WHERE topic IN ('view', 'click') AND log_time_ns >= {SPAN[0]} AND log_time_ns < {SPAN[1]}"""
+)
+def recorded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of two topics within a quarter of a year, from files by byte ranges."""
+    found = datasource.scan(spark, _recorded(spark, sf_dir), topics=["view", "click"], start_ns=SPAN[0], end_ns=SPAN[1])
+    return found.select(_episode(), "topic", "log_time_ns", "sequence", F.col("data").cast("string").alias("data"))
+
+
+@register(f"WITH {M} SELECT episode_id, topic, count(*) AS message_count, false AS has_schema, 'k' AS unit FROM m GROUP BY 1, 2")
+def recorded_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel catalog of files, from their summaries; by topic, which only one channel of each has."""
+    found = channels.topics(datasource.scan(spark, _recorded(spark, sf_dir), "channels"))
+    return found.select(_episode(), "topic", "message_count", "has_schema", F.element_at("channel_metadata", "unit").alias("unit"))
+
+
+@register(
+    f"""WITH {M} SELECT DISTINCT episode_id, CASE WHEN episode_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task, CAST(episode_id AS VARCHAR) AS operator, '1' AS schema_version, 'p1' AS pipeline_version,
+  'user-' || episode_id || '.mcap' AS source_uri FROM m"""
+)
+def recorded_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's own metadata overlaid with its provenance."""
+    found = canonical.merged(datasource.scan(spark, _recorded(spark, sf_dir), "metadata"))
+    return found.select(_episode(), *[F.element_at("metadata", k).alias(k) for k in ("task", "operator", "schema_version", "pipeline_version", "source_uri")])
+
+
+@register(f"WITH {M} SELECT episode_id, 'first_signup' AS name, min(log_time_ns) AS log_time_ns, CAST(min(seq) AS VARCHAR) AS data FROM m WHERE topic = 'signup' GROUP BY 1")
+def recorded_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = datasource.scan(spark, _recorded(spark, sf_dir), "attachments")
+    return found.select(_episode(), "name", "log_time_ns", F.col("data").cast("string").alias("data"))
+
+
+@register(
+    f"""WITH {M}, c AS (SELECT episode_id, count(*) AS n, sum(31 + octet_length(encode(data))) AS bytes FROM m GROUP BY 1)
+SELECT episode_id, CAST(bytes AS BIGINT) AS bytes, n FROM c"""
+)
+def recorded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each file's chunks by its index, beside its messages by its statistics."""
+    folder = _recorded(spark, sf_dir)
+    chunks = layout.storage(datasource.scan(spark, folder, "chunks")).select("path", "bytes")
+    counts = datasource.scan(spark, folder, "channels").groupBy("path").agg(F.sum("message_count").alias("n"))
+    return chunks.join(counts, "path").select(_episode(), "bytes", "n")
+
+
+@register(
+    f"""WITH {M}, e AS (SELECT DISTINCT episode_id FROM m)
+SELECT episode_id, level, code FROM (SELECT episode_id, 'error' AS level, 'missing-provenance' AS code FROM e UNION ALL SELECT episode_id, 'warning', 'missing-episode-record' FROM e WHERE episode_id % 2 = 1)"""
+)
+def doctor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with files that were written without provenance, and some without their own record."""
+    tables = recordings(spark, sf_dir)
+    records = tables["metadata"].where(F.element_at("entries", "task") == "even").select("path", "record", "entries")
+    packed = mcap.to_files(tables["messages"], channels=tables["channels"], metadata=records, limit=400)
+    found = doctor.findings_of(packed)
+    return found.select(_episode(), "level", "code")
+
+
+def _runs_catalog(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """A catalog of the orders' runs and lines, appended in two parts that overlap and then once more."""
+    made = catalog.Catalog(spark, online.work_folder(spark))
+    orders = table(spark, sf_dir, "orders").where("o_custkey % 4 = 0")
+    named = {"episode_id": F.col("o_custkey").cast("string"), "run_fingerprint": F.col("o_orderkey").cast("string"), "task": F.col("o_orderpriority"), "quarantined": F.col("o_orderstatus") == "F"}
+    columns = [x.split() for x in TABLES["episodes"].split(", ")]
+    episodes = orders.select(*[(named[c] if c in named else F.lit(None)).cast(t).alias(c) for c, t in columns])
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    run = [F.col("o_custkey").cast("string").alias("episode_id"), F.col("l_orderkey").cast("string").alias("run_fingerprint")]
+    key = F.concat(F.lit("line_"), F.col("l_linenumber").cast("string"))
+    values = lines.groupBy(*run, key.alias("key")).agg(F.max("l_extendedprice").alias("value_double"))
+    none = lambda t: F.lit(None).cast(t)
+    values = values.select("*", F.lit("lines").alias("check_name"), F.lit("v1").alias("check_version"), none("string").alias("value_text"), none("boolean").alias("value_bool"))
+    for part in ("o_orderkey % 3 != 0", "o_orderkey % 3 != 1", "true"):
+        own = orders.where(part).select(F.col("o_orderkey").cast("string").alias("run_fingerprint"))
+        made.append(episodes.join(own, "run_fingerprint", "left_semi"), measurements=values)
+    return made
+
+
+RUNS = """WITH o AS (SELECT * FROM orders WHERE o_custkey % 4 = 0),
+v AS (SELECT CAST(o_custkey AS VARCHAR) AS episode_id, CAST(o_orderkey AS VARCHAR) AS run_fingerprint, 'line_' || l_linenumber AS key, round(max(l_extendedprice), 6) AS value FROM lineitem JOIN o ON o_orderkey = l_orderkey GROUP BY 1, 2, 3)
+"""
+
+
+@register(RUNS + "SELECT * FROM v")
+def catalog_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of a catalog to which overlapping runs were appended: each is there once, with its run's time."""
+    return _runs_catalog(spark, sf_dir).table("measurements").select("episode_id", "run_fingerprint", "key", F.round("value_double", 6).alias("value"))
+
+
+@register(RUNS + "SELECT CAST(o_custkey AS VARCHAR) AS episode_id, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS held FROM o GROUP BY 1 HAVING count(*) > 1")
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constrained curation SQL over that catalog's views."""
+    root = _runs_catalog(spark, sf_dir).root
+    sql = "SELECT episode_id, count(*) AS runs, count_if(quarantined) AS held FROM episodes_raw GROUP BY episode_id HAVING count(*) > 1"
+    session, names = curate.open_catalog(spark, root, constrained=True)
+    curate.refuse_unless_query(session, sql, names)
+    return session.sql(sql)
+
+
+@register(
+    f"""WITH {M}, s AS (SELECT episode_id, count(*) AS n, avg(value) AS mean, bool_or(topic = 'error') AS err FROM m GROUP BY 1)
+SELECT CAST(episode_id AS VARCHAR) AS episode_id, key, value_double, value_text FROM (
+  SELECT episode_id, 'count' AS key, CAST(n AS DOUBLE) AS value_double, NULL AS value_text FROM s
+  UNION ALL SELECT episode_id, 'mean', round(mean, 6), NULL FROM s WHERE NOT err UNION ALL SELECT episode_id, 'kind', NULL, CASE WHEN n > 60 THEN 'long' ELSE 'short' END FROM s WHERE NOT err)"""
+)
+def app_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an app records: a critical check gates an enrichment, so that failed episodes have the check's evidence alone."""
+    app = App(spark, online.work_folder(spark))
+
+    @app.check("size", critical=True, version="v1")
+    def size(m):
+        return m.groupBy("episode_id").agg(F.create_map(F.lit("count"), F.count("*").cast("double")).alias("measurements"), (~F.max(F.col("topic") == "error")).alias("verdict"))
+
+    @app.enrich("kind", version="v1")
+    def kind(m):
+        return m.groupBy("episode_id").agg(F.create_map(F.lit("mean"), F.round(F.avg("value"), 6)).alias("measurements"), F.create_map(F.lit("kind"), F.when(F.count("*") > 60, "long").otherwise("short")).alias("labels"))
+
+    app.process(messages(spark, sf_dir))
+    return catalog.Catalog(spark, app.root).table("measurements").select("episode_id", "key", "value_double", "value_text")
+
+
+@register("SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents")
+def arrow_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table exported as Arrow shards in order and read back; positions are those of the index."""
+    folder = online.work_folder(spark)
+    arrow.export(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), folder, ["doc_id"], 6)
+    return arrow.read(spark, folder, positions=True).select("doc_id", "lang", "n_chars", "position")

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, LongType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
 
 from ..plans.views import shards
 from . import indexed
 from .canonical import published
-from .datasource import PublishingWriter, Written
+from .datasource import PublishingWriter, Written, register
 
 PLAIN = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
@@ -106,8 +106,7 @@ def export(rows: DataFrame, path: str, order: list[str], count: int) -> dict[str
     kept = [f.name for f in rows.schema if plain(f.dataType)]
     if absent := [c for c in order if c not in kept]:
         raise ValueError(f"can't order by {absent}: no plain columns")
-    spark = rows.sparkSession
-    spark.dataSource.register(ShardSource)
+    register(rows.sparkSession, ShardSource)
     placed = shards(rows.select(*kept), order, count)
     placed = placed.select(F.col("shard").alias("_shard"), F.col("position").cast("bigint").alias("_position"), *kept)
     placed.repartition("_shard").sortWithinPartitions("_shard", "_position").write.format("arrow_shards").mode("append").save(path)
@@ -132,9 +131,10 @@ def channel_table(messages: DataFrame) -> DataFrame:
     return messages.select("log_time_ns", *[F.col("decoded")[f.name].alias(f.name) for f in fields if plain(f.dataType) and f.name != "log_time_ns"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """An export as a DataFrame again, a task per shard."""
-    names = sorted(published(path))
+def read(spark: SparkSession, path: str, *, positions: bool = False) -> DataFrame:
+    """An export as a DataFrame again, a task per shard; with ``positions`` each row's place in the order."""
+    index = published(path)
+    names = sorted(index)
     if not names:
         raise FileNotFoundError(f"{path} has no shards")
     from pyspark.sql.pandas.types import from_arrow_schema
@@ -145,10 +145,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, at in zip(*(c.to_pylist() for c in batch.columns)):
                 system, root, _ = indexed.located(path.rstrip("/"))
                 with pa.ipc.open_file(system.open_input_file(f"{root}/{name}")) as f:
                     for k in range(f.num_record_batches):
-                        yield f.get_batch(k)
+                        part = f.get_batch(k)
+                        yield part.append_column("position", pa.array(range(at, at + len(part)), pa.int64())) if positions else part
+                        at += len(part)
 
-    return spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names)).mapInArrow(over, schema)
+    shards_ = spark.createDataFrame([(n, index[n]["first"]) for n in names], "name string, first bigint").repartition(len(names))
+    return shards_.mapInArrow(over, schema.add("position", LongType()) if positions else schema)

@@ -52,9 +52,11 @@ BATCH_ROWS = 1_024
 BATCH_BYTES = 32 << 20
 
 
-def register(spark: SparkSession) -> None:
-    """Makes the format known to a session."""
-    spark.dataSource.register(McapSource)
+def register(spark: SparkSession, source: type[ds.DataSource] | None = None) -> None:
+    """Makes the format (or another source) known to a session, and to the thread's active one, where Spark looks names up."""
+    active = SparkSession.getActiveSession()
+    for session in (spark, active) if active is not None else (spark,):
+        session.dataSource.register(source or McapSource)
 
 
 def scan(
