@@ -6,8 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,33 +39,30 @@ class GapState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("stream", "last bigint, n bigint, gap bigint, span bigint")
-        self.waiting = handle.getListState("waiting", "log_time_ns bigint")
+        # One value, as each access is a round trip; ``timer`` is the one that is set, 0 for none.
+        self.state = handle.getValueState("stream", "last bigint, n bigint, gap bigint, span bigint, waiting array<bigint>, timer bigint")
 
-    def _moved(self, key, fresh: list[int], watermark_ms: int) -> pd.DataFrame:
-        held = self.state.get() if self.state.exists() else (None, 0, None, 0)
+    def _moved(self, key, fresh: list[int], watermark_ms: int, fired: bool = False) -> Row:
+        *held, waiting, timer = self.state.get() or (None, 0, None, 0, [], 0)
+        timer = 0 if fired else timer
         kept = [t for t in fresh if held[0] is None or t >= held[0]]
-        times = sorted([x[0] for x in self.waiting.get()] + kept if self.waiting.exists() else kept)
+        times = sorted([*(waiting or []), *kept])
         passed = [t for t in times if t // 1_000_000 < watermark_ms]
         rest = times[len(passed) :]
         held = _folded(passed, *held)
-        self.state.update(held)
-        if rest:
-            self.waiting.put([(t,) for t in rest])
-            for at in self.handle.listTimers():
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(rest[-1] // 1_000_000 + 1)
-        else:
-            self.waiting.clear()
+        if rest and not timer:
+            timer = rest[-1] // 1_000_000 + 1
+            self.handle.registerTimer(timer)
+        self.state.update((*held, rest, timer))
         _, n, gap, span = _folded(rest, *held)
-        return pd.DataFrame({"episode_id": [key[0]], "topic": [key[1]], "message_count": [n], "max_gap_s": [None if gap is None else gap / 1e9], "span_s": [span / 1e9]})
+        return Row(episode_id=key[0], topic=key[1], message_count=n, max_gap_s=None if gap is None else gap / 1e9, span_s=span / 1e9)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [t for part in rows for t in part["log_time_ns"].tolist()]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh = [r["log_time_ns"] for r in rows]
         yield self._moved(key, fresh, timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._moved(key, [], timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield self._moved(key, [], timerValues.getCurrentWatermarkInMs(), fired=True)
 
     def close(self) -> None:
         pass
@@ -99,7 +95,7 @@ def emit(rows: DataFrame, folder: str, *, delay: str = DELAY):
     """
     spark = rows.sparkSession
     timed = rows.withColumn("at", F.timestamp_micros(F.expr("log_time_ns div 1000"))).withWatermark("at", delay)
-    kept = timed.groupBy("episode_id", "topic").transformWithStateInPandas(GapState(), EMITTED, "Update", "EventTime")
+    kept = timed.groupBy("episode_id", "topic").transformWithState(GapState(), EMITTED, "Update", "EventTime")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/trigger={number}")
