@@ -196,3 +196,38 @@ def test_percent_rank_is_that_of_a_window(spark):
     got = views.cohort(frame, "x", "g")
     plain = lambda f: sorted(map(str, f.select("g", "x", F.round("percent_rank", 12)).collect()))
     assert plain(got) == plain(want) and got.columns == ["g", "x", "z", "percent_rank"]
+
+
+class Offered:
+    name, protocol = "one", "p"
+
+    def prepare_video_request(self, path, prompt):
+        return {"path": path, "prompt": prompt}
+
+
+def test_providers(monkeypatch):
+    class Entry:
+        def __init__(self, name, loaded):
+            self.name, self.loaded = name, loaded
+
+        def load(self):
+            if isinstance(self.loaded, Exception):
+                raise self.loaded
+            return self.loaded
+
+    entries = [Entry("one", Offered), Entry("again", Offered()), Entry("broken", ImportError("no")), Entry("odd", object())]
+    monkeypatch.setattr(surface, "entry_points", lambda group: entries)
+    with pytest.warns(UserWarning) as told:
+        found = surface.providers()
+    assert list(found) == ["one"] and isinstance(found["one"], Offered)
+    assert sorted(str(w.message).split()[0] for w in told) == ["again", "broken", "odd"]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    folder = storage.Folder(spark, f"file://{tmp_path}")
+    folder.write_bytes("d/x", b"\x00\xff" * 3)
+    folder.write_bytes("d/x", b"\x00\xfe")
+    assert folder.read_bytes("d/x") == b"\x00\xfe" and folder.size("d/x") == 2 and folder.read_bytes("none") is None
+    assert folder.names("d") == ["x"] and folder.uri("d/x") == f"file://{tmp_path}/d/x" and folder.child(spark, "d").size("x") == 2
+    with pytest.raises(FileNotFoundError):
+        folder.size("none")

@@ -15,9 +15,11 @@ import json
 import os
 import re
 import uuid
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from importlib.metadata import entry_points
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -109,8 +111,35 @@ def report(evidence: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def load_app(named: str) -> App:
-    """The app of a pipeline file, ``FILE.py`` or ``FILE.py:NAME`` (``app`` if no name is given)."""
+PROVIDERS = "trailmark.video_providers"
+
+
+def providers(group: str = PROVIDERS) -> dict[str, object]:
+    """What installed packages offer to attach video to a model's request, by name.
+
+    An entry point is a class, called without arguments, or an object, with ``name``,
+    ``protocol`` and ``prepare_video_request(path, prompt)``. One that can't be loaded or lacks
+    these is left out with a warning; of two with one name the first stays.
+    """
+    found: dict[str, object] = {}
+    for entry in entry_points(group=group):
+        try:
+            loaded = entry.load()
+            offered = loaded() if inspect.isclass(loaded) else loaded
+            if not (isinstance(offered.name, str) and isinstance(offered.protocol, str) and callable(offered.prepare_video_request)):
+                raise TypeError("not a provider")
+        except Exception as e:  # whatever another package may raise
+            warnings.warn(f"{entry.name} is left out: {type(e).__name__}: {e}", stacklevel=2)
+            continue
+        if offered.name in found:
+            warnings.warn(f"{entry.name} is left out: there is a provider {offered.name!r} already", stacklevel=2)
+            continue
+        found[offered.name] = offered
+    return found
+
+
+def load_app(named: str, root: str | None = None) -> App:
+    """The app of a pipeline file, ``FILE.py`` or ``FILE.py:NAME`` (``app`` if no name is given); with ``root`` it must be that of the app."""
     path, _, variable = named.partition(".py:")
     file = Path(path + ".py" if variable else path)
     variable = variable or "app"
@@ -125,6 +154,8 @@ def load_app(named: str) -> App:
     app = getattr(module, variable, None)
     if not isinstance(app, App):
         raise ValueError(f"{file} has no App named {variable!r}")
+    if root is not None and app.root.rstrip("/") != root.rstrip("/"):
+        raise ValueError(f"the app of {file} has the root {app.root}, not {root}")
     return app
 
 

@@ -85,6 +85,16 @@ def stale(episodes: DataFrame, versions: dict[str, str], *, source: Column | Non
     return now.where(differs).orderBy("episode_id")
 
 
+def _ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows dealt by ranges of ``order``, with their range's number in ``_part``.
+
+    The number of ranges is given, as Spark then leaves them as they are: ranges that adaptive
+    execution puts together could have other numbers where the frame is used a second time.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
+
+
 def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """Adds z-score and percent rank of ``value`` in its cohort (``keys``).
 
@@ -95,7 +105,7 @@ def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
     shape = values.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"), F.count("*").alias("_all"))
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     order = [*keys, F.col(value).asc_nulls_first()]
-    ranged = counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = _ranges(counts, *order)
     inside = Window.partitionBy(*keys, "_part").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     # As many rows a cohort as there are ranges.
@@ -126,7 +136,7 @@ def shards(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     """Contiguous shards of nearly equal size in the given order, without a global sort's
     single task: a range sort, rows numbered within partitions, and the partitions' sums.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = _ranges(rows, *order).sortWithinPartitions(*order)
     w = Window.partitionBy("_part").orderBy(*order)
     numbered = parts.withColumn("_at", F.row_number().over(w) - 1)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -104,6 +104,37 @@ class Folder:
         finally:
             stream.close()
 
+    def uri(self, key: str) -> str:
+        return f"{self.root}/{valid_key(key)}"
+
+    def child(self, spark: SparkSession, key: str) -> Folder:
+        return Folder(spark, self.uri(key))
+
+    def size(self, key: str) -> int:
+        """Bytes of a file; FileNotFoundError without one."""
+        if not self.exists(key):
+            raise FileNotFoundError(self.uri(key))
+        return self.fs.getFileStatus(self._path(key)).getLen()
+
+    def read_bytes(self, key: str) -> bytes | None:
+        if not self.exists(key):
+            return None
+        stream = self.fs.open(self._path(key))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, key: str, data: bytes) -> None:
+        """Writes a small file, in place of one that is there."""
+        temporary = f"{key}.{uuid.uuid4().hex}"
+        stream = self.fs.create(self._path(temporary), False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        self.replace(temporary, key)
+
     def create_text(self, key: str, text: str) -> bool:
         """Writes a file that isn't there yet; False if another was first.
 
