@@ -858,7 +858,7 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {M}, s AS (SELECT episode_id, count(*) AS n, avg(value) AS mean, bool_or(topic = 'error') AS err FROM m GROUP BY 1)
+    f"""WITH {M}, s AS (SELECT episode_id, count(*) AS n, avg(value) AS mean, count(*) % 2 = 1 AS err FROM m GROUP BY 1)
 SELECT CAST(episode_id AS VARCHAR) AS episode_id, key, value_double, value_text FROM (
   SELECT episode_id, 'count' AS key, CAST(n AS DOUBLE) AS value_double, NULL AS value_text FROM s
   UNION ALL SELECT episode_id, 'mean', round(mean, 6), NULL FROM s WHERE NOT err UNION ALL SELECT episode_id, 'kind', NULL, CASE WHEN n > 60 THEN 'long' ELSE 'short' END FROM s WHERE NOT err)"""
@@ -869,7 +869,7 @@ def app_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @app.check("size", critical=True, version="v1")
     def size(m):
-        return m.groupBy("episode_id").agg(F.create_map(F.lit("count"), F.count("*").cast("double")).alias("measurements"), (~F.max(F.col("topic") == "error")).alias("verdict"))
+        return m.groupBy("episode_id").agg(F.create_map(F.lit("count"), F.count("*").cast("double")).alias("measurements"), (F.count("*") % 2 == 0).alias("verdict"))
 
     @app.enrich("kind", version="v1")
     def kind(m):
