@@ -231,3 +231,44 @@ def test_files_of_a_folder(spark, tmp_path):
     assert folder.names("d") == ["x"] and folder.uri("d/x") == f"file://{tmp_path}/d/x" and folder.child(spark, "d").size("x") == 2
     with pytest.raises(FileNotFoundError):
         folder.size("none")
+
+
+def test_two_writers_of_one_name(spark, tmp_path):
+    """A folder never ends up in another of its name."""
+    folder, done = storage.Folder(spark, f"file://{tmp_path}"), []
+    for k in range(6):
+        folder.write_bytes(f"new{k}/part", bytes([k]))
+
+    def publish(k):
+        try:
+            folder.move(f"new{k}", "name")
+            done.append(k)
+        except FileExistsError:
+            pass
+
+    threads = [threading.Thread(target=publish, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(done) == 1 and folder.names("name") == ["part"] and folder.read_bytes("name/part") == bytes(done)
+    assert len([n for n in folder.names() if n.startswith("new")]) == 5
+
+
+def test_a_failure_of_the_store_is_no_evidence(spark, tmp_path):
+    app = App(spark, f"file://{tmp_path}/catalog")
+    frame = spark.createDataFrame([("e", "t", 1)], "episode_id string, topic string, log_time_ns bigint")
+    lost = tmp_path / "lost"
+    frame.write.parquet(f"file://{lost}")
+    gone = spark.read.parquet(f"file://{lost}")
+    for part in lost.glob("*.parquet"):
+        part.unlink()
+    app.check("reads", version="v1")(lambda m: gone.select("episode_id", F.lit(True).alias("verdict")))
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        app.process(frame)
+    other = App(spark, f"file://{tmp_path}/other")
+    other.check("raises", version="v1")(lambda m: m.select("episode_id", F.raise_error(F.lit("mine")).cast("boolean").alias("verdict")))
+    assert other.process(frame) == 1
+    from trailmark.plans.catalog import Catalog
+
+    assert [(r["status"], "mine" in r["error"]) for r in Catalog(spark, other.root).table("check_runs").collect()] == [("error", True)]

@@ -229,6 +229,20 @@ def _identity(value, seen: set[int]) -> str:
     return named
 
 
+#: What Spark says when a job was stopped, or its files couldn't be read or written.
+STORE = re.compile(r"java\.io\.(IOException|FileNotFoundException|EOFException)|org\.apache\.hadoop\.|No space left on device|SparkContext was (?:shut|stopped)|Job \d+ cancelled|FAILED_READ_FILE|TASK_WRITE_FAILED")
+
+
+def of_the_store(e: BaseException) -> bool:
+    """Whether an exception is of the store or the cluster and not of a step: that isn't evidence about episodes.
+
+    What was raised in Python, in the step itself or in a task's function, is the step's.
+    """
+    if type(e).__module__.partition(".")[0] not in ("pyspark", "py4j") or "PythonException" in type(e).__name__:
+        return False
+    return bool(STORE.search(str(e)))
+
+
 def takes_one(f: Callable) -> bool:
     """Whether a callable can be called with one argument; what can't be inspected is left to the call."""
     try:
@@ -353,6 +367,8 @@ class App:
             found = step.run(messages)
             return store(found.select("episode_id", *[c for c in EVIDENCE if c in found.columns]), step.name) if store else found
         except Exception as e:  # whatever a caller's step may raise
+            if of_the_store(e):
+                raise
             told = f"{type(e).__name__}: {e}".split("\n")[0][:500]
             return episodes.withColumn("error", F.lit(told))
 

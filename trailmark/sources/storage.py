@@ -84,7 +84,8 @@ class Folder:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
         self.root = root_uri(root).rstrip("/")
-        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.gateway, self.conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(self.conf)
 
     def _path(self, key: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{valid_key(key)}" if key else self.root)
@@ -172,12 +173,25 @@ class Folder:
         return True
 
     def move(self, source: str, target: str) -> None:
-        """Renames a file or folder; the target must not exist."""
+        """Renames a file or folder; the target must not exist.
+
+        Hadoop's own rename would put a folder into one of the target's name that another writer
+        has made in between; this one refuses that, on HDFS in one step with the rename.
+        """
         if self.exists(target):
             raise FileExistsError(target)
         self.fs.mkdirs(self._path(target).getParent())
-        if not self.fs.rename(self._path(source), self._path(target)):
-            raise OSError(f"couldn't move {source} to {target}")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        try:
+            context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf)
+            context.rename(self._path(source), self._path(target), self.gateway.new_array(hadoop.Options.Rename, 0))
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                raise FileExistsError(target) from None
+            if "UnsupportedFileSystem" not in str(e):
+                raise
+            if not self.fs.rename(self._path(source), self._path(target)):
+                raise OSError(f"couldn't move {source} to {target}") from None
 
     def replace(self, source: str, target: str) -> None:
         """Renames a file or folder to a name that may be taken: what was there is moved aside first, and deleted last."""
