@@ -83,7 +83,7 @@ def test_planning_from_listings(spark, tmp_path):
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
     sized = listed.select(F.lit("all").alias("g"), F.regexp_extract("path", r"(\d)\.bin", 1).alias("item"), "size_bytes")
     known = spark.createDataFrame([("all", str(k), s) for k, s in enumerate((900, 850, 500, 400, 300))], "g string, item string, size_bytes bigint")
-    plan = lambda f: sorted(map(str, gates.plan(f, lambda s: gates.lanes_by_count(s, 2), key="g", item="item", size="size_bytes").collect()))
+    plan = lambda f: sorted(map(str, gates.plan(f, gates.by_count(2), key="g", item="item", size="size_bytes").collect()))
     assert plan(sized) == plan(known)
     every = files.listing(spark, f"file://{tmp_path}/d")
     got = {r["path"].rpartition("/")[2]: r["digest"] for r in files.digests(every, 16).collect()}

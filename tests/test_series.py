@@ -93,15 +93,65 @@ def test_digests(spark):
 
 def test_planning():
     sizes = [900, 850, 500, 400, 300, 250, 200, 150, 100, 50]
-    lanes = gates.lanes_by_count(sizes, 3)
+    lanes = gates.lanes(sizes, gates.by_count(3))
     loads = [sum(s for s, k in zip(sizes, lanes) if k == lane) for lane in range(3)]
     assert max(loads) - min(loads) <= 150 and sum(loads) == 3700
-    assert gates.lanes_by_bytes([1000, 400, 350, 300], 700) == [0, 1, 2, 1]
+    assert gates.lanes([1000, 400, 350, 300], gates.by_bytes(700)) == [0, 1, 2, 1]
     assert [gates.allowed_errors(n) for n in (0, 100, 10000)] == [8, 8, 100]
     assert gates.lane_plan(2, online=True) == [(0, 0.0)] and len(gates.lane_plan(9)) == 4
     assert gates.sample_places(10, 4) == [0, 3, 6, 9] and gates.sample_places(2, 4) == [0, 1]
 
 
+def first_fit(sizes, target):
+    loads, out = [], []
+    for s in sizes:
+        k = next((k for k, load in enumerate(loads) if load + s <= target), len(loads))
+        if k == len(loads):
+            loads.append(0)
+        loads[k] += s
+        out.append(k)
+    return out
+
+
+def test_first_fit_by_tree():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 7, 50, 99, 100, 101, rng.randrange(150)]) for _ in range(rng.randrange(80))]
+        for order in (sizes, sorted(sizes, reverse=True)):
+            assert gates.lanes(order, gates.by_bytes(100)) == first_fit(order, 100)
+
+
+def test_deal_and_chunks_over_batches(spark):
+    """Streams go on over Arrow batches; keys begin anew, null keys, items and sizes included."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), k if k else None, rng.choice([None, 0, rng.randrange(60)])) for k in range(400)]
+    items = spark.createDataFrame(rows, "g string, item bigint, size int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for pack in (gates.by_count(3), gates.by_bytes(100)):
+            want = set()
+            for g in ("a", "b", None):
+                own = sorted(((i, s or 0) for x, i, s in rows if x == g), key=lambda r: (-r[1], r[0] is None, r[0]))
+                batches = {}
+                for (i, s), lane in zip(own, gates.lanes([s for _, s in own], pack)):
+                    batches.setdefault(lane, []).append((i, s))
+                ranked = sorted(batches.values(), key=lambda b: (-sum(s for _, s in b), min(i for i, _ in b if i is not None)))
+                want |= {(g, i, s, k) for k, b in enumerate(ranked) for i, s in b}
+            assert {tuple(r) for r in gates.deal(items, pack, key="g", item="item", size="size").collect()} == want
+            known = {(r["g"], r["batch"]): (r["total_bytes"], len(r["items"])) for r in gates.plan(items, pack, key="g", item="item", size="size").collect()}
+            assert {k: v[0] for k, v in known.items()} == {(g, k): sum(s for a, _, s, b in want if (a, b) == (g, k)) for g, _, _, k in want}
+        got = gates.chunks(items.where("item is not null"), "size", 50, keys=("g",), order=("item",)).collect()
+        for g in ("a", "b", None):
+            at, held = 0, 0
+            for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["item"]):
+                assert r["chunk"] == at
+                held += r["size"]
+                if held > 50:
+                    at, held = at + 1, 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_gate(spark):
     rows = [(1, 1, False, True, None), (1, 2, True, False, None), (1, 3, False, True, None), (2, 1, True, None, None), (2, 2, True, None, "boom"), (2, 3, False, False, None)]
     got = gates.gate(spark.createDataFrame(rows, "episode_id int, step_order int, critical boolean, verdict boolean, error string")).orderBy("episode_id", "step_order")

@@ -646,7 +646,7 @@ SELECT source, CAST(row_number() OVER w - 1 AS INTEGER) AS batch, array_to_strin
 )
 def plan_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches of each source's documents, balanced by size."""
-    found = gates.plan(table(spark, sf_dir, "documents"), lambda sizes: gates.lanes_by_count(sizes, 4), key="source", item="doc_id", size="n_chars")
+    found = gates.plan(table(spark, sf_dir, "documents"), gates.by_count(4), key="source", item="doc_id", size="n_chars")
     return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
@@ -660,7 +660,7 @@ def plan_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def plan_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of each source's documents of up to 20,000 characters."""
-    found = gates.plan(table(spark, sf_dir, "documents"), lambda sizes: gates.lanes_by_bytes(sizes, 20_000), key="source", item="doc_id", size="n_chars")
+    found = gates.plan(table(spark, sf_dir, "documents"), gates.by_bytes(20_000), key="source", item="doc_id", size="n_chars")
     return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
 
 
