@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from trailmark.llm import bpe, linededup, quality, queries, simhash, wordpiece
+from trailmark.llm import bpe, linededup, quality, queries, secrets, simhash, wordpiece
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\r\v\f"
@@ -220,3 +220,24 @@ def test_codec_stage(spark, sf, mixed):
         want.append((r["doc_id"], r["source"], len(ids), ids, library.decode(ids)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert bpe.stage(spark, mixed.where("doc_id = -1"), sf).count() == 0
+
+
+def test_masks_and_samples_of_the_session(spark):
+    """Masks, paddings and alphabets aren't secrets, upper-case hex is; what a session sets or registers changes no sample."""
+    samples = secrets.labelled_samples(spark)
+    before = sorted(map(tuple, samples.collect()))
+    spark.sql("SET spark.sql.of.this.session = aKeyThatNobodyElseHas")
+    spark.udf.register("function_of_this_session", lambda x: x)
+    try:
+        assert sorted(map(tuple, secrets.labelled_samples(spark).collect())) == before
+    finally:
+        spark.conf.unset("spark.sql.of.this.session")
+        spark.sql("DROP TEMPORARY FUNCTION function_of_this_session")
+    assert {r for _, r in before} == {True, False}
+    rng, model = random.Random(20), secrets.train(samples)
+    plain = ["X" * 20, "x" * 32, "A" * 24, "A" * 31 + "=", "0" * 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ZYXWVUTSRQPONMLKJIHGFEDCBA", "abcdefghijklmnopqrstuvwxyz", "0123456789" * 3, "XXXX-XXXX-XXXX-XXXX-XXXX"]
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (16, 20, 24, 32, 40) for _ in range(100)]
+    rows = [(k, f"a {x} b") for k, x in enumerate(plain + keys)]
+    found = {r["doc_id"]: len(r["secrets"]["added"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert not any(found[k] for k in range(len(plain)))
+    assert sum(found[k] > 0 for k in range(len(plain), len(rows))) >= 0.95 * len(keys)

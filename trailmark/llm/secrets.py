@@ -9,6 +9,7 @@ mean log-likelihood ratio of its character pairs is above a threshold.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,11 @@ THRESHOLD = 0.4
 SMOOTH = 0.5
 #: Most labelled samples of each kind that ``labelled_samples`` makes.
 SAMPLES = 4000
+#: The last Spark release whose settings and functions are samples.
+SINCE = (4, 1)
+#: Length of the samples of one character, and how often each alphabet is one.
+MASK = 24
+ORDERS = 2
 BLOCK = 256
 
 
@@ -93,13 +99,38 @@ def base_spans(text: Column) -> Column:
     return F.concat(assign, spans(text, ACCESS[:-1] + "{16,}", "access"), spans(text, HEX[:-1] + "{24,}", "hex"))
 
 
+def _named_by_spark(spark: SparkSession) -> DataFrame:
+    """``(name, prose)``: Spark SQL's settings with their descriptions, and its functions.
+
+    Those of releases up to ``SINCE``, so what extensions and later releases register, and the
+    settings that appear once Hive's classes are loaded, change nothing. The functions are those that
+    ``pyspark.sql.functions`` says were there.
+    """
+    release = lambda text: tuple(map(int, text.split(".")[:2]))
+    since = F.split("Since version", "[.]").cast("array<int>")
+    old = (F.get(since, F.lit(0)) < SINCE[0]) | (F.get(since, F.lit(0)) == SINCE[0]) & (F.get(since, F.lit(1)) <= SINCE[1])
+    settings = spark.sql("SET -v").where(F.col("Since version").rlike("^[0-9]+[.][0-9]+[.]") & F.col("key").rlike("^spark[.]sql[.]") & ~F.col("key").contains("hive")).where(old)
+    settings = settings.select(F.col("key").alias("name"), F.coalesce("meaning", F.lit("")).alias("prose"))
+    added = {name: re.search(r"versionadded:: *([0-9]+[.][0-9]+)", getattr(F, name).__doc__ or "") for name in F.__all__}
+    functions = sorted(name for name, found in added.items() if found and release(found[1]) <= SINCE)
+    return settings.unionByName(spark.createDataFrame([(name, "") for name in functions], "name string, prose string"))
+
+
+def _monotonous(spark: SparkSession) -> DataFrame:
+    """``(text)``: masks and paddings of one character, and the alphabets in order, from either end."""
+    orders = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")
+    masks = [c * MASK for c in "".join(orders)]
+    runs = [x for order in orders for x in (order, order[::-1])] * ORDERS
+    return spark.createDataFrame([(x,) for x in masks + runs], "text string")
+
+
 def labelled_samples(spark: SparkSession, rows: int = SAMPLES) -> DataFrame:
     """``(text, random)``: up to ``rows`` random strings and some thousand ordinary identifiers.
 
-    The random ones are written in seven alphabets. The ordinary ones were chosen by people:
-    the names of the session's settings and functions with the words of their
+    The random ones are written in ten alphabets. Most ordinary ones were chosen by people:
+    the names of Spark SQL's settings and functions with the words of their
     descriptions, as they are and in the styles of code (camel case, slugs, paths, constants), and dates,
-    times, versions and numbered names.
+    times, versions and numbered names. The others are runs of one character and alphabets.
     """
     n = spark.range(rows)
     bits = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 512)
@@ -107,11 +138,9 @@ def labelled_samples(spark: SparkSession, rows: int = SAMPLES) -> DataFrame:
     of = lambda k, *styles: F.element_at(F.array(*styles), (F.pmod(k, F.lit(len(styles))) + 1).cast("int"))
     plain62 = F.regexp_replace(coded, "[+/]", "")
     letters = F.regexp_replace(coded, "[^A-Za-z]", "")
-    kinds = (F.substring(bits, 1, 64), F.substring(coded, 1, 43), F.translate(F.substring(coded, 1, 43), "+/", "-_"), F.substring(plain62, 1, 40), F.upper(F.substring(plain62, 1, 40)), F.lower(F.substring(plain62, 1, 40)), F.substring(letters, 1, 40), F.lower(F.substring(letters, 1, 40)))
+    kinds = (F.substring(bits, 1, 64), F.upper(F.substring(bits, 65, 40)), F.substring(coded, 1, 43), F.translate(F.substring(coded, 1, 43), "+/", "-_"), F.substring(plain62, 1, 40), F.upper(F.substring(plain62, 1, 40)), F.lower(F.substring(plain62, 1, 40)), F.substring(letters, 1, 40), F.upper(F.substring(letters, 1, 40)), F.lower(F.substring(letters, 1, 40)))
     random = n.select(of(F.col("id"), *kinds).alias("text"), F.lit(True).alias("random"))
-    settings = spark.sql("SET -v").select(F.col("key").alias("name"), F.coalesce("meaning", F.lit("")).alias("prose"))
-    functions = spark.sql("SHOW SYSTEM FUNCTIONS").select(F.col("function").alias("name"), F.lit("").alias("prose"))
-    known = settings.unionByName(functions)
+    known = _named_by_spark(spark)
     words = known.select(F.explode(F.split(F.concat_ws(" ", "name", "prose"), "[^A-Za-z]+")).alias("text")).where("length(text) between 2 and 16").distinct()
     # Three words that stand together in a description, written in the styles of code.
     near = known.select(F.filter(F.split(F.lower("prose"), "[^a-z]+"), lambda w: F.length(w) > 2).alias("w"))
@@ -127,7 +156,7 @@ def labelled_samples(spark: SparkSession, rows: int = SAMPLES) -> DataFrame:
         of(F.col("id"), form("yyyy-MM-dd'T'HH-mm-ss"), form("yyyyMMddHHmmss"), form("yyyy/MM/dd/HH"), F.concat(F.lit("part-"), F.lpad(some, 5, "0")), F.concat(F.lit("v"), some, F.lit("-"), form("yyyyMMdd")), F.concat(form("yyyy-MM-dd"), F.lit("-run"), some)).alias("text")
     )
     dotless = known.select(F.explode(F.split("name", "[.]")).alias("text")).distinct()
-    return random.unionByName(words.union(written_).union(dotless).union(dated).withColumn("random", F.lit(False)))
+    return random.unionByName(words.union(written_).union(dotless).union(dated).union(_monotonous(spark)).withColumn("random", F.lit(False)))
 
 
 def train(samples: DataFrame) -> list[float]:
