@@ -113,7 +113,12 @@ def _named_by_spark(spark: SparkSession) -> DataFrame:
     settings = settings.select(F.col("key").alias("name"), F.coalesce("meaning", F.lit("")).alias("prose"))
     added = {name: re.search(r"versionadded:: *([0-9]+[.][0-9]+)", getattr(F, name).__doc__ or "") for name in F.__all__}
     functions = sorted(name for name, found in added.items() if found and release(found[1]) <= SINCE)
-    return settings.unionByName(spark.createDataFrame([(name, "") for name in functions], "name string, prose string"))
+    return settings.unionByName(_listed(spark, functions, "name").withColumn("prose", F.lit("")))
+
+
+def _listed(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    """A row for each of a short list of values without spaces."""
+    return spark.range(1).select(F.explode(F.split(F.lit(" ".join(values)), " ")).alias(name))
 
 
 def _monotonous(spark: SparkSession) -> DataFrame:
@@ -121,7 +126,7 @@ def _monotonous(spark: SparkSession) -> DataFrame:
     orders = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789")
     masks = [c * MASK for c in "".join(orders)]
     runs = [x for order in orders for x in (order, order[::-1])] * ORDERS
-    return spark.createDataFrame([(x,) for x in masks + runs], "text string")
+    return _listed(spark, masks + runs, "text")
 
 
 def labelled_samples(spark: SparkSession, rows: int = SAMPLES) -> DataFrame:
