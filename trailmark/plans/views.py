@@ -85,14 +85,22 @@ def stale(episodes: DataFrame, versions: dict[str, str], *, source: Column | Non
     return now.where(differs).orderBy("episode_id")
 
 
-def _ranges(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """Rows dealt by ranges of ``order``, with their range's number in ``_part``.
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with the number of their range of ``order``, nulls first, in ``_part``.
 
-    The number of ranges is given, as Spark then leaves them as they are: ranges that adaptive
-    execution puts together could have other numbers where the frame is used a second time.
+    The ranges' ends are found first, by a job of its own, and a row's range follows from them and
+    its values alone. Where a frame that Spark deals by ranges is used twice with other columns, it
+    is dealt twice, by two samples, and a row may be in different ranges. The ends decide how
+    even the ranges are, never which row comes first.
     """
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.select(*order).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    ends = dealt.groupBy(F.spark_partition_id().alias("_part")).agg(F.max(F.struct(*order)).alias("_end"))
+    ends = ends.agg(F.array_sort(F.collect_list("_end")).alias("_ends"))
+    found = ends.collect()
+    # A binary search: the number of ends before the row.
+    jumps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(found[0]["_ends"]).bit_length())))])
+    before = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get("_ends", at + jump - 1) < F.struct(*order), at + jump).otherwise(at))
+    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame(found, ends.schema))).withColumn("_part", before).drop("_ends")
 
 
 def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -104,8 +112,7 @@ def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """
     shape = values.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"), F.count("*").alias("_all"))
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = [*keys, F.col(value).asc_nulls_first()]
-    ranged = _ranges(counts, *order)
+    ranged = _ranges(counts, *keys, value)
     inside = Window.partitionBy(*keys, "_part").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     # As many rows a cohort as there are ranges.
@@ -136,7 +143,7 @@ def shards(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     """Contiguous shards of nearly equal size in the given order, without a global sort's
     single task: a range sort, rows numbered within partitions, and the partitions' sums.
     """
-    parts = _ranges(rows, *order).sortWithinPartitions(*order)
+    parts = _ranges(rows, *order)
     w = Window.partitionBy("_part").orderBy(*order)
     numbered = parts.withColumn("_at", F.row_number().over(w) - 1)
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
