@@ -36,3 +36,13 @@ def test_ranges_follow_from_values(spark):
     assert [r["position"] for r in got] == list(range(300)) and [r["shard"] for r in got] == [p * 3 // 300 for p in range(300)]
     assert [value(r) for r in got] == sorted(map(value, got))
     assert views.shards(frame.where("false"), ["k", "x"], 3).count() == 0
+
+
+def test_duplicates_list_their_documents(spark, tmp_path):
+    rows = [(i, "same") for i in (10, 9, 2, 111)] + [(i, None) for i in (5, 4)] + [(None, "unnamed"), (None, "unnamed"), (1, "own"), (None, "half"), (7, "half")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["n"], r["items"] or "") for r in QUERIES["duplicates"](spark, str(tmp_path)).collect())
+    assert got == [(2, ""), (2, "4,5"), (2, "7"), (4, "2,9,10,111")]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted((n, items or "") for n, items in con.sql(f"SELECT n, items FROM ({ORACLES['duplicates']})").fetchall())

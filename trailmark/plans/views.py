@@ -129,8 +129,13 @@ def cohort(values: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, digest: Column, item: str) -> DataFrame:
-    """``(digest, n, first)`` of digests that more than one row has: how many, and the least item."""
-    return rows.select(digest.alias("digest"), F.col(item).alias("item")).groupBy("digest").agg(F.count("*").alias("n"), F.min("item").alias("first")).where("n > 1")
+    """``(digest, n, first, items)`` of digests that more than one row has: how many, the least item, and all in order.
+
+    Nulls count as rows and aren't listed. A digest's list is one value; ``duplicate_members`` has a row for each item.
+    """
+    named = rows.select(digest.alias("digest"), F.col(item).alias("item"))
+    found = named.groupBy("digest").agg(F.count("*").alias("n"), F.min("item").alias("first"), F.array_sort(F.collect_list("item")).alias("items"))
+    return found.where("n > 1")
 
 
 def duplicate_members(rows: DataFrame, digest: Column, item: str) -> DataFrame:

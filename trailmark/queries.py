@@ -148,10 +148,11 @@ def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.stale(runs(spark, sf_dir), {"pipeline_version": "1-URGENT"}, source=F.col("episode_id")).select("episode_id", "run_fingerprint", "pipeline_version")
 
 
-@register("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+@register("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS items FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that more than one document has."""
-    return views.duplicates(table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256), "doc_id")
+    """Texts that more than one document has, with the list of these documents."""
+    found = views.duplicates(table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256), "doc_id")
+    return found.withColumn("items", F.when(F.size("items") > 0, F.array_join(F.col("items").cast("array<string>"), ",")))
 
 
 @register("SELECT sha256(text) AS digest, doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
