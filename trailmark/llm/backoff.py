@@ -20,6 +20,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,43 +41,70 @@ TOTAL_BITS = 42
 COLLECTED = 4096
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in their order, and how many each text has; null has none."""
+    # The same bytes: Arrow splits at the characters of a word's definition, whatever the others are.
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    lists = pc.ascii_split_whitespace(texts.view(kind).fill_null(""))
+    parts = lists.flatten()
+    # Space at the ends of a text leaves empty parts.
+    some = pc.not_equal(parts, "")
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return parts.filter(some), np.diff(before[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])])
+
+
 def _chunked(limit: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         ids: list = []
         sizes: list[int] = []
-        words: list[int] = []
-        known: dict[bytes, int] = {}
+        words: list[pa.Array] = []
+        held = 0
 
         def done() -> pa.RecordBatch:
-            hashes = np.fromiter((xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            known = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            hashes = np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known))
             # The most frequent words get the smallest numbers, which compress best.
-            place = np.array(words, np.int64)
+            place = coded.indices.to_numpy()
             often = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
-            number = np.empty(len(known), np.int64)
-            number[often] = np.arange(len(known))
-            values = ([at], [ids], [sizes], [hashes[often].view(np.int64)], [number[place].astype(np.int32)])
+            number = np.empty(len(known), np.int32)
+            number[often] = np.arange(len(known), dtype=np.int32)
+            values = ([at], [ids], [sizes], [hashes[often].view(np.int64)], [number[place]])
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["chunk", "ids", "sizes", "hashes", "words"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = (text.as_py() or b"").split()
+            own, counts = _words(batch.column(1))
+            begin = end = 0
+            for i, count in zip(batch.column(0).to_pylist(), counts.tolist()):
                 # A text of more words than a chunk holds is a chunk of its own.
-                if words and len(words) + len(own) > limit:
+                if held and held + count > limit or len(ids) >= limit:
+                    words.append(own.slice(begin, end - begin))
                     yield done()
-                    at, ids, sizes, words, known = at + 1, [], [], [], {}
-                words += [known.setdefault(w, len(known)) for w in own]
-                ids.append(i), sizes.append(len(own))
-                if len(ids) >= limit:
-                    yield done()
-                    at, ids, sizes, words, known = at + 1, [], [], [], {}
+                    at, ids, sizes, words, held, begin = at + 1, [], [], [], 0, end
+                ids.append(i), sizes.append(count)
+                held, end = held + count, end + count
+            words.append(own.slice(begin))
         if ids:
             yield done()
 
     return over
 
 
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Places of ``keys``, which aren't negative, in their order; equal ones in order of place.
+
+    Where a key and its place fit 64 bits, both are sorted as one number, which takes a fifth of the time.
+    """
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (64 - bits):
+        return np.argsort(keys, kind="stable")
+    both = keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,7 +119,8 @@ class Chunk:
         flat = lambda name: row[name].combine_chunks().flatten().to_numpy()
         self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").astype(np.int64)
         self.ids = row["ids"][0].as_py()
-        self.word = flat("hashes").view(np.uint64)[flat("words")]
+        self.words = flat("words").astype(np.int64)
+        self.word = flat("hashes").view(np.uint64)[self.words]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.gram = np.zeros(0, np.uint64)
         self.order, self.parts = 0, parts
@@ -112,22 +141,32 @@ class Chunk:
         n = self.order
         if n == 1 or not len(self.word):
             self.gram = _mixed(self.word)
-            at = np.arange(len(self.word), dtype=np.int32)
+            at, key = np.arange(len(self.word), dtype=np.int32), self.words
         else:
             self.gram = _mixed(self.gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word[n - 1 :])
             seen = self.others[-1] > 0
             at = np.nonzero(self.whole(n)[n - 1 :] & seen[n - 1 :] & seen[n - 2 : -1])[0] + (n - 1)
-        grams = self.gram[at - (n - 1)]
-        by = np.argsort(grams, kind="stable")  # then by place, and so by document
-        self.at, grams = at[by].astype(np.int32), grams[by]
+            # Inside the chunk an n-gram is told by the numbers of the one before and of its word.
+            key = (self.numbers[at - 1] << len(self.word).bit_length()) | self.words[at]
+        by = _ordered(key)  # then by place, and so by document
+        self.at, key = at[by].astype(np.int32), key[by]
         del at, by
-        first = np.ones(len(grams), bool)
-        first[1:] = grams[1:] != grams[:-1]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
         own = first.copy()
         own[1:] |= self.doc[self.at[1:]] != self.doc[self.at[:-1]]
-        count = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(grams)))
-        self.distinct, self.count, self.place = grams[first], count(first), np.cumsum(first, dtype=np.int32) - 1
-        self.own = count(own).astype(np.int32)[np.cumsum(own, dtype=np.int32) - 1]
+        runs = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(key)))
+        count, mine = runs(first), runs(own)
+        self.own = np.repeat(mine.astype(np.int32), mine)
+        # In order of all bits that can tell a partition.
+        grams = self.gram[self.at[first] - (n - 1)]
+        by = _ordered(grams >> np.uint64(len(grams).bit_length()))
+        self.distinct, self.count = grams[by], count[by]
+        place = np.empty(len(by), np.int32)
+        place[by] = np.arange(len(by), dtype=np.int32)
+        self.place = np.repeat(place, count)
+        self.numbers = np.zeros(len(self.word), np.int64)
+        self.numbers[self.at] = self.place
 
     def ends(self) -> np.ndarray:
         """Where each hash partition begins among this order's distinct n-grams, and where the last one ends."""
