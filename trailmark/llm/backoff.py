@@ -1,10 +1,11 @@
 """Operator 2, stupid-backoff scores of documents under the n-grams of all other documents.
 
-Texts become chunks of about ``CHUNK_WORDS`` words: word numbers of the chunk and the
-hashes of its words. For each order in turn every chunk gives its distinct n-grams with
-their counts, in one array for each hash partition. There the arrays are exploded, the
-rows of an n-gram are added up to its entry in the count table, the rows are joined to their
-entries, and the totals go back to their chunks: those of n-grams that several chunks have,
+Texts become chunks of about ``CHUNK_WORDS`` words: the hashes of the chunk's words with
+their counts, in one array for each hash partition, and the word numbers in their order. For
+each longer n-gram in turn every chunk gives its distinct ones likewise (the single words it
+has given by then). There the arrays are exploded, the
+rows of an n-gram are added up to its entry in the count table, each row gets its
+entry, and the totals go back to their chunks: those of n-grams that several chunks have,
 as any other n-gram's total is its chunk's own count. At last each word is scored at the
 highest order that other documents have, and the scores are summed per document.
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -34,7 +35,8 @@ ALPHA = 0.4
 CHUNK_WORDS = 1_000_000
 PART_WORDS = 1_000_000
 BUCKET_BYTES = 8_000_000
-CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes array<bigint>, words array<int>"
+#: ``words`` has the bytes of 32-bit numbers: Spark moves them whole, an array it takes apart and puts together value by value.
+CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, hashes array<array<bigint>>, counts array<array<int>>, words binary"
 #: Low bits of a number that holds a place and a total.
 TOTAL_BITS = 42
 #: Chunks whose totals one task collects at once; beyond, Spark sorts them, which can spill.
@@ -53,7 +55,41 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.filter(some), np.diff(before[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])])
 
 
-def _chunked(limit: int):
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys``, which aren't negative, in their order, and the keys in it; equal ones in order of place.
+
+    Where a key and its place fit 64 bits, both are sorted as one number, which takes a fifth of the time.
+    """
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (64 - bits):
+        by = np.argsort(keys, kind="stable")
+        return by, keys[by]
+    both = keys.astype(np.uint64)
+    both <<= np.uint64(bits)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    by = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    both >>= np.uint64(bits)
+    return by, both.view(np.int64)
+
+
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Places of ``keys``, which aren't negative, in their order; equal ones in order of place."""
+    return _sorted(keys)[0]
+
+
+def _often(counts: np.ndarray) -> np.ndarray:
+    """Places of ``counts``, the largest first; a chunk numbers its words so, as small numbers compress best."""
+    return _ordered(counts.max(initial=0) - counts)
+
+
+def _ends(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Where each hash partition begins among ``grams``, which are in order of their hashes, and where the last one ends."""
+    part = (grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).astype(np.int32)
+
+
+def _chunked(limit: int, parts: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
         ids: list = []
@@ -65,14 +101,15 @@ def _chunked(limit: int):
             coded = pa.concat_arrays(words).dictionary_encode()
             known = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
             hashes = np.fromiter(map(xxh64_intdigest, known), np.uint64, len(known))
-            # The most frequent words get the smallest numbers, which compress best.
             place = coded.indices.to_numpy()
-            often = np.argsort(-np.bincount(place, minlength=len(known)), kind="stable")
-            number = np.empty(len(known), np.int32)
-            number[often] = np.arange(len(known), dtype=np.int32)
-            values = ([at], [ids], [sizes], [hashes[often].view(np.int64)], [number[place]])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["chunk", "ids", "sizes", "hashes", "words"])
+            by = np.argsort(hashes)
+            hashes, count = hashes[by], np.bincount(place, minlength=len(by))[by].astype(np.int32)
+            number = np.empty(len(by), np.int32)
+            number[by[_often(count)]] = np.arange(len(by), dtype=np.int32)
+            cut = pa.array(_ends(hashes, parts))
+            nested = [pa.ListArray.from_arrays(pa.array([0, parts], pa.int32()), pa.ListArray.from_arrays(cut, pa.array(x))) for x in (hashes.view(np.int64), count)]
+            values = [pa.array([at]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), *nested, pa.array([number[place].tobytes()])]
+            return pa.RecordBatch.from_arrays(values, names=["chunk", "ids", "sizes", "hashes", "counts", "words"])
 
         for batch in batches:
             own, counts = _words(batch.column(1))
@@ -92,19 +129,6 @@ def _chunked(limit: int):
     return over
 
 
-def _ordered(keys: np.ndarray) -> np.ndarray:
-    """Places of ``keys``, which aren't negative, in their order; equal ones in order of place.
-
-    Where a key and its place fit 64 bits, both are sorted as one number, which takes a fifth of the time.
-    """
-    bits = len(keys).bit_length()
-    if len(keys) and int(keys.max()) >> (64 - bits):
-        return np.argsort(keys, kind="stable")
-    both = keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
-    both.sort()
-    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that scatters them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -115,12 +139,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Chunk:
     """A chunk's words, and for the orders whose totals are known the counts that other documents have."""
 
-    def __init__(self, row: pa.Table, orders: int, parts: int):
-        flat = lambda name: row[name].combine_chunks().flatten().to_numpy()
-        self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").astype(np.int64)
+    def __init__(self, row: pa.Table, orders: int, parts: tuple[int, int]):
+        flat = lambda name: row[name].combine_chunks().flatten()
+        self.number, self.sizes = row["chunk"][0].as_py(), flat("sizes").to_numpy().astype(np.int64)
         self.ids = row["ids"][0].as_py()
-        self.words = flat("words").astype(np.int64)
-        self.word = flat("hashes").view(np.uint64)[self.words]
+        self.hashes, self.counts = flat("hashes").flatten().to_numpy().view(np.uint64), flat("counts").flatten().to_numpy()
+        # Words are told by the places of their hashes.
+        self.words = _often(self.counts)[np.frombuffer(row["words"][0].as_buffer(), np.int32)]
+        self.word = self.hashes[self.words]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.gram = np.zeros(0, np.uint64)
         self.order, self.parts = 0, parts
@@ -140,24 +166,28 @@ class Chunk:
         self.order += 1
         n = self.order
         if n == 1 or not len(self.word):
-            self.gram = _mixed(self.word)
-            at, key = np.arange(len(self.word), dtype=np.int32), self.words
+            self.gram, at, key = self.word, None, self.words
         else:
             self.gram = _mixed(self.gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + self.word[n - 1 :])
             seen = self.others[-1] > 0
             at = np.nonzero(self.whole(n)[n - 1 :] & seen[n - 1 :] & seen[n - 2 : -1])[0] + (n - 1)
             # Inside the chunk an n-gram is told by the numbers of the one before and of its word.
             key = (self.numbers[at - 1] << len(self.word).bit_length()) | self.words[at]
-        by = _ordered(key)  # then by place, and so by document
-        self.at, key = at[by].astype(np.int32), key[by]
+        by, key = _sorted(key)  # then by place, and so by document
+        self.at = by if at is None else at[by]
         del at, by
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         own = first.copy()
-        own[1:] |= self.doc[self.at[1:]] != self.doc[self.at[:-1]]
+        doc = self.doc[self.at]
+        own[1:] |= doc[1:] != doc[:-1]
         runs = lambda starts: np.diff(np.append(np.nonzero(starts)[0], len(key)))
-        count, mine = runs(first), runs(own)
+        mine = runs(own)
         self.own = np.repeat(mine.astype(np.int32), mine)
+        if n == 1:
+            self.distinct, self.count, self.place, self.numbers = self.hashes, self.counts, key, self.words
+            return
+        count = runs(first)
         # In order of all bits that can tell a partition.
         grams = self.gram[self.at[first] - (n - 1)]
         by = _ordered(grams >> np.uint64(len(grams).bit_length()))
@@ -170,8 +200,7 @@ class Chunk:
 
     def ends(self) -> np.ndarray:
         """Where each hash partition begins among this order's distinct n-grams, and where the last one ends."""
-        part = (self.distinct >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)
-        return np.searchsorted(part, np.arange(self.parts + 1, dtype=np.uint64)).astype(np.int32)
+        return _ends(self.distinct, self.parts[self.order > 1])
 
     def learn(self, found: pa.StructArray) -> None:
         """Takes the totals of this order's distinct n-grams: those found, and the chunk's counts of the rest."""
@@ -197,7 +226,7 @@ class Chunk:
         return np.bincount(self.doc, score, len(self.sizes))
 
 
-def _asked(order: int, parts: int):
+def _asked(order: int, parts: tuple[int, int]):
     def over(row: pa.Table) -> pa.Table:
         chunk = Chunk(row, order - 1, parts)
         chunk.next()
@@ -211,7 +240,7 @@ def _asked(order: int, parts: int):
     return over
 
 
-def _scored(order: int, alpha: float, total: int, parts: int):
+def _scored(order: int, alpha: float, total: int, parts: tuple[int, int]):
     def over(row: pa.Table) -> pa.Table:
         chunk = Chunk(row, order, parts)
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(chunk.scores(alpha, total), pa.float64())]
@@ -253,19 +282,18 @@ def totals(asked: DataFrame, parts: int, order: int) -> DataFrame:
     """``(chunk, totals_n)``: for n-grams of ``asked(part, chunk, grams, counts)`` in several chunks, their place and count in all.
 
     Partitions are of n-grams by hash, so after the one shuffle by ``part`` all rows of
-    an n-gram are together: a chunk has one at most, however common it is. The table has one
-    row for each n-gram, so it stays within a partition's share whatever is common.
+    an n-gram are together: a chunk has one at most, however common it is. A window puts an
+    n-gram's entry of the partition's count table beside each of its rows: the same as a join
+    of the rows with their sums, by one sort, which can spill, of rows that are exploded once.
     """
     dealt = asked.repartitionById(parts, "part")
     # The counts are read by place: zipped with the n-grams, each pair would be an object.
     rows = dealt.select("part", "chunk", "counts", F.posexplode("grams").alias("pos", "gram"))
     rows = rows.select("part", "chunk", "pos", "gram", F.col("counts")[F.col("pos")].alias("n"))
-    table = rows.groupBy("part", "gram").agg(F.sum("n").alias("total"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    table = table.where("low < high").select("part", "gram", "total")
-    # Both sides read the same columns, and so the same shuffle.
-    joined = rows.join(table.hint("shuffle_hash"), ["part", "gram"]).where("total > n")
+    # The n-gram first: by it rows are told apart in the sort, while ``part`` is one in a task.
+    joined = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "part"))).where("total > n")
     both = F.shiftleft(F.col("pos").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
-    back = joined.groupBy("part", "chunk").agg(F.collect_list(both).alias("t"))
+    back = joined.select("part", "chunk", both.alias("both")).groupBy("part", "chunk").agg(F.collect_list("both").alias("t"))
     return back.groupBy("chunk").agg(F.collect_list(F.struct("part", "t")).alias(f"totals_{order}"))
 
 
@@ -286,14 +314,18 @@ def score(docs: DataFrame, *, order: int = ORDER, alpha: float = ALPHA, id_col:
     read = short_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), text_bytes(text_col).alias("text"))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    chunks = _bucketed(read.mapInArrow(_chunked(chunk_words), CHUNKS), "chunks", buckets)
+    chunks = _bucketed(read.mapInArrow(_chunked(chunk_words, buckets), CHUNKS), "chunks", buckets)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    parts = max(1, -(-total // PART_WORDS))
+    #: Hash partitions of words, and of longer n-grams, of which a chunk has more.
+    parts = buckets, max(1, -(-total // PART_WORDS))
     known = chunks
     for n in range(1, order + 1):
-        asked = known.groupBy("chunk").applyInArrow(_asked(n, parts), "part int, chunk bigint, grams array<bigint>, counts array<int>")
+        if n == 1:
+            asked = chunks.select("chunk", "counts", F.posexplode("hashes").alias("part", "grams")).withColumn("counts", F.col("counts")[F.col("part")])
+        else:
+            asked = known.groupBy("chunk").applyInArrow(_asked(n, parts), "part int, chunk bigint, grams array<bigint>, counts array<int>")
         with _collecting(docs.sparkSession):
-            found = _bucketed(totals(asked, parts, n), f"totals_{n}", buckets)
+            found = _bucketed(totals(asked, parts[n > 1], n), f"totals_{n}", buckets)
         known = known.join(found.hint("merge"), "chunk", "left")
     scored = known.groupBy("chunk").applyInArrow(_scored(order, alpha, total, parts), "id bigint, n_words bigint, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_score"))
